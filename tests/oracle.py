@@ -34,7 +34,7 @@ def _kind(type_name: str) -> str:
 
 def _cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return "nan" if math.isnan(value) else round(value, 12) + 0.0
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None)
     return value

@@ -1,10 +1,12 @@
 """Exact quantiles of any number of rows, without gathering them.
 
 The built-in exact `percentile` keeps every distinct value of a group in one task. Here a
-sketch first brackets each wanted rank within `2 / accuracy` of it. The sketch's rank error
-is at most `1 / accuracy`, so the bracket holds the value. A second pass counts what lies
-below the bracket and keeps the values inside, merged by value; the rank is then found
-among those few. Rows are aggregated where they are read; the table is not shuffled.
+sketch first brackets each wanted rank, `3 / accuracy` to either side; the sketch's own rank
+error is at most `1 / accuracy`, so the bracket holds the value. A second pass counts what
+lies below the bracket and keeps the values inside, merged by value; the rank is then found
+among those few. Rows are aggregated where they are read; the table is not shuffled. Groups
+of up to `4 * accuracy` rows need no bracket and are kept as they are. Should a bracket ever
+miss its rank, the query fails rather than give a wrong figure.
 """
 
 from __future__ import annotations
@@ -38,11 +40,12 @@ def exact_quantiles(
     if few_groups is None:
         few_groups = fits_broadcast(base.select(*keys).distinct(), max_rows=10_000)
 
-    margin = 2.0 / accuracy
+    margin = 3.0 / accuracy
     marks = [m for p in probabilities for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = base.groupBy(*keys).agg(
         F.count("*").alias("__n"), F.percentile_approx("__v", marks, accuracy).alias("__m")
     )
+    large = F.col("__n") > 4 * accuracy
     brackets = sketch.select(
         *[F.col(k).alias(f"{k}_b") for k in keys],
         F.col("__n"),
@@ -50,8 +53,8 @@ def exact_quantiles(
             *[
                 F.struct(
                     F.lit(i).alias("__i"),
-                    F.get("__m", F.lit(2 * i)).alias("__lo"),
-                    F.get("__m", F.lit(2 * i + 1)).alias("__hi"),
+                    F.when(large, F.get("__m", F.lit(2 * i))).otherwise(float("-inf")).alias("__lo"),
+                    F.when(large, F.get("__m", F.lit(2 * i + 1))).otherwise(float("inf")).alias("__hi"),
                 )
                 for i in range(len(probabilities))
             ]
@@ -82,18 +85,24 @@ def exact_quantiles(
         """The smallest kept value whose running count passes the 0-based rank."""
         return F.min(F.when((F.col("__i") == i) & (F.col("__upto") > rank), F.col("__v")))
 
+    def below(i: int) -> Column:
+        return F.max(F.when((F.col("__i") == i) & F.col("__v").isNull(), F.col("__upto")).otherwise(0))
+
     ends = ranked.groupBy(*keys, "__n").agg(
         *[
             at_rank(i, step(F.lit(p) * (F.col("__n") - 1))).alias(f"__{end}{i}")
             for i, p in enumerate(probabilities)
             for end, step in (("a", F.floor), ("b", F.ceil))
-        ]
+        ],
+        *[below(i).alias(f"__below{i}") for i in range(len(probabilities))],
     )
 
     def between(i: int, p: float) -> Column:
         rank = F.lit(p) * (F.col("__n") - 1)
         low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
-        return low + (high - low) * (rank - F.floor(rank))
+        held = (F.col(f"__below{i}") <= F.floor(rank)) & high.isNotNull()
+        value = F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
+        return F.when(held, value).otherwise(F.raise_error("A sketch missed its rank.").cast("double"))
 
     return ends.select(
         *[F.col(k).alias(b) for b, k in zip(by, keys)],

@@ -181,11 +181,11 @@ def _finding_checks(contract: FindingsContract) -> list[tuple[str, str, str, str
         return F.coalesce(F.bool_or((F.col("column") == column) & test), F.lit(False))
 
     checks = []
+    named = F.transform("suggested_actions", lambda a: a["action_type"])
     for column, actions in contract.actions.items():
         for action in actions:
-            named = F.exists("suggested_actions", lambda a, action=action: a["action_type"] == action)
             name = f"{column}_expected_action_has_{action}"
-            checks.append((name, "action", column, action, found(column, named)))
+            checks.append((name, "action", column, action, found(column, F.array_contains(named, action))))
     for column, severity in contract.severities.items():
         name = f"{column}_severity_is_{severity}"
         checks.append((name, "severity", column, severity, found(column, F.col("severity") == severity)))

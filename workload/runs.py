@@ -33,7 +33,7 @@ def _usage(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 @on("orders")
 def run_accuracy(orders: DataFrame) -> DataFrame:
-    return round6(R.with_cost_per_accuracy(R.run_accuracy(evaluation_results(orders))), "cost_per_acc", "total_cost")
+    return R.with_cost_per_accuracy(R.run_accuracy(evaluation_results(orders)))
 
 
 @on("orders")
@@ -70,7 +70,7 @@ def interval_per_user(events: DataFrame) -> DataFrame:
 
 @on("orders", "lineitem")
 def run_pairs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    return round6(_pairs(orders, lineitem), "total_cost_eval", "total_cost_transform")
+    return _pairs(orders, lineitem)
 
 
 @on("orders", "lineitem")
@@ -81,8 +81,7 @@ def run_moments(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 @on("orders", "lineitem")
 def run_moments_long(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    moments = R.by_moment(_pairs(orders, lineitem), "total_cost_eval", "total_cost_transform", "total_cost")
-    return round6(moments, "total_cost")
+    return R.by_moment(_pairs(orders, lineitem), "total_cost_eval", "total_cost_transform", "total_cost")
 
 
 @on("orders", "lineitem")
@@ -123,7 +122,7 @@ def runs_combined(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     both = R.combine_runs(
         {"first": evaluation_results(orders).drop("dataset"), "second": transformation_checks(lineitem)}
     )
-    return round6(R.run_accuracy(both).drop("avg_acc"), "accuracy", "total_cost")
+    return R.run_accuracy(both).drop("avg_acc")
 
 
 @on("lineitem", "orders")
@@ -187,8 +186,7 @@ _QUARTERS = [("minimum", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("maxi
 
 SQL = {
     "run_accuracy": f"""
-        select accuracy, model, dataset, round(total_cost, 6) as total_cost, run_id,
-               round(accuracy, 2) as avg_acc, round({_COST_PER_ACC.removesuffix(" as cost_per_acc")}, 6) as cost_per_acc
+        select accuracy, model, dataset, total_cost, run_id, round(accuracy, 2) as avg_acc, {_COST_PER_ACC}
         from ({EVAL_RUNS})""",
     "run_check_columns": " union all ".join(
         f"""select '{c}' as "check", count(*) filter (where {c}) as n_met from ({EVALUATION})"""
@@ -200,17 +198,14 @@ SQL = {
         f"select model, dataset, {_COST_PER_ACC} from ({TRANSFORM_RUNS})", "cost_per_acc"
     ),
     "interval_per_user": _interval_sql("select * from events", "value", "user_id"),
-    "run_pairs": f"""
-        select * replace (round(total_cost_eval, 6) as total_cost_eval,
-                          round(total_cost_transform, 6) as total_cost_transform)
-        from ({PAIRS})""",
+    "run_pairs": PAIRS,
     "run_moments": f"""
         select dataset, moment, config_name, n, round(mean, 6) as mean, round(mean - half, 6) as ci_low,
                round(mean + half, 6) as ci_high
         from (select dataset, moment, config_name, count(accuracy) as n, avg(accuracy) as mean,
                      coalesce(1.96 * stddev_samp(accuracy) / sqrt(count(accuracy)), 0) as half
               from ({_moments("accuracy")}) group by all)""",
-    "run_moments_long": f"select * replace (round(total_cost, 6) as total_cost) from ({_moments('total_cost')})",
+    "run_moments_long": _moments("total_cost"),
     "run_configs": f"select distinct config_name from ({PAIRS})",
     "tool_calls_by_run": """
         select o_orderpriority as dataset, l_orderkey as run_id, count(*) as n_calls,
@@ -223,15 +218,15 @@ SQL = {
     "tool_count_regression": _fit_sql("n_calls", "accuracy_transform"),
     "tool_rate_regression": _fit_sql("accuracy_transform", "success_rate"),
     "runs_combined": f"""
-        select accuracy, model, 'first' as dataset, round(total_cost, 6) as total_cost, run_id from ({EVAL_RUNS})
+        select accuracy, model, 'first' as dataset, total_cost, run_id from ({EVAL_RUNS})
         union all
-        select accuracy, model, 'second', round(total_cost, 6), run_id
+        select accuracy, model, 'second', total_cost, run_id
         from (select (cast(quantity_is_bounded as int) + cast(nothing_returned as int) + cast(discount_is_low as int)
                       + cast(tax_is_paid as int)) / 4 as accuracy, model, total_cost, run_id
               from (select l_orderkey as run_id, max(l_quantity) < 48 as quantity_is_bounded,
                            not bool_or(l_returnflag = 'R') as nothing_returned,
                            max(l_discount) <= 0.08 as discount_is_low, min(l_tax) > 0.005 as tax_is_paid,
-                           sum(l_extendedprice) / 1000000 as total_cost,
+                           cast(sum(cast(l_extendedprice as decimal(12, 2))) as double) / 1000000 as total_cost,
                            max(l_linestatus) || max(l_returnflag) as model
                     from lineitem group by l_orderkey))""",
     "runs_with_metrics": f"""

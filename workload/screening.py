@@ -81,7 +81,7 @@ def _phrase_sql(text: str, pack: S.ScreenPack) -> str:
 
 
 def _tokens(text: str) -> str:
-    return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), w -> w <> '')"
+    return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
 
 
 def _form(word: str) -> str:
@@ -91,10 +91,10 @@ def _form(word: str) -> str:
 
 def _word_sql(text: str, pack: S.ScreenPack) -> str:
     listed = ", ".join(f"'{w}'" for w in pack.words)
-    long_words = f"list_filter({_tokens(text)}, w -> length(w) >= 3)"
+    long_words = f"list_filter({_tokens(text)}, lambda w: length(w) >= 3)"
     return (
-        f"list_has_any(list_transform({long_words}, w -> {_form('w')}), "
-        f"list_transform([{listed}], w -> {_form('w')}))"
+        f"list_has_any(list_transform({long_words}, lambda w: {_form('w')}), "
+        f"list_transform([{listed}], lambda w: {_form('w')}))"
     )
 
 

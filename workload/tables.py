@@ -108,7 +108,7 @@ def transformation_checks(lineitem: DataFrame) -> DataFrame:
         (~F.bool_or(F.col("l_returnflag") == "R")).alias("nothing_returned"),
         (F.max("l_discount") <= 0.08).alias("discount_is_low"),
         (F.min("l_tax") > 0.005).alias("tax_is_paid"),
-        (F.sum("l_extendedprice") / 1000000).alias("total_cost"),
+        (F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double") / 1000000).alias("total_cost"),
         F.concat(F.max("l_linestatus"), F.max("l_returnflag")).alias("model"),
     )
 
@@ -122,7 +122,7 @@ TRANSFORMATION = """
 select c.*, o_orderpriority as dataset
 from (select l_orderkey as run_id, max(l_quantity) < 48 as quantity_is_bounded,
              not bool_or(l_returnflag = 'R') as nothing_returned, max(l_discount) <= 0.08 as discount_is_low,
-             min(l_tax) > 0.005 as tax_is_paid, sum(l_extendedprice) / 1000000 as total_cost,
+             min(l_tax) > 0.005 as tax_is_paid, cast(sum(cast(l_extendedprice as decimal(12, 2))) as double) / 1000000 as total_cost,
              max(l_linestatus) || max(l_returnflag) as model
       from lineitem group by l_orderkey) c join orders on c.run_id = o_orderkey"""
 
