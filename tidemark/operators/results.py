@@ -160,5 +160,8 @@ def linear_fit(
         F.count_if(both).alias("n"),
         F.regr_slope(paired(y), paired(x)).alias("slope"),
         F.regr_intercept(paired(y), paired(x)).alias("intercept"),
-        F.corr(paired(x), paired(y)).alias("correlation"),
+        # NULL, not an error, where one side never varies.
+        F.try_divide(
+            F.covar_pop(paired(x), paired(y)), F.stddev_pop(paired(x)) * F.stddev_pop(paired(y))
+        ).alias("correlation"),
     )

@@ -175,9 +175,13 @@ def _moments(measure: str) -> str:
 
 
 def _fit_sql(x: str, y: str) -> str:
+    # The fit of a constant is NULL in standard SQL; DuckDB would give NaN.
+    varies = f"var_pop({x}) > 0"
     return f"""
-        select dataset, model_transform, count(*) as n, round(regr_slope({y}, {x}), 6) as slope,
-               round(regr_intercept({y}, {x}), 6) as intercept, round(corr({x}, {y}), 6) as correlation
+        select dataset, model_transform, count(*) as n,
+               case when {varies} then round(regr_slope({y}, {x}), 6) end as slope,
+               case when {varies} then round(regr_intercept({y}, {x}), 6) end as intercept,
+               case when {varies} and var_pop({y}) > 0 then round(corr({x}, {y}), 6) end as correlation
         from ({USAGE}) group by dataset, model_transform"""
 
 
