@@ -13,8 +13,11 @@ from tidemark.functions.cells import cell
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# Beyond them a hot key of the large side is spread over this many join partitions.
-SALTS = 32
+# Beyond them the tables are shuffled by the key. A key with at least this share of the large
+# side's rows is hot (there are at most `1 / share` such keys), and its rows are spread over
+# `SALTS` join partitions.
+HOT_SHARE = 0.001
+SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -24,15 +27,34 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
-def salted(left: DataFrame, right: DataFrame, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
-    """Add a `__salt`: one value per input partition on the left, every value on the right.
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[cell(k) for k in keys])
 
-    The partition number does not depend on the row, so even identical rows are spread,
-    and a task that runs again gives the same salt.
+
+def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
+    """Hashes of all keys with at least this share of the rows, and perhaps of some others.
+
+    One pass over the key columns without a shuffle; the list's length is bounded by the share.
+    """
+    return df.select(_hash(keys).alias("h")).stat.freqItems(["h"], share).first()[0] or []
+
+
+def spread_hot(
+    left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], salts: int = SALTS
+) -> tuple[DataFrame, DataFrame]:
+    """Add a `__salt` to both sides that a join must match besides the keys.
+
+    It is 0 but for hot keys. Rows of a hot key take the number of the input partition on the
+    left and are there once per salt on the right, which has one row per key. The partition
+    number does not hang on the row, so even identical rows are spread, and a task that runs
+    again gives the same salt.
     """
-    left = left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left, right
+    hot = hot_hashes(left, left_keys)
+    if not hot:
+        return left.withColumn("__salt", F.lit(0)), right.withColumn("__salt", F.lit(0))
+    spread = F.when(_hash(left_keys).isin(hot), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
+    copies = F.when(_hash(right_keys).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("__salt", spread), right.withColumn("__salt", F.explode(copies))
 
 
 def matches(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -41,14 +63,9 @@ def matches(pairs: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    small: bool | None = None,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None
 ) -> DataFrame:
-    """Join with a table that holds one row per key.
+    """Join with a table that holds one row per key, of the same type on both sides.
 
     `small=True` is for lookups whose size is bounded by construction (one row per table
     column or per listed literal); otherwise the size is measured first.
@@ -57,5 +74,5 @@ def lookup_join(
         small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), list(on), how)
-    left, right = salted(left, right, salts)
+    left, right = spread_hot(left, right, on, on)
     return left.join(right, [*on, "__salt"], how).drop("__salt")

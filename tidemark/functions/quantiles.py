@@ -1,24 +1,31 @@
 """Exact quantiles of any number of rows, without gathering them.
 
-The built-in exact `percentile` keeps every distinct value of a group in one task. Here a
-sketch first brackets each wanted rank, `3 / accuracy` to either side; the sketch's own rank
-error is at most `1 / accuracy`, so the bracket holds the value. A second pass counts what
-lies below the bracket and keeps the values inside, merged by value; the rank is then found
-among those few. Rows are aggregated where they are read; the table is not shuffled. Groups
-of up to `4 * accuracy` rows need no bracket and are kept as they are. Should a bracket ever
+The built-in exact `percentile` keeps every distinct value of a group in one task. Here
+
+1. a sketch brackets each wanted rank, `3 / accuracy` to either side; the sketch's own rank
+   error is at most `1 / accuracy`, so the bracket holds the value;
+2. a second pass counts what lies below the bracket and keeps the values inside, merged by
+   value where they are read; the table itself is not shuffled;
+3. the bracket is cut into `BUCKETS` equal parts, whose counts tell the part with the rank;
+4. only that part's values are ranked.
+
+Groups of up to `4 * accuracy` rows need no bracket and are kept whole. Should a bracket ever
 miss its rank, the query fails rather than give a wrong figure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.cells import cell
-from tidemark.functions.joins import fits_broadcast, matches, salted
+from tidemark.functions.joins import fits_broadcast, matches, spread_hot
+from tidemark.session import stored
 
-ACCURACY = 10_000
+ACCURACY = 2_000
+BUCKETS = 10_000
+BELOW = -1  # the bucket of everything below the bracket
 
 
 def exact_quantiles(
@@ -28,84 +35,131 @@ def exact_quantiles(
     probabilities: Sequence[float],
     few_groups: bool | None = None,
     accuracy: int = ACCURACY,
+    also: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """One row per group: `by…`, `n` and `quantiles`, linearly interpolated, in order.
 
-    NULL and NaN are left out; a group of nothing else gives no row. `few_groups=True` states
-    that the number of groups is bounded by construction; otherwise it is measured.
+    NULL and NaN are left out; a group of nothing else gives no row. `also` names further
+    aggregates of the value that the sketching pass computes. `few_groups=True` states that
+    the number of groups is bounded by construction; otherwise the sketches are stored and
+    counted.
     """
+    also = also or {}
     keys = [f"__k{i}" for i in range(len(by))]
+    facts = ["__n", *also]  # one value per group
     base = df.select(*[cell(b).alias(k) for b, k in zip(by, keys)], value.cast("double").alias("__v"))
     base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if few_groups is None:
-        few_groups = fits_broadcast(base.select(*keys).distinct(), max_rows=10_000)
 
     margin = 3.0 / accuracy
     marks = [m for p in probabilities for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = base.groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.percentile_approx("__v", marks, accuracy).alias("__m")
+        F.count("*").alias("__n"),
+        F.percentile_approx("__v", marks, accuracy).alias("__m"),
+        *[make(F.col("__v")).alias(name) for name, make in also.items()],
     )
-    large = F.col("__n") > 4 * accuracy
-    brackets = sketch.select(
-        *[F.col(k).alias(f"{k}_b") for k in keys],
-        F.col("__n"),
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("__i"),
-                    F.when(large, F.get("__m", F.lit(2 * i))).otherwise(float("-inf")).alias("__lo"),
-                    F.when(large, F.get("__m", F.lit(2 * i + 1))).otherwise(float("inf")).alias("__hi"),
-                )
-                for i in range(len(probabilities))
-            ]
-        ).alias("__brackets"),
+    if few_groups is None:
+        sketch = stored(sketch, "sketch")
+        few_groups = fits_broadcast(sketch)
+
+    kept = _kept(base, sketch, keys, facts, probabilities, accuracy, few_groups)
+    rank = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("__i")) * (F.col("__n") - 1)
+
+    sums = kept.groupBy(*keys, *facts, "__i", "__b").agg(F.sum("__c").alias("__c"))
+    upto_bucket = F.sum("__c").over(
+        Window.partitionBy(*keys, "__i").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     )
-    pairs = [(F.col(k), F.col(f"{k}_b")) for k in keys]
-    if few_groups:
-        joined = base.join(F.broadcast(brackets), matches(pairs))
-    else:
-        left, right = salted(base, brackets.alias("b"))
-        right = right.withColumnRenamed("__salt", "__salt_b")
-        joined = left.join(right, matches([*pairs, (F.col("__salt"), F.col("__salt_b"))]))
-
-    # NULL stands for everything below the bracket; one partial row per task.
-    kept = (
-        joined.select(*keys, "__n", "__v", F.inline("__brackets"))
-        .where(F.col("__v") <= F.col("__hi"))
-        .withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
-        .groupBy(*keys, "__i", "__n", "__v")
-        .agg(F.count("*").alias("__c"))
+    hit = (
+        sums.withColumn("__upto", upto_bucket)
+        .withColumn("__before", F.col("__upto") - F.col("__c"))
+        .where((F.col("__before") <= F.ceil(rank)) & (F.col("__upto") > F.floor(rank)))
+        .select(*[F.col(c).alias(f"{c}_h") for c in [*keys, "__i", "__b"]], "__before")
     )
-    order = Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first())
-    ranked = kept.withColumn(
-        "__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # At most two buckets per group and rank.
+    pairs = [(F.col(c), F.col(f"{c}_h")) for c in [*keys, "__i", "__b"]]
+    inside = kept.join(F.broadcast(hit) if few_groups else hit, matches(pairs))
+    upto_value = F.sum("__c").over(
+        Window.partitionBy(*keys, "__i", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     )
+    ranked = inside.withColumn("__upto", F.col("__before") + upto_value)
 
-    def at_rank(i: int, rank: Column) -> Column:
-        """The smallest kept value whose running count passes the 0-based rank."""
-        return F.min(F.when((F.col("__i") == i) & (F.col("__upto") > rank), F.col("__v")))
+    def end(i: int, target: Column) -> Column:
+        """The smallest value whose running count passes the 0-based rank."""
+        return F.min(F.when((F.col("__i") == i) & (F.col("__upto") > target), F.col("__v")))
 
-    def below(i: int) -> Column:
-        return F.max(F.when((F.col("__i") == i) & F.col("__v").isNull(), F.col("__upto")).otherwise(0))
+    def missed(i: int) -> Column:
+        return F.bool_or((F.col("__i") == i) & (F.col("__b") == BELOW))
 
-    ends = ranked.groupBy(*keys, "__n").agg(
+    ends = ranked.groupBy(*keys, *facts).agg(
         *[
-            at_rank(i, step(F.lit(p) * (F.col("__n") - 1))).alias(f"__{end}{i}")
-            for i, p in enumerate(probabilities)
-            for end, step in (("a", F.floor), ("b", F.ceil))
-        ],
-        *[below(i).alias(f"__below{i}") for i in range(len(probabilities))],
+            agg.alias(f"__{name}{i}")
+            for i in range(len(probabilities))
+            for name, agg in (("a", end(i, F.floor(rank))), ("b", end(i, F.ceil(rank))), ("missed", missed(i)))
+        ]
     )
 
     def between(i: int, p: float) -> Column:
-        rank = F.lit(p) * (F.col("__n") - 1)
+        at = F.lit(float(p)) * (F.col("__n") - 1)
         low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
-        held = (F.col(f"__below{i}") <= F.floor(rank)) & high.isNotNull()
-        value = F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
-        return F.when(held, value).otherwise(F.raise_error("A sketch missed its rank.").cast("double"))
+        held = ~F.col(f"__missed{i}") & high.isNotNull()
+        exact = F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+        return F.when(held, exact).otherwise(F.raise_error("A sketch missed its rank.").cast("double"))
 
     return ends.select(
         *[F.col(k).alias(b) for b, k in zip(by, keys)],
         F.col("__n").alias("n"),
+        *also,
         F.array(*[between(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"),
     )
+
+
+def _kept(
+    base: DataFrame,
+    sketch: DataFrame,
+    keys: Sequence[str],
+    facts: Sequence[str],
+    probabilities: Sequence[float],
+    accuracy: int,
+    few_groups: bool,
+) -> DataFrame:
+    """`keys…, facts…, __i, __b, __v, __c`: counts of the values inside the bracket of the
+    `__i`-th probability by bucket, and one count of all values below it."""
+    large = F.col("__n") > 4 * accuracy
+
+    def mark(at: int, open_end: float) -> Column:
+        return F.when(large, F.get("__m", F.lit(at))).otherwise(open_end)
+
+    brackets = sketch.select(
+        *[F.col(k).alias(f"{k}_s") for k in keys],
+        *facts,
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("__i"),
+                    mark(2 * i, float("-inf")).alias("__lo"),
+                    mark(2 * i + 1, float("inf")).alias("__hi"),
+                )
+                for i in range(len(probabilities))
+            ]
+        ).alias("__brackets"),
+    )
+    pairs = [(F.col(k), F.col(f"{k}_s")) for k in keys]
+    if few_groups:
+        joined = base.join(F.broadcast(brackets), matches(pairs))
+    else:
+        left, right = spread_hot(base, brackets, keys, [f"{k}_s" for k in keys])
+        right = right.withColumnRenamed("__salt", "__salt_s")
+        joined = left.join(right, matches([*pairs, (F.col("__salt"), F.col("__salt_s"))]))
+
+    value, low = F.col("__v"), F.col("__lo")
+    span = F.col("__hi") - low
+    part = F.least(F.floor((value - low) / span * BUCKETS), F.lit(BUCKETS - 1))
+    bucket = (
+        F.when(value < low, BELOW).when((span > 0) & (span < float("inf")), part).otherwise(0).cast("int")
+    )
+    return (
+        joined.select(*keys, *facts, "__v", F.inline("__brackets"))
+        .where(value <= F.col("__hi"))
+        .select(*keys, *facts, "__i", bucket.alias("__b"), F.when(value >= low, value).alias("__v"))
+        .groupBy(*keys, *facts, "__i", "__b", "__v")
+        .agg(F.count("*").alias("__c"))
+    )

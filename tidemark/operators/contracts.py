@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.cells import is_numeric, key_text, known, type_of
+from tidemark.functions.cells import is_numeric, known, row_key, type_of
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def _checks(df: DataFrame, contract: TableContract, lineage: Mapping[str, str])
             "cardinality",
             c,
             str(k),
-            holds(c, lambda n, k=k: F.count_distinct(key_text(df, n)) == k),
+            holds(c, lambda n, k=k: F.count_distinct(row_key(df, n)) == k),
         )
         for c, k in contract.cardinality.items()
     ]

@@ -58,19 +58,11 @@ def column_features(df: DataFrame, rules: ReportRules = ReportRules()) -> DataFr
 
     Texts are tested once per distinct value, on the counts that the profile needs anyway.
     """
-    text = F.col("value")
-    plain = F.trim(F.translate(text, "'\"", ""))
-    is_date = convert.fits_date(plain, rules.date_formats)
-    whole = text.try_cast("long")
-
-    def rows_where(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-
+    plain = F.trim(F.translate("value", "'\"", ""))
     counts = column_counts(
         df,
-        n_dates=rows_where(is_date),
-        n_affixed=rows_where(plain.rlike(AFFIXED_NUMBER)),
-        n_years=rows_where(whole.between(*rules.years)),
+        text={"n_dates": convert.fits_date(plain, rules.date_formats), "n_affixed": plain.rlike(AFFIXED_NUMBER)},
+        whole={"n_years": F.col("value").between(*rules.years)},
     )
     figures = ["n_rows", "n_nulls", "n_unique", "n_dates", "n_affixed", "n_years"]
     # One row per table column, so the broadcast is bounded by the schema.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.cells import as_text, cell, key_text, known, long_form, missing, type_of
+from tidemark.functions.cells import NESTED, as_text, cell, is_float, key_text, known, long_form, missing, type_of
 from tidemark.functions.guards import require_column
 
 DICTIONARY = "position int, column string, dtype string"
@@ -18,22 +19,73 @@ def column_dictionary(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, DICTIONARY)
 
 
-def column_counts(df: DataFrame, columns: Sequence[str] | None = None, **extra: Column) -> DataFrame:
-    """`column, n_rows, n_nulls, n_unique` for the named columns in one scan.
+def _family(dtype: T.DataType) -> str:
+    """Columns of one family have a common type for their values."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return "whole"
+    if is_float(dtype):
+        return "float"
+    if isinstance(dtype, (T.StringType, T.BinaryType, *NESTED)):
+        return "text"
+    return dtype.simpleString()
 
-    Cells are counted per (column, value) before the shuffle, so a value that fills a third
-    of the table travels as one row per task. `extra` aggregates run over those counts and
-    may use `value` (text, NULL when missing) and `n` (its number of rows).
+
+def _family_key(df: DataFrame, name: str) -> Column:
+    """An equal value for equal cells, NULL for missing ones, in the family's type."""
+    family = _family(type_of(df, name))
+    if family == "whole":
+        return cell(name).cast("long")
+    if family == "float":
+        return known(df, name).cast("double")
+    if family == "text":
+        return key_text(df, name)
+    return cell(name)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """Per family of types the rows `column, value, n`.
+
+    Each family reads its own columns only, so every column is read once. Cells are counted
+    per (column, value) before the shuffle: a value that fills a third of the table travels as
+    one row per task, and a long text as its digest.
     """
-    names = list(columns or df.columns)
-    cells = long_form(df, {name: key_text(df, name) for name in names})
-    counts = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
-        F.count("value").alias("n_unique"),
-        *[expr.alias(name) for name, expr in extra.items()],
-    )
+    families: dict[str, list[str]] = {}
+    for name in columns:
+        families.setdefault(_family(type_of(df, name)), []).append(name)
+    return {
+        family: long_form(df, {n: _family_key(df, n) for n in names})
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("n"))
+        for family, names in families.items()
+    }
+
+
+def column_counts(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    text: Mapping[str, Column] | None = None,
+    whole: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """`column, n_rows, n_nulls, n_unique` for the named columns.
+
+    `text` and `whole` name tests of `value` in text and whole-number columns; each becomes a
+    column with the number of rows that pass, and runs once per distinct value.
+    """
+    tests = {"text": text or {}, "whole": whole or {}}
+    names = [n for given in tests.values() for n in given]
+
+    def summary(family: str, counts: DataFrame) -> DataFrame:
+        given = tests.get(family, {})
+        passed = {n: F.sum(F.when(given[n], F.col("n"))) if n in given else F.lit(None) for n in names}
+        return counts.groupBy("column").agg(
+            F.sum("n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
+            F.count("value").alias("n_unique"),
+            *[F.coalesce(total.cast("long"), F.lit(0)).alias(n) for n, total in passed.items()],
+        )
+
+    parts = [summary(f, c) for f, c in value_counts(df, list(columns or df.columns)).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _one_pass_counts(df: DataFrame) -> DataFrame:

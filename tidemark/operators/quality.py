@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tidemark.functions.cells import (
     as_text,
     cell,
+    is_float,
     is_numeric,
     known,
     long_form,
@@ -112,13 +113,35 @@ def top_values(df: DataFrame, column: str, limit: int = TOP_VALUES) -> DataFrame
 def top_values_all(df: DataFrame, columns: Sequence[str] | None = None, limit: int = TOP_VALUES) -> DataFrame:
     """`column, value, n, rank` for many columns in one scan, values as text.
 
-    Each task keeps only its own first `limit` values per column before the ranking shuffle.
+    Values are written out after they are counted, once each. A task keeps only its own first
+    `limit` values per column before the ranking shuffle.
     """
     names = list(columns or df.columns)
-    cells = long_form(df, {c: as_text(known(df, c), type_of(df, c)) for c in names})
+    cells = long_form(df, {c: _cheap_text(df, c) for c in names})
     counts = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
+    shown = F.col("value")
+    for kind, read in (("double", "double"), ("boolean", "boolean")):
+        of_kind = [c for c in names if _written_as(type_of(df, c)) == kind]
+        if of_kind:
+            typed = T.DoubleType() if kind == "double" else T.BooleanType()
+            shown = F.when(F.col("column").isin(of_kind), as_text(F.col("value").try_cast(read), typed)).otherwise(shown)
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = counts.withColumn("value", shown).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= limit)
+
+
+def _written_as(dtype: T.DataType) -> str:
+    if is_float(dtype):
+        return "double"
+    return "boolean" if isinstance(dtype, T.BooleanType) else "text"
+
+
+def _cheap_text(df: DataFrame, name: str) -> Column:
+    """One text per value, not yet in its final form."""
+    dtype = type_of(df, name)
+    if is_float(dtype):
+        return (known(df, name) + F.lit(0.0).cast(dtype)).cast("string")  # -0.0 counts as 0.0
+    return cell(name).cast("string") if isinstance(dtype, T.BooleanType) else as_text(cell(name), dtype)
 
 
 def missing_patterns(

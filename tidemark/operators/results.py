@@ -67,21 +67,9 @@ def central_interval(
 ) -> DataFrame:
     """`by…, n, mean, low, high`: the mean and the central percentile interval per group."""
     edges = [0.5 - width / 2, 0.5 + width / 2]
-    quantiles = exact_quantiles(runs, by, cell(measure), edges, few_groups=few_groups)
-    means = runs.groupBy(*by).agg(F.avg(cell(measure)).alias("mean"))
-    spans = quantiles.select(
-        *by, "n", F.get("quantiles", F.lit(0)).alias("low"), F.get("quantiles", F.lit(1)).alias("high")
-    )
-    return _by_group(means, spans, by).select(*by, "n", "mean", "low", "high")
-
-
-def _by_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join two tables of one row per group, where a group key may be NULL."""
-    renamed = right.select(*[cell(b).alias(f"__{b}") for b in by], *[cell(c) for c in right.columns if c not in by])
-    condition = F.lit(True)
-    for b in by:
-        condition = condition & cell(b).eqNullSafe(F.col(f"__{b}"))
-    return left.join(renamed, condition, "inner")
+    spans = exact_quantiles(runs, by, cell(measure), edges, few_groups=few_groups, also={"mean": F.avg})
+    low, high = F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1))
+    return spans.select(*[cell(b) for b in by], "n", "mean", low.alias("low"), high.alias("high"))
 
 
 def pair_stages(evaluation: DataFrame, transformation: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import results as R
 from workload.tables import (
+    CALLS_BY_RUN,
     EVAL_RUNS,
     EVALUATION,
     PAIRS,
@@ -15,7 +16,6 @@ from workload.tables import (
     evaluation_results,
     on,
     round6,
-    transformation_checks,
     transformation_results,
     usage_log,
 )
@@ -23,12 +23,12 @@ from workload.tables import (
 
 def _pairs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return R.pair_stages(
-        R.run_accuracy(evaluation_results(orders)), R.run_accuracy(transformation_results(lineitem, orders))
+        R.run_accuracy(evaluation_results(orders)), R.run_accuracy(transformation_results(lineitem))
     )
 
 
 def _usage(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    return R.usage_by_run(_pairs(orders, lineitem), usage_log(lineitem, orders))
+    return R.usage_by_run(_pairs(orders, lineitem), usage_log(lineitem))
 
 
 @on("orders")
@@ -56,9 +56,9 @@ def run_cost_interval(orders: DataFrame) -> DataFrame:
     return round6(R.central_interval(runs, "total_cost"), "mean", "low", "high")
 
 
-@on("lineitem", "orders")
-def run_cost_per_acc_interval(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    runs = R.with_cost_per_accuracy(R.run_accuracy(transformation_results(lineitem, orders)))
+@on("lineitem")
+def run_cost_per_acc_interval(lineitem: DataFrame) -> DataFrame:
+    runs = R.with_cost_per_accuracy(R.run_accuracy(transformation_results(lineitem)))
     return round6(R.central_interval(runs, "cost_per_acc"), "mean", "low", "high")
 
 
@@ -89,9 +89,9 @@ def run_configs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return R.configurations(_pairs(orders, lineitem))
 
 
-@on("lineitem", "orders")
-def tool_calls_by_run(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    return R.calls_by_run(usage_log(lineitem, orders))
+@on("lineitem")
+def tool_calls_by_run(lineitem: DataFrame) -> DataFrame:
+    return R.calls_by_run(usage_log(lineitem))
 
 
 @on("orders", "lineitem")
@@ -120,7 +120,7 @@ def tool_rate_regression(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 def runs_combined(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Two stages' results in one table; each lacks the other's checks."""
     both = R.combine_runs(
-        {"first": evaluation_results(orders).drop("dataset"), "second": transformation_checks(lineitem)}
+        {"first": evaluation_results(orders).drop("dataset"), "second": transformation_results(lineitem).drop("dataset")}
     )
     return R.run_accuracy(both).drop("avg_acc")
 
@@ -128,7 +128,7 @@ def runs_combined(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 @on("lineitem", "orders")
 def runs_with_metrics(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Checks of a run next to its cost from another table."""
-    checks = transformation_checks(lineitem).drop("total_cost")
+    checks = transformation_results(lineitem).drop("total_cost")
     metrics = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("total_cost"))
     return R.attach_metrics(checks, metrics)
 
@@ -211,10 +211,7 @@ SQL = {
               from ({_moments("accuracy")}) group by all)""",
     "run_moments_long": _moments("total_cost"),
     "run_configs": f"select distinct config_name from ({PAIRS})",
-    "tool_calls_by_run": """
-        select o_orderpriority as dataset, l_orderkey as run_id, count(*) as n_calls,
-               count(*) filter (where l_discount > 0.02) as n_success
-        from lineitem join orders on l_orderkey = o_orderkey group by all""",
+    "tool_calls_by_run": CALLS_BY_RUN,
     "tool_success_by_run": f"select * replace (round(success_rate, 6) as success_rate) from ({USAGE})",
     "tool_success_box": "select model_transform, dataset, count(*) as n, "
     + ", ".join(f"round(quantile_cont(success_rate, {q}), 6) as {n}" for n, q in _QUARTERS)
@@ -224,18 +221,10 @@ SQL = {
     "runs_combined": f"""
         select accuracy, model, 'first' as dataset, total_cost, run_id from ({EVAL_RUNS})
         union all
-        select accuracy, model, 'second', total_cost, run_id
-        from (select (cast(quantity_is_bounded as int) + cast(nothing_returned as int) + cast(discount_is_low as int)
-                      + cast(tax_is_paid as int)) / 4 as accuracy, model, total_cost, run_id
-              from (select l_orderkey as run_id, max(l_quantity) < 48 as quantity_is_bounded,
-                           not bool_or(l_returnflag = 'R') as nothing_returned,
-                           max(l_discount) <= 0.08 as discount_is_low, min(l_tax) > 0.005 as tax_is_paid,
-                           cast(sum(cast(l_extendedprice as decimal(12, 2))) as double) / 1000000 as total_cost,
-                           max(l_linestatus) || max(l_returnflag) as model
-                    from lineitem group by l_orderkey))""",
+        select accuracy, model, 'second', total_cost, run_id from ({TRANSFORM_RUNS})""",
     "runs_with_metrics": f"""
         select t.run_id, quantity_is_bounded, nothing_returned, discount_is_low, tax_is_paid, model,
-               o_totalprice as total_cost
+               t.dataset, o_totalprice as total_cost
         from ({TRANSFORMATION}) t join orders on o_orderkey = run_id""",
     "repeated_runs": """
         select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1""",

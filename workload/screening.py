@@ -24,12 +24,12 @@ ANY = S.ScreenPack(
 
 @on("documents")
 def screen_docs(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    parts = documents.select(
         "doc_id",
         S.matches_pattern(F.col("text"), ANY.patterns).alias("has_phrase"),
         S.has_scrambled_word(F.col("text"), ANY.words).alias("has_word"),
-        S.is_injection(F.col("text"), ANY).alias("injection"),
     )
+    return parts.withColumn("injection", F.col("has_phrase") | F.col("has_word"))
 
 
 @on("documents")

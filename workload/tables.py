@@ -79,7 +79,13 @@ select cast(l_orderkey as varchar) as run_id, cast(l_linenumber as bigint) as st
 from lineitem"""
 
 
-# Recorded runs: an order is a run in the first stage, its lines make the second.
+# Recorded runs: an order is a run in the first stage, its lines make the second, and each
+# line is a call. The number of digits of the run's id names its dataset, so the datasets'
+# sizes differ by powers of ten.
+def _dataset(run_id: str) -> Column:
+    return F.concat(F.lit("set-"), F.length(F.col(run_id).cast("string")).cast("string"))
+
+
 def evaluation_results(orders: DataFrame) -> DataFrame:
     return orders.select(
         (F.col("o_totalprice") > 200000).alias("total_is_high"),
@@ -87,23 +93,22 @@ def evaluation_results(orders: DataFrame) -> DataFrame:
         (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("date_is_recent"),
         F.col("o_orderstatus").isin("F", "O").alias("status_is_known"),
         (F.col("o_totalprice") / 1000000).alias("total_cost"),
-        F.col("o_orderstatus").alias("model"),
+        F.col("o_orderpriority").alias("model"),
         F.col("o_orderkey").alias("run_id"),
-        F.col("o_orderpriority").alias("dataset"),
+        _dataset("o_orderkey").alias("dataset"),
     )
 
 
 EVALUATION = """
 select o_totalprice > 200000 as total_is_high, o_totalprice < 400000 as total_is_bounded,
        o_orderdate >= timestamp '1997-01-01' as date_is_recent, o_orderstatus in ('F', 'O') as status_is_known,
-       o_totalprice / 1000000 as total_cost, o_orderstatus as model, o_orderkey as run_id,
-       o_orderpriority as dataset
+       o_totalprice / 1000000 as total_cost, o_orderpriority as model, o_orderkey as run_id,
+       'set-' || length(cast(o_orderkey as varchar)) as dataset
 from orders"""
 
 
-def transformation_checks(lineitem: DataFrame) -> DataFrame:
-    """One row per order, counted before any join."""
-    return lineitem.groupBy(F.col("l_orderkey").alias("run_id")).agg(
+def transformation_results(lineitem: DataFrame) -> DataFrame:
+    checks = lineitem.groupBy(F.col("l_orderkey").alias("run_id")).agg(
         (F.max("l_quantity") < 48).alias("quantity_is_bounded"),
         (~F.bool_or(F.col("l_returnflag") == "R")).alias("nothing_returned"),
         (F.max("l_discount") <= 0.08).alias("discount_is_low"),
@@ -111,27 +116,31 @@ def transformation_checks(lineitem: DataFrame) -> DataFrame:
         (F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double") / 1000000).alias("total_cost"),
         F.concat(F.max("l_linestatus"), F.max("l_returnflag")).alias("model"),
     )
+    return checks.withColumn("dataset", _dataset("run_id"))
 
 
-def transformation_results(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    tags = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("dataset"))
-    return transformation_checks(lineitem).join(tags, "run_id")
+TRANSFORMATION = """
+select l_orderkey as run_id, max(l_quantity) < 48 as quantity_is_bounded,
+       not bool_or(l_returnflag = 'R') as nothing_returned, max(l_discount) <= 0.08 as discount_is_low,
+       min(l_tax) > 0.005 as tax_is_paid,
+       cast(sum(cast(l_extendedprice as decimal(12, 2))) as double) / 1000000 as total_cost,
+       max(l_linestatus) || max(l_returnflag) as model,
+       'set-' || length(cast(l_orderkey as varchar)) as dataset
+from lineitem group by l_orderkey"""
 
 
-TRANSFORMATION = """
-select c.*, o_orderpriority as dataset
-from (select l_orderkey as run_id, max(l_quantity) < 48 as quantity_is_bounded,
-             not bool_or(l_returnflag = 'R') as nothing_returned, max(l_discount) <= 0.08 as discount_is_low,
-             min(l_tax) > 0.005 as tax_is_paid, cast(sum(cast(l_extendedprice as decimal(12, 2))) as double) / 1000000 as total_cost,
-             max(l_linestatus) || max(l_returnflag) as model
-      from lineitem group by l_orderkey) c join orders on c.run_id = o_orderkey"""
+def usage_log(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
+        _dataset("l_orderkey").alias("dataset"),
+        F.col("l_orderkey").alias("run_id"),
+        (F.col("l_discount") > 0.02).alias("success"),
+    )
 
 
-def usage_log(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """The calls of each run with the run's dataset."""
-    tags = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("dataset"))
-    calls = lineitem.select(F.col("l_orderkey").alias("run_id"), (F.col("l_discount") > 0.02).alias("success"))
-    return calls.join(tags, "run_id")
+CALLS_BY_RUN = """
+select 'set-' || length(cast(l_orderkey as varchar)) as dataset, l_orderkey as run_id, count(*) as n_calls,
+       count(*) filter (where l_discount > 0.02) as n_success
+from lineitem group by l_orderkey"""
 
 
 def accuracy_sql(source: str, checks: Sequence[str]) -> str:
@@ -151,8 +160,4 @@ from ({EVAL_RUNS}) e join ({TRANSFORM_RUNS}) t on e.run_id = t.run_id and e.data
 USAGE = f"""
 select p.run_id, p.dataset, accuracy_transform, model_transform, config_name, n_calls, n_success,
        n_success / n_calls as success_rate
-from ({PAIRS}) p join (
-  select o_orderpriority as dataset, l_orderkey as run_id, count(*) as n_calls,
-         count(*) filter (where l_discount > 0.02) as n_success
-  from lineitem join orders on l_orderkey = o_orderkey group by all) u
-on p.run_id = u.run_id and p.dataset = u.dataset"""
+from ({PAIRS}) p join ({CALLS_BY_RUN}) u on p.run_id = u.run_id and p.dataset = u.dataset"""
