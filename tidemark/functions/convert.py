@@ -76,9 +76,8 @@ def _layout(fmt: str) -> str:
 def _parse(text: Column, fmt: str) -> Column:
     """A wall-clock time. Parsing at offset zero keeps it free of the session's time zone."""
     instant = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(fmt + " XXX"))
-    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + (
-        instant - F.expr("timestamp'1970-01-01 00:00:00+00:00'")
-    )
+    since_epoch = F.expr("interval '0.000001' second") * F.unix_micros(instant)
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + since_epoch
 
 
 def to_datetime(value: Column, dtype: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:

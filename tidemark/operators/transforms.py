@@ -7,6 +7,7 @@ must stay as they are.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
@@ -268,13 +269,14 @@ def _typed_key(key: Any, dtype: T.DataType) -> Any:
             if str(key).lower() in ("true", "false"):
                 return str(key).lower() == "true"
         elif isinstance(dtype, T.IntegralType):
-            if float(key) == int(float(key)):
-                return int(key) if isinstance(key, (int, str)) else int(float(key))
+            number = decimal.Decimal(str(key))
+            if number == number.to_integral_value():
+                return int(number)
         elif is_float(dtype):
             return float(key)
         elif isinstance(dtype, T.DecimalType):
-            return str(key)
-    except (TypeError, ValueError):
+            return decimal.Decimal(str(key))
+    except (ValueError, ArithmeticError):
         pass
     raise ValueError(f"Mapping key {key!r} does not fit a column of type {dtype.simpleString()}.")
 
