@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Texts at least this long are grouped by their SHA-256 digest (64 hex characters), so
 # that a shuffle on a text column moves 64 characters per row, not whole documents.
@@ -121,3 +121,8 @@ def long_form(df: DataFrame, values: dict[str, Column], ids: Sequence[Column] =
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """Display view: the named columns rounded half up."""
     return df.withColumns({c: F.round(cell(c), digits) for c in columns})
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few given rows in one partition; left alone, a cluster would start a task per core for them."""
+    return spark.createDataFrame(list(rows), schema).coalesce(1)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.cells import cell
+from tidemark.functions.cells import NESTED, cell, type_of
 
 # A lookup is broadcast only when its measured size is within both bounds.
 BROADCAST_ROWS = 100_000
@@ -20,10 +20,20 @@ HOT_SHARE = 0.001
 SALTS = 64
 
 
+def _width(df: DataFrame, name: str) -> Column:
+    """Bytes of one cell, about."""
+    dtype = type_of(df, name)
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(cell(name)), F.lit(0)) + 16
+    if isinstance(dtype, NESTED):
+        return F.coalesce(F.octet_length(F.to_json(cell(name))), F.lit(0)) + 16
+    return F.lit(16)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a lookup, reading at most `max_rows + 1` of its rows."""
-    line = F.to_json(F.struct(*[cell(c) for c in df.columns]))
-    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(line)).alias("b")).first()
+    """Measure a lookup by one aggregation, of which one row reaches the driver."""
+    width = reduce(lambda a, b: a + b, [_width(df, c) for c in df.columns], F.lit(0))
+    size = df.agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("b")).first()
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 

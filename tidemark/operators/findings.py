@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import convert
 from tidemark.operators.profile import column_counts, column_dictionary
+from tidemark.session import stored
 
 # The vocabulary of findings.
 STATUSES = ("ready", "ready_with_issues", "not_ready")
@@ -160,6 +161,26 @@ def readiness_status(
     )
 
 
+def readiness_report(
+    df: DataFrame, summary: str = "", target: str | None = None, rules: ReportRules = ReportRules()
+) -> DataFrame:
+    """One row, `readiness_status, summary, findings, markdown`; a finding per column of the table.
+
+    The features are stored once, as the findings, the status and the text all rest on them.
+    """
+    features = stored(column_features(df, rules), "features")
+    found = readiness_findings(df, rules, features)
+    status = readiness_status(found, features, target, rules)
+    one = F.struct("position", "column", "severity", "suggested_actions")
+    listed = found.agg(F.sort_array(F.collect_list(one)).alias("findings"))
+    return listed.select(
+        status.select("readiness_status").scalar().alias("readiness_status"),
+        F.lit(summary).alias("summary"),
+        F.transform("findings", lambda x: x.dropFields("position")).alias("findings"),
+        report_markdown(found, status, summary).scalar().alias("markdown"),
+    )
+
+
 @dataclass(frozen=True)
 class FindingsContract:
     """Which actions and which severity a report should name per column."""

@@ -7,7 +7,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.cells import NESTED, as_text, cell, is_float, key_text, known, long_form, missing, type_of
+from tidemark.functions.cells import (
+    NESTED,
+    as_text,
+    cell,
+    is_float,
+    key_text,
+    known,
+    literal_rows,
+    long_form,
+    missing,
+    type_of,
+)
 from tidemark.functions.guards import require_column
 
 DICTIONARY = "position int, column string, dtype string"
@@ -16,7 +27,7 @@ DICTIONARY = "position int, column string, dtype string"
 def column_dictionary(df: DataFrame) -> DataFrame:
     """One row per column, from the schema alone."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, DICTIONARY)
+    return literal_rows(df.sparkSession, rows, DICTIONARY)
 
 
 def _family(dtype: T.DataType) -> str:

@@ -12,6 +12,7 @@ from tidemark.functions.cells import (
     is_float,
     is_numeric,
     known,
+    literal_rows,
     long_form,
     missing,
     row_key,
@@ -162,9 +163,8 @@ def missing_patterns(
         widths = df.agg(*[F.approx_count_distinct(cell(c)) for c in texts]).first()
         texts = [c for c, width in zip(texts, widths) if width <= max_categories]
     if not texts:
-        return df.sparkSession.createDataFrame(
-            [], "by_column string, category string, n_rows long, missing_share double"
-        )
+        schema = "by_column string, category string, n_rows long, missing_share double"
+        return literal_rows(df.sparkSession, [], schema)
     gap = missing(df, column)
     cells = long_form(df, {c: cell(c) for c in texts}, ids=[gap.cast("int").alias("__gap")])
     shares = (
@@ -190,7 +190,7 @@ def iqr_outliers(
         require_column(df, name)
     numeric = [c for c in names if is_numeric(type_of(df, c))]
     notes = [(c, "" if c in numeric else "not numeric: quartiles do not apply") for c in names]
-    asked = df.sparkSession.createDataFrame(notes, "column string, note string")
+    asked = literal_rows(df.sparkSession, notes, "column string, note string")
     if not numeric:
         return _outlier_rows(asked, None)
 

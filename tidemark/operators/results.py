@@ -30,6 +30,12 @@ def combine_runs(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def run_record(checks: DataFrame, run_id: int, model: str, metrics: Mapping[str, float] | None = None) -> DataFrame:
+    """The one-row result of a contract check, tagged with its run, model and figures."""
+    tags = {"run_id": F.lit(run_id).cast("long"), "model": F.lit(model)}
+    return checks.withColumns({**{k: F.lit(v) for k, v in (metrics or {}).items()}, **tags})
+
+
 def attach_metrics(checks: DataFrame, metrics: DataFrame, on: Sequence[str] = ("run_id",)) -> DataFrame:
     """Put the cost and token figures next to the checks of the same run."""
     return checks.join(metrics, list(on), "inner")

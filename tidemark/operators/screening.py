@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.cells import cell
+from tidemark.functions.cells import cell, literal_rows
 from tidemark.functions.guards import require_column, require_new
 
 
@@ -139,6 +139,6 @@ def screen_cells(df: DataFrame, pack: ScreenPack = ENGLISH) -> DataFrame:
     """`column, n_flagged` for every text column of a table, from one scan."""
     texts = [c for c, t in df.dtypes if t == "string"]
     if not texts:
-        return df.sparkSession.createDataFrame([], "column string, n_flagged long")
+        return literal_rows(df.sparkSession, [], "column string, n_flagged long")
     row = df.agg(*[F.count_if(is_injection(cell(c), pack)).alias(c) for c in texts])
     return row.unpivot([], [cell(c) for c in texts], "column", "n_flagged")

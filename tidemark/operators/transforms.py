@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import convert
-from tidemark.functions.cells import as_text, cell, is_float, is_numeric, known, missing, type_of
+from tidemark.functions.cells import as_text, cell, is_float, is_numeric, known, literal_rows, missing, type_of
 from tidemark.functions.guards import require_column, require_editable, require_new, require_numeric
 from tidemark.functions.joins import lookup_join
 
@@ -294,7 +294,7 @@ def map_col_values(
     if len(typed) > LITERAL_MAPPING:
         schema = T.StructType([T.StructField("key", dtype), T.StructField("value", target)])
         rows = [(k, float(v) if isinstance(target, T.DoubleType) and v is not None else v) for k, v in typed.items()]
-        table = df.sparkSession.createDataFrame(rows, schema)
+        table = literal_rows(df.sparkSession, rows, schema)
         return map_from_table(df, column, table, "key", "value", frozen)
     pairs = [x for k, v in typed.items() for x in (F.lit(k).cast(dtype), F.lit(v).cast(target))]
     key = known(df, column)

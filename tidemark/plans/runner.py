@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.cells import cell
+from tidemark.functions.cells import cell, literal_rows
 from tidemark.operators import profile, transforms
 
 QUERY, CREATE_COL, DROP_COL, TRANSFORM_COL = "query", "create_col", "drop_col", "transform_col"
@@ -111,7 +111,7 @@ class PlanResult:
 
     def lineage_table(self, run_id: str = "run") -> DataFrame:
         rows = [(run_id, a, b) for a, b in self.lineage.items()]
-        return self.df.sparkSession.createDataFrame(rows, LINEAGE_SCHEMA)
+        return literal_rows(self.df.sparkSession, rows, LINEAGE_SCHEMA)
 
 
 @dataclass
@@ -228,10 +228,8 @@ def apply_plan(
         _log_row(run_id, no, one, no not in fold.errors, fold.errors.get(no), verdicts.get(no))
         for no, one in enumerate(steps, 1)
     ]
-    spark = df.sparkSession
-    return PlanResult(
-        fold.work, spark.createDataFrame(log, LOG_SCHEMA), fold.lineage, frozenset(fold.frozen), fold.answers
-    )
+    log_table = literal_rows(df.sparkSession, log, LOG_SCHEMA)
+    return PlanResult(fold.work, log_table, fold.lineage, frozenset(fold.frozen), fold.answers)
 
 
 def _text(value: Any) -> str:

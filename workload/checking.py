@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import contracts as C, findings as G
+from tidemark.session import stored
 from workload.tables import LABELLED, labelled, on
 
 LINE_CONTRACT = C.TableContract(
@@ -94,11 +95,24 @@ def readiness_order_texts(orders: DataFrame) -> DataFrame:
 
 @on("documents", "labels")
 def readiness_status_docs(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    features = G.column_features(labelled(documents, labels), RULES)
+    features = stored(G.column_features(labelled(documents, labels), RULES), "features")
     found = G.readiness_findings(labelled(documents, labels), RULES, features)
     return G.readiness_status(found, features, target="quality", rules=RULES)
 
 
+@on("documents", "labels")
+def readiness_report_docs(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Status, findings and text in one row."""
+    report = G.readiness_report(labelled(documents, labels), "Documents with labels.", "quality", RULES)
+    return report.select(
+        "readiness_status",
+        "summary",
+        F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["column"], x["severity"])), ";").alias("findings"),
+        F.size("findings").alias("n_columns"),
+        "markdown",
+    )
+
+
 @on("documents", "labels")
 def findings_contract(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return G.check_findings_rows(_findings(documents, labels), DOCS_CONTRACT)
@@ -128,6 +142,7 @@ QUERIES = {
     "readiness_docs": readiness_docs,
     "readiness_order_texts": readiness_order_texts,
     "readiness_status_docs": readiness_status_docs,
+    "readiness_report_docs": readiness_report_docs,
     "findings_contract": findings_contract,
     "findings_contract_wide": findings_contract_wide,
     "findings_text": findings_text,
@@ -233,6 +248,13 @@ def _finding_test(kind: str, column: str, expected: str) -> str:
     return f"""coalesce(bool_or("column" = '{column}' and {field} = '{expected}'), false)"""
 
 
+def _markdown(title: str) -> str:
+    return f"""
+        '### Status: {title}' || chr(10) || chr(10) || '### Resumo: ' || chr(10) || 'Documents with labels.'
+        || chr(10) || chr(10) || '### Problemas encontrados:' || chr(10)
+        || string_agg('- ' || text, chr(10) order by position)"""
+
+
 SQL = {
     "contract_lineitem": _check_rows("lineitem", _LINE_CHECKS),
     "contract_lineitem_wide": "select "
@@ -262,9 +284,13 @@ SQL = {
     + ", ".join(f'{_finding_test(k, c, e)} as "{n}"' for n, k, c, e in _FINDING_CHECKS)
     + f" from ({_FOUND})",
     "findings_text": f"""select "column", text from ({_TEXT})""",
-    "findings_markdown": f"""
-        select '### Status: Ready_With_Issues' || chr(10) || chr(10) || '### Resumo: ' || chr(10)
-               || 'Documents with labels.' || chr(10) || chr(10) || '### Problemas encontrados:' || chr(10)
-               || string_agg('- ' || text, chr(10) order by position) as markdown
-        from ({_TEXT})""",
+    "findings_markdown": f"select {_markdown('Ready_With_Issues')} as markdown from ({_TEXT})",
+    "readiness_report_docs": f"""
+        select case when nq < 0.5 * n then 'not_ready' else 'ready_with_issues' end as readiness_status,
+               'Documents with labels.' as summary, findings, n_columns,
+               case when nq < 0.5 * n then bad else good end as markdown
+        from ({_COUNTS}),
+             (select string_agg("column" || ':' || severity, ';' order by position) as findings,
+                     cast(count(*) as int) as n_columns from ({_FOUND})),
+             (select {_markdown('Not_Ready')} as bad, {_markdown('Ready_With_Issues')} as good from ({_TEXT}))""",
 }

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.cells import literal_rows
 from tidemark.plans import log as L
 from tidemark.plans.runner import apply_plan, step
+from tidemark.session import scratch_path
+from tidemark.sources import files
 from workload.tables import CALL_LOG, CALLS, call_log, on, round6
 
 STEPS = [
@@ -108,7 +111,20 @@ TOOL_IDS = [
 
 
 def tool_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOOL_IDS, "tool_id int, name string, n_args int, is_query boolean")
+    """The ids as a CSV table, which is how they are handed on."""
+    path = scratch_path(spark, "tool-map")
+    files.write_csv(literal_rows(spark, TOOL_IDS, files.TOOL_MAP_SCHEMA), path)
+    return files.read_tool_map(spark, path)
+
+
+@on("lineitem")
+def log_appended(lineitem: DataFrame) -> DataFrame:
+    """Two logs appended to one stored table."""
+    log = call_log(lineitem)
+    path = scratch_path(lineitem.sparkSession, "log")
+    L.append_log(log, path)
+    L.append_log(log.withColumn("run_id", F.concat(F.lit("again-"), "run_id")), path)
+    return L.calls_per_op(lineitem.sparkSession.read.parquet(path))
 
 
 @on("lineitem")
@@ -126,6 +142,7 @@ QUERIES = {
     "plan_orders_log": plan_orders_log,
     "plan_orders_lineage": plan_orders_lineage,
     "log_calls_per_op": log_calls_per_op,
+    "log_appended": log_appended,
     "log_totals": log_totals,
     "log_success_rates": log_success_rates,
     "log_history_by_op": log_history_by_op,
@@ -170,6 +187,7 @@ SQL = {
     "plan_orders_lineage": """
         select distinct 'orders' as run_id, 'o_orderstatus' as original, 'status_code' as "current" from orders""",
     "log_calls_per_op": f"select op, count(*) as n_calls from ({CALL_LOG}) group by op",
+    "log_appended": f"select op, 2 * count(*) as n_calls from ({CALL_LOG}) group by op",
     "log_totals": f"select count(*) as n_calls, count(distinct op) as n_ops from ({CALL_LOG})",
     "log_success_rates": f"""
         select op, count(*) as n_calls, count(*) filter (where success) as n_success,

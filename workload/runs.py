@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import results as R
+from tidemark.operators.contracts import TableContract, check_contract
 from workload.tables import (
     CALLS_BY_RUN,
     EVAL_RUNS,
@@ -133,6 +134,18 @@ def runs_with_metrics(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return R.attach_metrics(checks, metrics)
 
 
+@on("lineitem")
+def runs_of_contracts(lineitem: DataFrame) -> DataFrame:
+    """Contract checks of a table recorded as two runs, and the share each meets."""
+    loose = TableContract(no_nulls=("l_tax",), ranges={"l_quantity": (1, 50), "l_discount": (0, 1)})
+    tight = TableContract(cardinality={"l_returnflag": 2}, ranges={"l_quantity": (1, 50), "l_discount": (0, 0.05)})
+    records = {
+        name: R.run_record(check_contract(lineitem, contract), run, name, {"total_cost": 0.25 * run})
+        for run, (name, contract) in enumerate({"loose": loose, "tight": tight}.items(), 1)
+    }
+    return round6(R.run_accuracy(R.combine_runs(records)), "accuracy")
+
+
 @on("lineitem")
 def repeated_runs(lineitem: DataFrame) -> DataFrame:
     return R.repeated_runs(lineitem, ["l_orderkey", "l_linenumber"])
@@ -156,6 +169,7 @@ QUERIES = {
     "tool_rate_regression": tool_rate_regression,
     "runs_combined": runs_combined,
     "runs_with_metrics": runs_with_metrics,
+    "runs_of_contracts": runs_of_contracts,
     "repeated_runs": repeated_runs,
 }
 
@@ -226,6 +240,15 @@ SQL = {
         select t.run_id, quantity_is_bounded, nothing_returned, discount_is_low, tax_is_paid, model,
                t.dataset, o_totalprice as total_cost
         from ({TRANSFORMATION}) t join orders on o_orderkey = run_id""",
+    "runs_of_contracts": """
+        select round(accuracy, 6) as accuracy, model, model as dataset, total_cost, run_id,
+               round(accuracy, 2) as avg_acc
+        from (select (cast(count(*) = count(l_tax) as int) + cast(bool_and(l_quantity between 1 and 50) as int)
+                      + cast(bool_and(l_discount between 0 and 1) as int)) / 3 as accuracy,
+                     'loose' as model, 0.25::double as total_cost, 1::bigint as run_id from lineitem
+              union all
+              select (cast(count(distinct l_returnflag) = 2 as int) + cast(bool_and(l_quantity between 1 and 50) as int)
+                      + cast(bool_and(l_discount between 0 and 0.05) as int)) / 3, 'tight', 0.5, 2 from lineitem)""",
     "repeated_runs": """
         select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1""",
 }
