@@ -66,7 +66,8 @@ def brute_force(text, pack):
 
 PIECES = st.sampled_from(
     ["ignore", "ignroe", "IgnOre", "ignor", "syetsm", "delete", "dlteee", "all", "previous", "instructions", "system",
-     "override", "rveeal", "prompt", " ", "  ", "\n", "-", "_", "é", "ç", "9", ".", "'", "você", "modo", "sistema", "sisetam"]
+     "override", "rveeal", "prompt", " ", "  ", "\n", "-", "_", "é", "ç", "9", ".", "'", "você", "modo", "sistema", "sisetam",
+     "ſystem", "rEveal", "prOmpt", "ıgnore", "İgnore", "delete", "VOCÊ", "está", "agora", "desenvolvedor", "\x1c", "\u2028"]
 )
 
 
@@ -117,3 +118,11 @@ def test_planted_cell_is_found(spark, shops):
 def test_empty_pack(spark):
     df = spark.createDataFrame([("x",)], "text string")
     assert df.select(S.is_injection(F.col("text"), S.ScreenPack((), ("ab",)))).first()[0] is False
+
+
+def test_patterns_that_need_the_slow_search(spark):
+    pack = S.ScreenPack((r"[A-C]x\S", r"(?:ΣΑ)", r"straße"), ())
+    texts = ["BX1", "cx ", "σα", "STRASSE", "STRAßE", "dx1"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    out = [r[0] for r in df.select(S.matches_pattern(F.col("text"), pack.patterns)).collect()]
+    assert out == [brute_force(t, pack) for t in texts]

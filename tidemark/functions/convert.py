@@ -25,37 +25,38 @@ DATE_FORMATS = (
     "yyyy-M-d'T'HH:mm:ss.SSSSSS",
 )
 
-INT_TEXT = r"^[+-]?[0-9]+$"
+INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*$"
 FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"
 
 
-def _plain(text: Column) -> Column:
-    """Outer blanks and digit-group underscores (`1_000`) removed."""
-    return F.regexp_replace(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), "(?<=[0-9])_(?=[0-9])", "")
+def _ungrouped(text: Column) -> Column:
+    """Lower case, outer blanks and digit-group underscores (`1_000`) removed."""
+    return F.regexp_replace(F.lower(F.trim(text)), "(?<=[0-9])_(?=[0-9])", "")
 
 
 def to_int(value: Column, dtype: T.DataType) -> Column:
     """Whole number or NULL. Text such as `5.0` is no whole number; a float loses its fraction."""
-    if isinstance(dtype, T.StringType):
-        text = _plain(value)
-        return F.when(text.rlike(INT_TEXT), text.try_cast("long"))
-    return value.try_cast("long")
+    if not isinstance(dtype, T.StringType):
+        return value.try_cast("long")
+    grouped = F.when(F.trim(value).rlike(INT_TEXT), _ungrouped(value).try_cast("long"))
+    return F.when(F.contains(value, F.lit("_")), grouped).otherwise(value.try_cast("long"))
 
 
 def to_float(value: Column, dtype: T.DataType) -> Column:
     """Float or NULL; `nan` reads as missing."""
+    number = value.try_cast("double")
     if isinstance(dtype, T.StringType):
-        text = F.lower(_plain(value))
-        number = F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
-    else:
-        number = value.try_cast("double")
+        # A cast would also take the suffixes d and f and hexadecimal digits.
+        text = _ungrouped(value)
+        checked = F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
+        number = F.when(value.rlike("[_dDfFxX]"), checked).otherwise(number)
     return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def spells_nan(value: Column, dtype: T.DataType) -> Column:
     """Cells that hold a missing number in some spelling and so convert to NULL rightly."""
     if isinstance(dtype, T.StringType):
-        return F.lower(_plain(value)).rlike("^[+-]?nan$")
+        return F.lower(F.trim(value)).rlike("^[+-]?nan$")
     if is_float(dtype):
         return F.isnan(value)
     return F.lit(False)

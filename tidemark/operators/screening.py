@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -52,11 +54,37 @@ def _flagged(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+# Letters that match `s` or `i` without case although their lower case is another letter.
+ODD_LETTERS = "ſıİ"
+
+
+def _fits_lower_case(pattern: str) -> bool:
+    """The pattern, put in lower case, finds in lower-case text what it finds without case.
+
+    Not so with upper-case classes, character sets, inline flags and letters beyond Latin-1.
+    """
+    plain = not re.search(r"\\[A-Z]|\[|\(\?", pattern)
+    return plain and "µ" not in pattern and all(ord(c) < 256 for c in pattern)
+
+
+def _any_of(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def matches_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """Any of the phrase patterns occurs in the text."""
-    if not patterns:
-        return F.lit(False)
-    return text.rlike(_flagged("|".join(f"(?:{p})" for p in patterns)))
+    """Any of the phrase patterns occurs in the text, whatever the case.
+
+    A search that minds the case skips ahead by whole words, so where that gives the same
+    result the patterns are searched in the lower-case text.
+    """
+    quick = [p for p in patterns if _fits_lower_case(p)]
+    slow = [text.rlike(_flagged(p)) for p in patterns if p not in quick]
+    odd = _any_of([F.contains(text, F.lit(c)) for c in ODD_LETTERS])
+    lower = F.lower(text)
+    found = F.when(odd, _any_of([text.rlike(_flagged(p)) for p in quick])).otherwise(
+        _any_of([lower.rlike("(?U)" + p.lower()) for p in quick])
+    )
+    return found | _any_of(slow)
 
 
 def words_of(text: Column) -> Column:
@@ -74,12 +102,15 @@ def has_scrambled_word(text: Column, words: Sequence[str]) -> Column:
     Only words with the right ends and length are taken out of the text, so the sorting of
     letters is done for few words however long the text is.
     """
-    targets = [w.lower() for w in words if len(w) >= 3]
+    # Only letters, numbers and underscores make up a word of the text.
+    targets = [w.lower() for w in words if len(w) >= 3 and re.fullmatch(r"\w+", w)]
     if not targets:
         return F.lit(False)
     shapes = dict.fromkeys((w[0], len(w) - 2, w[-1]) for w in targets)
     likely = "|".join(f"{a}{LETTER}{{{n}}}{z}" for a, n, z in shapes)
-    candidates = F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{LETTER})({likely})(?!{LETTER})"), F.lit(1))
+    firsts = "".join(dict.fromkeys(a for a, _, _ in shapes))
+    whole = f"(?=[{firsts}])(?<!{LETTER})({likely})(?!{LETTER})"
+    candidates = F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(1))
     listed = [w[0] + "".join(sorted(w[1:-1])) + w[-1] for w in targets]
 
     def sorted_form(word: Column) -> Column:
@@ -105,11 +136,14 @@ def is_injection_in(text: Column, language: Column, packs: Mapping[str, ScreenPa
 def sanitized(text: Column, pack: ScreenPack, max_length: int = MAX_LENGTH) -> Column:
     """White space collapsed, runs of four or more equal characters cut to one, phrases
     replaced by a mark, and the result limited to `max_length` characters."""
-    out = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
+    # A single plain space is left as it is.
+    out = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]", " ")
     out = F.regexp_replace(out, r"(?s)(.)\1{3,}", "$1")
+    marked = out
     for pattern in pack.patterns:
-        out = F.regexp_replace(out, _flagged(pattern), FILTERED)
-    return F.substring(out, 1, max_length)
+        marked = F.regexp_replace(marked, _flagged(pattern), FILTERED)
+    # Without a match of any pattern none of the replacements does anything.
+    return F.substring(F.when(matches_pattern(out, pack.patterns), marked).otherwise(out), 1, max_length)
 
 
 def screen_table(
