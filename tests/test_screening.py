@@ -65,7 +65,7 @@ def brute_force(text, pack):
 
 
 PIECES = st.sampled_from(
-    ["ignore", "ignroe", "IgnOre", "ignor", "syetsm", "delete", "dlteee", "all", "previous", "instructions", "system",
+    ["dleete", "deltee", "dteele", "deeete", "dllete", "delet", "bpyass", "bypsas", "bypass", "byypss", "ignore", "ignroe", "IgnOre", "ignor", "syetsm", "delete", "dlteee", "all", "previous", "instructions", "system",
      "override", "rveeal", "prompt", " ", "  ", "\n", "-", "_", "é", "ç", "9", ".", "'", "você", "modo", "sistema", "sisetam",
      "ſystem", "rEveal", "prOmpt", "ıgnore", "İgnore", "delete", "VOCÊ", "está", "agora", "desenvolvedor", "\x1c", "\u2028"]
 )

@@ -79,12 +79,10 @@ def matches_pattern(text: Column, patterns: Sequence[str]) -> Column:
     """
     quick = [p for p in patterns if _fits_lower_case(p)]
     slow = [text.rlike(_flagged(p)) for p in patterns if p not in quick]
-    odd = _any_of([F.contains(text, F.lit(c)) for c in ODD_LETTERS])
     lower = F.lower(text)
-    found = F.when(odd, _any_of([text.rlike(_flagged(p)) for p in quick])).otherwise(
-        _any_of([lower.rlike("(?U)" + p.lower()) for p in quick])
-    )
-    return found | _any_of(slow)
+    found = _any_of([lower.rlike("(?U)" + p.lower()) for p in quick])
+    odd = _any_of([F.contains(text, F.lit(c)) for c in ODD_LETTERS])
+    return found | (odd & _any_of([text.rlike(_flagged(p)) for p in quick])) | _any_of(slow)
 
 
 def words_of(text: Column) -> Column:
@@ -92,31 +90,35 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({LETTER}+)"), F.lit(1))
 
 
-def _middle(word: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(F.substring(word, F.lit(2), F.length(word) - 2), "")), "")
+def _scrambles(word: str) -> str:
+    """A pattern for the word with its inner letters in any order.
+
+    After the first letter come as many letters of the inner set as the word has, then its
+    last letter and the word's end; and each inner letter occurs as often as in the word.
+    """
+    first, inner, last = word[0], word[1:-1], word[-1]
+    end = f"{last}(?!{LETTER})"
+    letters = sorted(set(inner))
+    counts = []
+    for letter in letters:
+        others = "".join(x for x in letters if x != letter)
+        skip = f"[{others}]*" if others else ""
+        counts.append(f"(?=(?:{skip}{letter}){{{inner.count(letter)}}}[{''.join(letters)}]*{end})")
+    return f"{first}(?=[{''.join(letters)}]{{{len(inner)}}}{end}){''.join(counts)}"
 
 
 def has_scrambled_word(text: Column, words: Sequence[str]) -> Column:
     """Some word equals a listed one up to the order of its inner letters.
 
-    Only words with the right ends and length are taken out of the text, so the sorting of
-    letters is done for few words however long the text is.
+    One search of the text, which ends at the first hit.
     """
     # Only letters, numbers and underscores make up a word of the text.
     targets = [w.lower() for w in words if len(w) >= 3 and re.fullmatch(r"\w+", w)]
     if not targets:
         return F.lit(False)
-    shapes = dict.fromkeys((w[0], len(w) - 2, w[-1]) for w in targets)
-    likely = "|".join(f"{a}{LETTER}{{{n}}}{z}" for a, n, z in shapes)
-    firsts = "".join(dict.fromkeys(a for a, _, _ in shapes))
-    whole = f"(?=[{firsts}])(?<!{LETTER})({likely})(?!{LETTER})"
-    candidates = F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(1))
-    listed = [w[0] + "".join(sorted(w[1:-1])) + w[-1] for w in targets]
-
-    def sorted_form(word: Column) -> Column:
-        return F.concat(F.substring(word, 1, 1), _middle(word), F.right(word, F.lit(1)))
-
-    return F.exists(candidates, lambda w: sorted_form(w).isin(*listed))
+    firsts = "".join(dict.fromkeys(w[0] for w in targets))
+    any_word = "|".join(_scrambles(w) for w in targets)
+    return F.lower(text).rlike(f"(?=[{firsts}])(?<!{LETTER})(?:{any_word})")
 
 
 def is_injection(text: Column, pack: ScreenPack) -> Column:
@@ -136,8 +138,7 @@ def is_injection_in(text: Column, language: Column, packs: Mapping[str, ScreenPa
 def sanitized(text: Column, pack: ScreenPack, max_length: int = MAX_LENGTH) -> Column:
     """White space collapsed, runs of four or more equal characters cut to one, phrases
     replaced by a mark, and the result limited to `max_length` characters."""
-    # A single plain space is left as it is.
-    out = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]", " ")
+    out = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
     out = F.regexp_replace(out, r"(?s)(.)\1{3,}", "$1")
     marked = out
     for pattern in pack.patterns:
