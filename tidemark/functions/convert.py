@@ -25,7 +25,7 @@ DATE_FORMATS = (
     "yyyy-M-d'T'HH:mm:ss.SSSSSS",
 )
 
-INT_TEXT = r"^[+-]?[0-9]+(_[0-9]+)*$"
+INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"
 
 
@@ -38,8 +38,9 @@ def to_int(value: Column, dtype: T.DataType) -> Column:
     """Whole number or NULL. Text such as `5.0` is no whole number; a float loses its fraction."""
     if not isinstance(dtype, T.StringType):
         return value.try_cast("long")
-    grouped = F.when(F.trim(value).rlike(INT_TEXT), _ungrouped(value).try_cast("long"))
-    return F.when(F.contains(value, F.lit("_")), grouped).otherwise(value.try_cast("long"))
+    # The pattern comes first: a failing cast raises and catches an error for every such cell.
+    digits = F.when(F.contains(value, F.lit("_")), _ungrouped(value)).otherwise(value)
+    return F.when(value.rlike(INT_TEXT), digits.try_cast("long"))
 
 
 def to_float(value: Column, dtype: T.DataType) -> Column:

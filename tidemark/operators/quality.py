@@ -79,7 +79,7 @@ def _literal_kind(text: Column) -> Column:
         .when(word.rlike(r"^[+-]?[0-9]+$"), "int")
         .when(word.rlike(r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?=e))(e[+-]?[0-9]+)?$"), "float")
         .when(word.isin("true", "false"), "bool")
-        .when(text.try_cast("timestamp_ntz").isNotNull(), "datetime")
+        .when(word.rlike("^[0-9]{4}-[0-9]") & text.try_cast("timestamp_ntz").isNotNull(), "datetime")
         .otherwise("str")
     )
 
