@@ -1,6 +1,6 @@
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from tidemark.operators import contracts as C
 

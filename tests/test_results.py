@@ -2,7 +2,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from tidemark.operators import results as R
 

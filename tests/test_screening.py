@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from conftest import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 

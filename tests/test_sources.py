@@ -52,3 +52,16 @@ def test_scratch_follows_the_session(spark):
     assert path.startswith(named) if named else path
     assert scratch_path(spark, "x") != path
     assert rows(stored(spark.range(3), "numbers")) == [(0,), (1,), (2,)]
+
+
+def test_no_local_scratch_on_a_cluster():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Cluster(), "x")

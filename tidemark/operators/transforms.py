@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions import convert
 from tidemark.functions.cells import as_text, cell, is_float, is_numeric, known, literal_rows, missing, type_of
 from tidemark.functions.guards import require_column, require_editable, require_new, require_numeric
-from tidemark.functions.joins import lookup_join
+from tidemark.functions.joins import BROADCAST_ROWS, lookup_join
 
-# A literal mapping up to this size becomes one map expression; a larger one is joined.
-LITERAL_MAPPING = 200
+# A literal mapping up to this size becomes one map expression, which is searched from its start
+# for every row; a larger one is joined by hash.
+LITERAL_MAPPING = 32
 
 
 def _set(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -292,10 +293,10 @@ def map_col_values(
     target = _value_type(mapping.values())
     typed = {_typed_key(k, dtype): v for k, v in mapping.items()}
     if len(typed) > LITERAL_MAPPING:
-        schema = T.StructType([T.StructField("key", dtype), T.StructField("value", target)])
+        schema = T.StructType([T.StructField("__key", dtype), T.StructField("__value", target)])
         rows = [(k, float(v) if isinstance(target, T.DoubleType) and v is not None else v) for k, v in typed.items()]
-        table = literal_rows(df.sparkSession, rows, schema)
-        return map_from_table(df, column, table, "key", "value", frozen)
+        entries = literal_rows(df.sparkSession, rows, schema)
+        return _mapped_by_join(df, column, entries, small=True if len(rows) <= BROADCAST_ROWS else None)
     pairs = [x for k, v in typed.items() for x in (F.lit(k).cast(dtype), F.lit(v).cast(target))]
     key = known(df, column)
     if is_float(dtype):
@@ -324,6 +325,13 @@ def map_from_table(
     repeated = entries.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         raise ValueError("The mapping table holds a key more than once.")
-    left = df.select("*", known(df, column).alias("__key"))
-    joined = lookup_join(left, entries, ["__key"], "left", small)
+    return _mapped_by_join(df, column, entries, small)
+
+
+def _mapped_by_join(df: DataFrame, column: str, entries: DataFrame, small: bool | None) -> DataFrame:
+    """Replace the column by `__value` of the entry with its `__key`; keys are unique."""
+    key = known(df, column)
+    if is_float(type_of(df, column)):
+        key = key + F.lit(0.0).cast(type_of(df, column))  # -0.0 finds 0.0
+    joined = lookup_join(df.select("*", key.alias("__key")), entries, ["__key"], "left", small)
     return joined.select(*[F.col("__value").alias(c) if c == column else cell(c) for c in df.columns])
