@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions import convert
 from tidemark.functions.cells import as_text, cell, is_float, is_numeric, known, literal_rows, missing, type_of
 from tidemark.functions.guards import require_column, require_editable, require_new, require_numeric
-from tidemark.functions.joins import BROADCAST_ROWS, lookup_join
+from tidemark.functions.joins import lookup_join
 
 # A literal mapping up to this size becomes one map expression, which is searched from its start
 # for every row; a larger one is joined by hash.
@@ -296,7 +296,7 @@ def map_col_values(
         schema = T.StructType([T.StructField("__key", dtype), T.StructField("__value", target)])
         rows = [(k, float(v) if isinstance(target, T.DoubleType) and v is not None else v) for k, v in typed.items()]
         entries = literal_rows(df.sparkSession, rows, schema)
-        return _mapped_by_join(df, column, entries, small=True if len(rows) <= BROADCAST_ROWS else None)
+        return _mapped_by_join(df, column, entries, small=None)
     pairs = [x for k, v in typed.items() for x in (F.lit(k).cast(dtype), F.lit(v).cast(target))]
     key = known(df, column)
     if is_float(dtype):

@@ -19,6 +19,11 @@ def dup_rows_all_cols(documents: DataFrame) -> DataFrame:
     return Q.duplicate_rows(documents.drop("doc_id", "source"))
 
 
+@on("conversations")
+def dup_turns(conversations: DataFrame) -> DataFrame:
+    return Q.duplicate_rows(conversations, ["conv_id", "role", "text"])
+
+
 @on("documents", "labels")
 def dup_rows_with_nulls(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return Q.duplicate_rows(labelled(documents, labels), ["lang", "quality", "toxic"])
@@ -161,6 +166,7 @@ def _top_sql(source: str, columns: list[str], limit: int) -> str:
 QUERIES = {
     "dup_rows_lineitem": dup_rows_lineitem,
     "dup_rows_all_cols": dup_rows_all_cols,
+    "dup_turns": dup_turns,
     "dup_rows_with_nulls": dup_rows_with_nulls,
     "type_mix_props": type_mix_props,
     "type_mix_literal": type_mix_literal,
@@ -187,6 +193,7 @@ def _duplicates_sql(source: str, columns: str) -> str:
 SQL = {
     "dup_rows_lineitem": _duplicates_sql("lineitem", "l_orderkey, l_linenumber"),
     "dup_rows_all_cols": _duplicates_sql("documents", "text, lang, n_chars"),
+    "dup_turns": _duplicates_sql("conversations", "conv_id, role, text"),
     "dup_rows_with_nulls": _duplicates_sql(f"({LABELLED})", "lang, quality, toxic"),
     "type_mix_props": """
         select case json_type(mixed) when 'OBJECT' then 'dict' when 'ARRAY' then 'list' when 'DOUBLE' then 'float'

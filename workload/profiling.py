@@ -24,6 +24,27 @@ def profile_documents(documents: DataFrame) -> DataFrame:
     return P.column_counts(documents)
 
 
+@on("events")
+def profile_events(events: DataFrame) -> DataFrame:
+    return P.column_counts(events)
+
+
+@on("embeddings")
+def profile_embeddings(embeddings: DataFrame) -> DataFrame:
+    """A column of arrays is counted by its JSON text."""
+    return P.column_counts(embeddings)
+
+
+@on("pages")
+def profile_pages(pages: DataFrame) -> DataFrame:
+    return P.column_counts(pages)
+
+
+@on("conversations")
+def profile_conversations(conversations: DataFrame) -> DataFrame:
+    return P.column_counts(conversations)
+
+
 @on("documents", "labels")
 def profile_nulls_docs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return P.null_counts(labelled(documents, labels))
@@ -108,6 +129,10 @@ QUERIES = {
     "profile_orders": profile_orders,
     "profile_lineitem": profile_lineitem,
     "profile_documents": profile_documents,
+    "profile_events": profile_events,
+    "profile_embeddings": profile_embeddings,
+    "profile_pages": profile_pages,
+    "profile_conversations": profile_conversations,
     "profile_nulls_docs": profile_nulls_docs,
     "has_nulls_quality": has_nulls_quality,
     "row_count_lineitem": row_count_lineitem,
@@ -128,6 +153,10 @@ SQL = {
         join ({_samples_sql("orders", list(ORDERS), "o_orderkey")}) s on s."column" = d."column" """,
     "profile_lineitem": _counts_sql("lineitem", LINEITEM),
     "profile_documents": _counts_sql("documents", DOCUMENTS),
+    "profile_events": _counts_sql("events", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+    "profile_embeddings": _counts_sql("embeddings", ["vec_id", "embedding", "label"]),
+    "profile_pages": _counts_sql("pages", ["page_id", "url", "html"]),
+    "profile_conversations": _counts_sql("conversations", ["conv_id", "turn", "role", "text"]),
     "profile_nulls_docs": " union all ".join(
         f"""select '{c}' as "column", count(*) filter (where {c} is null) as n_nulls from ({LABELLED})"""
         for c in [*DOCUMENTS, "quality", "toxic"]
