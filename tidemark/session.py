@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -35,16 +38,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+@functools.cache
+def _local_scratch(application: str) -> str:
+    """The folder of a local session that names none: one for the application, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder that `spark.checkpoint.dir` names.
 
-    Only where the setting is absent (tests on one machine) is a local folder taken.
+    Only where the setting is absent and driver and tasks are one process is a local folder taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        base = _local_scratch(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
