@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lines, packing, sharding
+from tidemark.llm import language, lines, minhash, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identified(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts and the group of near-duplicate texts of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.grouped(docs).select("doc_id", "class_id", "group_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards that each match the mixture of sources."""
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
@@ -35,7 +53,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op3_language_id": op3_language_id,
+    "op4_minhash": op4_minhash,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
