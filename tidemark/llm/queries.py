@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, lines, minhash, packing, quality, sharding
+from tidemark.llm import decontam, language, lines, minhash, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, a row for each pair."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.leaked_pairs(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later occurrences of repeated three-line windows."""
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash": op4_minhash,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
