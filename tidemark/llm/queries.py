@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontam, language, lines, minhash, packing, quality, sharding
+from tidemark.llm import decontam, language, lines, minhash, packing, quality, rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.grouped(docs).select("doc_id", "class_id", "group_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every document and its verdict by base rules and adaptive thresholds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return rules.judged(docs, carry=["doc_id"]).withColumn("failed", F.array_join("failed", ","))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_language_id": op3_language_id,
     "op4_minhash": op4_minhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
@@ -86,6 +93,56 @@ coded as (
 )"""
 
 SQL = {
+    "op6_quality_rules": f"""
+with words as (
+    select doc_id, lang, source, text, regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+') as w from documents
+), windows as (
+    select doc_id, i, w[i:i + 4] as win from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) as i from words)
+), repeated as (
+    select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from windows) where n > 1
+), covered as (
+    select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from repeated) group by 1
+), lines as (
+    select doc_id, count(*) - count(distinct line) as n
+    from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+    where regexp_matches(line, '[^ \\t\\n\\x0b\\x0c\\r]') group by 1
+), measured as (
+    select doc_id, lang, source, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+    from words left join covered c using (doc_id) left join lines l using (doc_id)
+), shared as (
+    select *, word_chars / nullif(n_words, 0)::double as word_length, n_symbols / nullif(word_chars, 0)::double as symbol_share,
+           n_dup_lines / nullif(n_words, 0)::double as dup_line_share, n_repeat_words / nullif(n_words, 0)::double as repeat_share
+    from measured
+), long as (
+    select doc_id, lang, source, measure, value from shared
+    unpivot include nulls (value for measure in (word_length, symbol_share, dup_line_share, repeat_share))
+), quartiles as (
+    select lang, source, measure, grouping(lang, source) as level, count(*) as n,
+           quantile_disc(value, 0.25) as q1, quantile_disc(value, 0.75) as q3
+    from long group by grouping sets ((measure, lang, source), (measure, lang), (measure))
+), rules(measure, times, least) as (
+    values {", ".join(f"('{n}', {t}, {m})" for n, (t, m) in rules.FENCES.items())}
+), fences as (
+    select *, q1 - greatest((q3 - q1) * times, least) as low, q3 + greatest((q3 - q1) * times, least) as high
+    from quartiles join rules using (measure)
+), failed as (
+    select x.doc_id, list(x.measure) as names
+    from long x
+    join fences a on a.level = 3 and a.measure = x.measure
+    join fences l on l.level = 1 and l.measure = x.measure and l.lang = x.lang
+    join fences s on s.level = 0 and s.measure = x.measure and s.lang = x.lang and s.source = x.source
+    where x.value < case when s.n >= {rules.SMALL} then s.low when l.n >= {rules.SMALL} then l.low else a.low end
+       or x.value > case when s.n >= {rules.SMALL} then s.high when l.n >= {rules.SMALL} then l.high else a.high end
+    group by 1
+), verdict as (
+    select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEATED} * n_words as base_failed from measured
+)
+select v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       array_to_string(list_filter([{", ".join(f"'{n}'" for n in rules.FENCES)}],
+                                   lambda x: list_contains(coalesce(f.names, []), x)), ',') as failed,
+       not base_failed and f.names is null as kept
+from verdict v left join failed f using (doc_id)""",
     "op7_sharding": f"""{_CRC}, ranked as (
     select *, (row_number() over (partition by source order by md5('{sharding.SEED}:' || doc_id), doc_id) - 0.5::double)
               / count(*) over (partition by source) as share,
