@@ -13,6 +13,7 @@ input, and no task holds more than a window of pieces or that many tasks' leftov
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,12 +30,17 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 #: Of a sequence: tokens, pieces, and tokens that bear loss.
 LIMITS = {"length": 4096, "segments": 256, "loss_tokens": 4096}
-WINDOW = 4096  # pieces that are packed together in a task
+WINDOW = 1024  # pieces that are packed together in a task
 NEIGHBOURS = 64  # tasks whose leftovers are packed together
 FULL = 0.995  # share of the first limit from which a sequence is closed early
 
-CACHED_WORDS = 200_000  # words that a task remembers the ids of
-LONG_WORD = 200  # characters from which a word isn't remembered
+CACHED = 500_000  # words, and parts of words, that a task remembers the ids of
+LONG = 200  # characters from which a word isn't remembered
+
+# The tokenizer's own splitting of words, for words of printable ASCII and Latin letters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SPECIAL = "<|"
 
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -42,34 +48,66 @@ PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     """Text to its ids as little-endian unsigned 32-bit integers, with the end id.
 
-    The tokenizer drops white space and never joins across it, so each word is encoded once and
-    remembered. A test holds this against encoding whole texts.
+    The tokenizer drops white space, never joins across it and cuts words into runs of letters, single
+    digits and runs of signs that its model encodes each for itself. So each word, and each such part
+    of a new word, is encoded once and remembered. Words with other characters are encoded as they
+    stand. A test holds all this against encoding whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, as_bytes = tokenizer.model, byte_characters()
     known: dict[str, bytes] = {}
+    parts: dict[str, bytes] = {}
     end = np.array([end_id], "<u4").tobytes()
 
+    def of_part(part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(as_bytes)
+        return np.array([t.id for t in model.tokenize(part)], "<u4").tobytes()
+
+    def of_word(word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or _SPECIAL in word:
+            return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in _PARTS.findall(word.lower()):
+            if (ids := parts.get(part)) is None:
+                ids = of_part(part)
+                if len(part) < LONG:
+                    parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > CACHED_WORDS:
+        new = set(words).difference(known)
+        if len(known) + len(new) > CACHED:
             known.clear()
-            new = list(set(words))
-        found = {
-            w: np.array(e.ids, "<u4").tobytes()
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))
-        }
-        known.update((w, b) for w, b in found.items() if len(w) < LONG_WORD)
-        if len(found) > CACHED_WORDS or any(len(w) >= LONG_WORD for w in found):
-            return b"".join([found[w] if w in found else known[w] for w in words]) + end
-        return b"".join(map(known.__getitem__, words)) + end
+            new = set(words)
+        if len(parts) > CACHED:
+            parts.clear()
+        for word in new:
+            known[word] = of_word(word)
+        ids = b"".join(map(known.__getitem__, words)) + end
+        for word in new:
+            if len(word) >= LONG:
+                del known[word]
+        return ids
 
     return encode
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies, where they differ.
+
+    Printable bytes stand for themselves, all others for the characters from 256 on, in order.
+    """
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 def tokenized(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, length: int = 4096) -> DataFrame:
     """A row for each piece: the document's columns, start, length, ids_crc32, doc_tokens, loss_tokens, segments.
 
@@ -113,21 +151,27 @@ def tokenized(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, l
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Sequences as lists of row numbers of `sizes`, by the dot-product heuristic. Each row fits alone."""
+    if not len(sizes):
+        return []
     scaled = sizes / limits
-    weight = scaled.mean(axis=0) if len(sizes) else scaled
-    places = np.argsort(-(scaled @ weight), kind="stable") if len(sizes) else np.array([], int)
+    weight = scaled.mean(axis=0) / limits
+    places = np.argsort(-(scaled @ weight), kind="stable")
     out: list[list[int]] = []
     while len(places):
         rest, chosen = limits.copy(), []
+        own, own_scaled = sizes[places].T, scaled[places]
         free = np.ones(len(places), bool)
-        own, own_scaled = sizes[places], scaled[places]
         while True:
-            fits = free & (own <= rest).all(axis=1)
+            fits = free.copy()
+            for size, left in zip(own, rest):
+                fits &= size <= left
             if not fits.any():
                 break
-            k = int(np.where(fits, own_scaled @ (weight * rest / limits), -1.0).argmax())
+            gain = own_scaled @ (weight * rest)
+            gain[~fits] = -1.0
+            k = int(gain.argmax())
             free[k] = False
-            rest = rest - own[k]
+            rest = rest - own[:, k]
             chosen.append(int(places[k]))
         out.append(chosen)
         places = places[free]
