@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontam, language, lines, minhash, packing, quality, rules, sharding
+from tidemark.llm import decontam, language, licenses, lines, minhash, packing, quality, rules, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of all documents that grant a licence, with its family."""
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -35,6 +40,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.grouped(docs).select("doc_id", "class_id", "group_id")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, by fixed patterns and by character models."""
+    return secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures of every document and its verdict by base rules and adaptive thresholds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -65,8 +75,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_minhash": op4_minhash,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
