@@ -118,3 +118,12 @@ def test_vocabulary(spark, findings):
     assert G.check_vocabulary(findings).count() == 0
     odd = [(0, "a", "awful", []), (1, "b", "low", [("x", "guess")]), (2, "c", None, []), (3, "d", "low", [("x", None)])]
     assert G.check_vocabulary(spark.createDataFrame(odd, G.FINDINGS_SCHEMA)).count() == 4
+
+
+@pytest.mark.parametrize("width", [20, 63, 64, 65, 80])
+def test_cells_of_any_length_are_tested_as_they_stand(spark, width):
+    rows = [(f"{1 + k % 28:02d}/{1 + k % 12:02d}/2021".ljust(width), f"{k},50".ljust(width)) for k in range(100)]
+    features = {r["column"]: r for r in G.column_features(spark.createDataFrame(rows, "day string, price string")).collect()}
+    assert (features["day"]["n_dates"], features["price"]["n_affixed"]) == (100, 100)
+    found = {r["column"]: r for r in G.readiness_findings(spark.createDataFrame(rows, "day string, price string")).collect()}
+    assert (found["day"]["severity"], found["price"]["severity"]) == ("medium", "high")

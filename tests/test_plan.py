@@ -202,3 +202,18 @@ def test_operation_types(log):
     assert kinds == {"query", "create_col", "drop_col", "transform_col"}
     typed = L.with_op_types(log.select("op"))
     assert rows(typed.distinct()) == [("drop_column", "drop_col"), ("dummy_tool", None), ("has_nulls", "query")]
+
+
+def test_overflow_is_contained(spark):
+    df = spark.createDataFrame([(2**63 - 1, 2), (5, 3)], "a long, b long")
+    steps = [
+        step("sum_value", column="a", value=1),
+        step("multiply_cols", first_col="a", second_col="b", new_col_name="c"),
+        step("sum_cols", first_col="b", second_col="b", new_col_name="d"),
+        step("sum_value", column="d", value=2**63 - 10),
+    ]
+    done = apply_plan(df, steps)
+    log = {r["step_no"]: r for r in done.log.collect()}
+    assert [log[i]["success"] for i in range(1, 5)] == [False, False, True, True]
+    assert "exceeds" in log[1]["error"]
+    assert set(rows(done.df)) == {(5, 3, 2**63 - 4), (2**63 - 1, 2, 2**63 - 6)}

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from conftest import rows
 
+from tidemark.functions import quantiles
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import quality as Q
 from pyspark.sql import functions as F
@@ -74,7 +75,6 @@ def test_missing_patterns(spark):
         ("g", "x", 2, 0.5), ("g", "y", 1, 1.0), ("h", "p", 2, 0.5), ("h", "q", 2, 0.5),
     ]
     assert rows(Q.missing_patterns(df.dropna(), "v")) == []
-    assert rows(Q.missing_patterns(df, "v", by=["h"], max_categories=1)) == []
     assert rows(Q.missing_patterns(df.select("v"), "v")) == []
 
 
@@ -84,19 +84,23 @@ def numpy_outliers(values):
     return q1, q3, int((values < low).sum()), int((values > high).sum())
 
 
-@pytest.mark.parametrize("accuracy", [20, 2000])
-@pytest.mark.parametrize("kind", ["normal", "ties", "heavy", "two", "one"])
-def test_outliers_against_numpy(spark, kind, accuracy):
+@pytest.mark.parametrize("kept", [20, 10_000])
+@pytest.mark.parametrize("kind", ["normal", "ties", "heavy", "gap", "cluster", "two", "one"])
+def test_outliers_against_numpy(spark, monkeypatch, kind, kept):
+    """A gap at the quartiles, clusters beside far outliers, and brackets of a few values."""
+    monkeypatch.setattr(quantiles, "KEPT", kept)
     rng = np.random.default_rng(5)
     values = {
         "normal": rng.normal(size=30001),
         "ties": rng.integers(0, 4, 20000).astype(float),
         "heavy": np.exp(rng.normal(0, 6, 10000)),
+        "gap": np.concatenate([rng.normal(size=250), 1e9 + rng.normal(size=500), 2e9 + rng.normal(size=250)]),
+        "cluster": np.concatenate([1e-12 * rng.random(5000), [1e300, -1e300], 5 + 1e-9 * rng.random(5000)]),
         "two": np.array([1.0, 4.0]),
         "one": np.array([3.0]),
     }[kind]
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
-    out = Q.iqr_outliers(df, ["v"], accuracy=accuracy).first()
+    out = Q.iqr_outliers(df, ["v"]).first()
     q1, q3, n_low, n_high = numpy_outliers(values)
     assert out["q1"] == pytest.approx(q1, rel=1e-12)
     assert out["q3"] == pytest.approx(q3, rel=1e-12)
@@ -125,7 +129,7 @@ def test_grouped_quantiles(spark, few):
     frame = pd.DataFrame({"g": ["hot"] * 20000 + ["cold"] * 300 + [None] * 50, "v": rng.gamma(0.3, 100, 20350)})
     df = spark.createDataFrame(frame, "g string, v double").repartition(6)
     probabilities = [0.0, 0.1, 0.5, 0.999, 1.0]
-    out = exact_quantiles(df, ["g"], F.col("v"), probabilities, few_groups=few, accuracy=50, also={"mean": F.avg})
+    out = exact_quantiles(df, ["g"], F.col("v"), probabilities, few_groups=few, kept=50, also={"mean": F.avg})
     found = {r["g"]: r for r in out.collect()}
     for key, part in frame.groupby("g", dropna=False):
         got = found[key if isinstance(key, str) else None]
@@ -137,5 +141,5 @@ def test_grouped_quantiles(spark, few):
 def test_quantiles_with_infinities(spark):
     values = [float("-inf")] + [float(i) for i in range(999)] + [float("inf")]
     df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
-    out = exact_quantiles(df, ["g"], F.col("v"), [0.0, 0.5, 1.0], few_groups=True, accuracy=20).first()
+    out = exact_quantiles(df, ["g"], F.col("v"), [0.0, 0.5, 1.0], few_groups=True, kept=20).first()
     assert out["quantiles"] == [float("-inf"), 499.0, float("inf")]

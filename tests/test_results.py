@@ -122,3 +122,10 @@ def test_repeated_runs_and_metrics(spark, tables):
     assert rows(R.repeated_runs(runs.union(runs.where("run_id = 3")))) == [(3, "d1", 2)]
     costs = spark.createDataFrame([(1, 0.5)], "run_id long, cost double")
     assert rows(R.attach_metrics(runs, costs)) == [(1, "d1", 0.5)]
+
+
+def test_repeated_runs_are_refused(spark):
+    runs = spark.createDataFrame([(1, "d", 0.5, 1.0, "m"), (1, "d", 0.6, 1.0, "m")], "run_id int, dataset string, accuracy double, total_cost double, model string")
+    with pytest.raises(Exception, match="more than once"):
+        R.pair_stages(runs, runs.limit(1)).collect()
+    assert R.pair_stages(runs.limit(1), runs.limit(1)).count() == 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import as_text
 from tidemark.operators import transforms as X
+from tidemark.plans.runner import apply_plan, step
 
 
 @pytest.fixture(scope="module")
@@ -113,16 +114,42 @@ def test_to_datetime_is_free_of_the_time_zone(spark):
 
 def test_to_int(spark, table):
     texts = ["5", " 7 ", "-3", "+4", "1_000", "5.0", "x", "", None, "99999999999999999999"]
-    assert converted(spark, texts, X.convert_column_to_int) == [5, 7, -3, 4, 1000, None, None, None, None, None]
-    assert column(X.convert_column_to_int(table, "v"), "v") == [1, None, 0]
+    assert converted(spark, texts, lambda df, c: X.convert_column_to_int(df, c, on_error="null")) == [5, 7, -3, 4, 1000, None, None, None, None, None]
+    assert column(X.convert_column_to_int(table, "v", on_error="null"), "v") == [1, None, 0]
 
 
 def test_to_float(spark, table):
     texts = ["5", " 7.25 ", "-.5", "1e3", "1_000.5", "8,75", "1.5d", "0x1p3", "nan", "inf", None]
-    assert converted(spark, texts, X.convert_column_to_float) == [
+    assert converted(spark, texts, lambda df, c: X.convert_column_to_float(df, c, on_error="null")) == [
         5.0, 7.25, -0.5, 1000.0, 1000.5, None, None, None, None, float("inf"), None,
     ]
-    assert column(X.convert_column_to_float(table, "n"), "n") == [1.0, 2.0, None]
+    assert column(X.convert_column_to_float(table, "n", on_error="null"), "n") == [1.0, 2.0, None]
+
+
+@pytest.mark.parametrize("convert", [X.convert_column_to_int, X.convert_column_to_float])
+def test_conversions_are_all_or_nothing(spark, convert):
+    assert converted(spark, ["5", None, " 7"], convert) == [5, None, 7]
+    with pytest.raises(Exception, match="does not convert"):
+        converted(spark, ["5", "x"], convert)
+
+
+def test_overflow_fails_or_is_missing(spark):
+    df = spark.createDataFrame([(2**63 - 1, 1), (1, 1)], "a long, b long")
+    with pytest.raises(Exception, match="(?i)overflow"):
+        X.sum_value(df, "a", 1).collect()
+    assert column(X.sum_value(df, "a", 1, on_overflow="null"), "a") == [None, 2]
+    assert column(X.sum_cols(df, "a", "b", "c", on_overflow="null"), "c") == [None, 2]
+    assert [r[0] for r in df.select(X.overflows(df, "sum", "a", 1)).collect()] == [True, False]
+
+
+def test_large_literal_mapping_runs_no_job(spark):
+    df = spark.range(100)
+    mapping = {k: f"v{k}" for k in range(50)}
+    spark.sparkContext.setJobGroup("mapping", "mapping")
+    done = apply_plan(df, [step("map_col_values", column="id", mapping=mapping)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("mapping")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["id"] or "" for r in done.df.collect()) == sorted([f"v{k}" for k in range(50)] + [""] * 50)
 
 
 def test_conversion_failures(spark):

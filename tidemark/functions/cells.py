@@ -82,8 +82,8 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
     )
 
 
-def key_text(df: DataFrame, name: str) -> Column:
-    """A text that is equal for equal cells and NULL for missing ones; short for long texts."""
+def plain_key(df: DataFrame, name: str) -> Column:
+    """A text that is equal for equal cells and NULL for missing ones."""
     dtype = type_of(df, name)
     value = known(df, name)
     if is_float(dtype):
@@ -94,11 +94,16 @@ def key_text(df: DataFrame, name: str) -> Column:
         text = F.to_json(value)
     else:
         text = value.cast("string")
-    if isinstance(dtype, (T.StringType, T.BinaryType, *NESTED)):
-        return digest_long(text)
     return text
 
 
+def key_text(df: DataFrame, name: str) -> Column:
+    """`plain_key`, and short for long texts."""
+    if isinstance(type_of(df, name), (T.StringType, T.BinaryType, *NESTED)):
+        return digest_long(plain_key(df, name))
+    return plain_key(df, name)
+
+
 def digest_long(text: Column) -> Column:
     return F.when(F.length(text) >= DIGEST_FROM, F.sha2(text, 256)).otherwise(text)
 

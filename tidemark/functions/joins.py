@@ -42,11 +42,13 @@ def _hash(keys: Sequence[str]) -> Column:
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of all keys with at least this share of the rows, and perhaps of some others.
+    """Hashes of the keys with at least this share of the rows; there are at most `1 / share`.
 
-    One pass over the key columns without a shuffle; the list's length is bounded by the share.
+    Rows are counted by hash where they are read and then by many tasks; only hot hashes get further.
     """
-    return df.select(_hash(keys).alias("h")).stat.freqItems(["h"], share).first()[0] or []
+    counts = df.groupBy(_hash(keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return [r["h"] for r in counts.where(F.col("n") >= total * F.lit(share)).select("h").collect()]
 
 
 def spread_hot(
@@ -73,16 +75,24 @@ def matches(pairs: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    small: bool | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """Join with a table that holds one row per key, of the same type on both sides.
 
     `small=True` is for lookups whose size is bounded by construction (one row per table
-    column or per listed literal); otherwise the size is measured first.
+    column or per listed literal); otherwise the size is measured first. `spread=False` looks for
+    no hot keys beforehand, so that no job runs, and leaves skewed partitions to Spark.
     """
     if small is None:
         small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), list(on), how)
+    if not spread:
+        return left.join(right, list(on), how)
     left, right = spread_hot(left, right, on, on)
     return left.join(right, [*on, "__salt"], how).drop("__salt")

@@ -1,21 +1,23 @@
 """Exact quantiles of any number of rows, without gathering them.
 
-The built-in exact `percentile` keeps every distinct value of a group in one task. Here
-
-1. a sketch brackets each wanted rank, `3 / accuracy` to either side; the sketch's own rank
-   error is at most `1 / accuracy`, so the bracket holds the value;
-2. a second pass counts what lies below the bracket and keeps the values inside, merged by
-   value where they are read; the table itself is not shuffled;
-3. the bracket is cut into `BUCKETS` equal parts, whose counts tell the part with the rank;
-4. only that part's values are ranked.
-
-Groups of up to `4 * accuracy` rows need no bracket and are kept whole. Should a bracket ever
-miss its rank, the query fails rather than give a wrong figure.
+The built-in exact `percentile` keeps every distinct value of a group in one task. Here each wanted
+rank has a bracket of values, at first the whole group:
+
+1. the values inside the bracket are counted in `BUCKETS` equal parts, by partial aggregation where
+   they are read; the running counts tell the part that holds the rank, and the part's least and
+   greatest value are the next bracket;
+2. this goes on until a bracket holds at most `KEPT` values or only one distinct one; parts are equal
+   by value and, every other time, by magnitude, so clustered values and far outliers need few rounds;
+3. the values of the last brackets are counted by value and ranked.
+
+Brackets are a few rows for each group and are written between rounds. Every round reads the table
+once and shuffles nothing but counts. The ranks are exact whatever the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,9 +25,9 @@ from tidemark.functions.cells import cell
 from tidemark.functions.joins import fits_broadcast, matches, spread_hot
 from tidemark.session import stored
 
-ACCURACY = 2_000
-BUCKETS = 10_000
-BELOW = -1  # the bucket of everything below the bracket
+ACCURACY = 2_000  # of the approximate quantiles
+BUCKETS = 4_096
+KEPT = 10_000
 
 
 def exact_quantiles(
@@ -34,132 +36,121 @@ def exact_quantiles(
     value: Column,
     probabilities: Sequence[float],
     few_groups: bool | None = None,
-    accuracy: int = ACCURACY,
     also: Mapping[str, Callable[[Column], Column]] | None = None,
+    kept: int | None = None,
 ) -> DataFrame:
     """One row per group: `by…`, `n` and `quantiles`, linearly interpolated, in order.
 
     NULL and NaN are left out; a group of nothing else gives no row. `also` names further
-    aggregates of the value that the sketching pass computes. `few_groups=True` states that
-    the number of groups is bounded by construction; otherwise the sketches are stored and
-    counted.
+    aggregates of the value that the first pass computes. `few_groups=True` states that the
+    number of groups is bounded by construction; otherwise they are counted.
     """
-    also = also or {}
+    also, kept = also or {}, KEPT if kept is None else kept
     keys = [f"__k{i}" for i in range(len(by))]
-    facts = ["__n", *also]  # one value per group
     base = df.select(*[cell(b).alias(k) for b, k in zip(by, keys)], value.cast("double").alias("__v"))
     base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-
-    margin = 3.0 / accuracy
-    marks = [m for p in probabilities for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = base.groupBy(*keys).agg(
+    facts = base.groupBy(*keys).agg(
         F.count("*").alias("__n"),
-        F.percentile_approx("__v", marks, accuracy).alias("__m"),
+        F.min("__v").alias("__lo"),
+        F.max("__v").alias("__hi"),
         *[make(F.col("__v")).alias(name) for name, make in also.items()],
     )
+    facts = stored(facts, "facts")
     if few_groups is None:
-        sketch = stored(sketch, "sketch")
-        few_groups = fits_broadcast(sketch)
-
-    kept = _kept(base, sketch, keys, facts, probabilities, accuracy, few_groups)
-    rank = F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("__i")) * (F.col("__n") - 1)
-
-    sums = kept.groupBy(*keys, *facts, "__i", "__b").agg(F.sum("__c").alias("__c"))
-    upto_bucket = F.sum("__c").over(
-        Window.partitionBy(*keys, "__i").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    hit = (
-        sums.withColumn("__upto", upto_bucket)
-        .withColumn("__before", F.col("__upto") - F.col("__c"))
-        .where((F.col("__before") <= F.ceil(rank)) & (F.col("__upto") > F.floor(rank)))
-        .select(*[F.col(c).alias(f"{c}_h") for c in [*keys, "__i", "__b"]], "__before")
+        few_groups = fits_broadcast(facts)
+
+    # Two ranks for each probability, between which a quantile is interpolated.
+    at = [F.lit(float(p)) * (F.col("__n") - 1) for p in probabilities]
+    ranks = [r.cast("long") for a in at for r in (F.floor(a), F.ceil(a))]
+    rows = [
+        F.struct(
+            F.lit(i).alias("__t"), r.alias("__rank"), F.col("__lo"), F.col("__hi"), F.lit(0).cast("long").alias("__before"), F.col("__n").alias("__inside")
+        )
+        for i, r in enumerate(ranks)
+    ]
+    brackets = facts.select(*keys, F.inline(F.array(*rows)))
+    wide = (F.col("__inside") > kept) & (F.col("__lo") < F.col("__hi"))
+    for turn in count():
+        open_ones = brackets.where(wide)
+        if open_ones.isEmpty():
+            break
+        narrowed = _narrowed(base, open_ones, keys, few_groups, by_magnitude=turn % 2 == 1)
+        brackets = stored(brackets.where(~wide).unionByName(narrowed), "brackets")
+
+    state = [*keys, "__t", "__rank", "__before"]
+    single = brackets.where("__lo = __hi").select(*keys, "__t", F.col("__lo").alias("__v"))
+    counts = (
+        _inside(base, brackets.where("__lo < __hi"), keys, few_groups).groupBy(*state, "__v").agg(F.count("*").alias("__c"))
     )
-    # At most two buckets per group and rank.
-    pairs = [(F.col(c), F.col(f"{c}_h")) for c in [*keys, "__i", "__b"]]
-    inside = kept.join(F.broadcast(hit) if few_groups else hit, matches(pairs))
-    upto_value = F.sum("__c").over(
-        Window.partitionBy(*keys, "__i", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _holding(counts, keys, "__v").select(*keys, "__t", "__v")
+    found = single.unionByName(ranked).groupBy(*keys).agg(
+        *[F.min(F.when(F.col("__t") == i, F.col("__v"))).alias(f"__q{i}") for i in range(len(ranks))]
     )
-    ranked = inside.withColumn("__upto", F.col("__before") + upto_value)
-
-    def end(i: int, target: Column) -> Column:
-        """The smallest value whose running count passes the 0-based rank."""
-        return F.min(F.when((F.col("__i") == i) & (F.col("__upto") > target), F.col("__v")))
-
-    def missed(i: int) -> Column:
-        return F.bool_or((F.col("__i") == i) & (F.col("__b") == BELOW))
-
-    ends = ranked.groupBy(*keys, *facts).agg(
-        *[
-            agg.alias(f"__{name}{i}")
-            for i in range(len(probabilities))
-            for name, agg in (("a", end(i, F.floor(rank))), ("b", end(i, F.ceil(rank))), ("missed", missed(i)))
-        ]
-    )
-
-    def between(i: int, p: float) -> Column:
-        at = F.lit(float(p)) * (F.col("__n") - 1)
-        low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
-        held = ~F.col(f"__missed{i}") & high.isNotNull()
-        exact = F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
-        return F.when(held, exact).otherwise(F.raise_error("A sketch missed its rank.").cast("double"))
-
-    return ends.select(
+    pairs = [(F.col(k), F.col(f"{k}_f")) for k in keys]
+    found = found.select(*[F.col(k).alias(f"{k}_f") for k in keys], *[f"__q{i}" for i in range(len(ranks))])
+    if keys:
+        joined = facts.join(F.broadcast(found) if few_groups else found, matches(pairs))
+    else:  # one group: its quantiles are one row
+        one = found.agg(F.first(F.struct(*[f"__q{i}" for i in range(len(ranks))])).alias("q")).scalar()
+        joined = facts.where("__n > 0").withColumns({f"__q{i}": one.getField(f"__q{i}") for i in range(len(ranks))})
+
+    def between(i: int) -> Column:
+        low, high = F.col(f"__q{2 * i}"), F.col(f"__q{2 * i + 1}")
+        return F.when(low == high, low).otherwise(low + (high - low) * (at[i] - F.floor(at[i])))
+
+    return joined.select(
         *[F.col(k).alias(b) for b, k in zip(by, keys)],
         F.col("__n").alias("n"),
         *also,
-        F.array(*[between(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"),
+        F.array(*[between(i) for i in range(len(probabilities))]).alias("quantiles"),
     )
 
 
-def _kept(
-    base: DataFrame,
-    sketch: DataFrame,
-    keys: Sequence[str],
-    facts: Sequence[str],
-    probabilities: Sequence[float],
-    accuracy: int,
-    few_groups: bool,
-) -> DataFrame:
-    """`keys…, facts…, __i, __b, __v, __c`: counts of the values inside the bracket of the
-    `__i`-th probability by bucket, and one count of all values below it."""
-    large = F.col("__n") > 4 * accuracy
-
-    def mark(at: int, open_end: float) -> Column:
-        return F.when(large, F.get("__m", F.lit(at))).otherwise(open_end)
-
-    brackets = sketch.select(
-        *[F.col(k).alias(f"{k}_s") for k in keys],
-        *facts,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("__i"),
-                    mark(2 * i, float("-inf")).alias("__lo"),
-                    mark(2 * i + 1, float("inf")).alias("__hi"),
-                )
-                for i in range(len(probabilities))
-            ]
-        ).alias("__brackets"),
-    )
-    pairs = [(F.col(k), F.col(f"{k}_s")) for k in keys]
-    if few_groups:
-        joined = base.join(F.broadcast(brackets), matches(pairs))
+def _inside(base: DataFrame, brackets: DataFrame, keys: Sequence[str], few_groups: bool) -> DataFrame:
+    """Each value beside every bracket of its group that holds it."""
+    own = [c for c in brackets.columns if c not in keys]
+    if keys:
+        listed = brackets.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("__brackets"))
+        listed = listed.select(*[F.col(k).alias(f"{k}_s") for k in keys], "__brackets")
+        pairs = [(F.col(k), F.col(f"{k}_s")) for k in keys]
+        if few_groups:
+            joined = base.join(F.broadcast(listed), matches(pairs))
+        else:
+            left, right = spread_hot(base, listed, keys, [f"{k}_s" for k in keys])
+            right = right.withColumnRenamed("__salt", "__salt_s")
+            joined = left.join(right, matches([*pairs, (F.col("__salt"), F.col("__salt_s"))]))
     else:
-        left, right = spread_hot(base, brackets, keys, [f"{k}_s" for k in keys])
-        right = right.withColumnRenamed("__salt", "__salt_s")
-        joined = left.join(right, matches([*pairs, (F.col("__salt"), F.col("__salt_s"))]))
-
-    value, low = F.col("__v"), F.col("__lo")
-    span = F.col("__hi") - low
-    part = F.least(F.floor((value - low) / span * BUCKETS), F.lit(BUCKETS - 1))
-    bucket = (
-        F.when(value < low, BELOW).when((span > 0) & (span < float("inf")), part).otherwise(0).cast("int")
+        joined = base.withColumn("__brackets", brackets.agg(F.collect_list(F.struct(*own)).alias("b")).scalar())
+    return joined.select(*keys, "__v", F.inline("__brackets")).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+
+def _magnitude(v: Column) -> Column:
+    """Grows with the value as its logarithm does, on both sides of 0; infinities lie beyond all others."""
+    size = F.least(F.log(F.abs(v)), F.lit(1000.0)) + 746.0
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0.0)
+
+
+def _narrowed(base: DataFrame, brackets: DataFrame, keys: Sequence[str], few_groups: bool, by_magnitude: bool) -> DataFrame:
+    """The brackets' parts that hold their ranks."""
+    place = _magnitude if by_magnitude else (lambda v: v / 2)  # halves, as a difference may exceed the range
+    value, low, high = (place(F.col(c)) for c in ("__v", "__lo", "__hi"))
+    share = F.try_divide(value - low, high - low)
+    part = F.when(share.isNull() | F.isnan(share), F.when(F.col("__v") == F.col("__hi"), BUCKETS - 1).otherwise(0)).otherwise(
+        F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
     )
-    return (
-        joined.select(*keys, *facts, "__v", F.inline("__brackets"))
-        .where(value <= F.col("__hi"))
-        .select(*keys, *facts, "__i", bucket.alias("__b"), F.when(value >= low, value).alias("__v"))
-        .groupBy(*keys, *facts, "__i", "__b", "__v")
-        .agg(F.count("*").alias("__c"))
+    state = [*keys, "__t", "__rank", "__before"]
+    counts = (
+        _inside(base, brackets, keys, few_groups)
+        .groupBy(*state, part.cast("int").alias("__part"))
+        .agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     )
+    hit = _holding(counts, keys, "__part")
+    return hit.select(*keys, "__t", "__rank", "__lo", "__hi", F.col("__upto").alias("__before"), F.col("__c").alias("__inside"))
+
+
+def _holding(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Of the counted parts of each bracket the one that holds its rank; `__upto` values come before it."""
+    before = Window.partitionBy(*keys, "__t").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("__before") + F.coalesce(F.sum("__c").over(before), F.lit(0))
+    placed = counts.withColumn("__upto", upto)
+    return placed.where((F.col("__upto") <= F.col("__rank")) & (F.col("__rank") < F.col("__upto") + F.col("__c")))

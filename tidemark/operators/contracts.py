@@ -8,7 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.cells import is_numeric, known, row_key, type_of
+from tidemark.functions.cells import is_numeric, known, type_of
+from tidemark.operators.profile import column_counts
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,8 @@ def _in_range(df: DataFrame, name: str, low: float, high: float) -> Column:
 
 @dataclass(frozen=True)
 class _Check:
+    """A test: an aggregate over the table, or for a cardinality one over the counts of distinct values."""
+
     name: str
     kind: str
     column: str
@@ -62,6 +65,18 @@ class _Check:
     holds: Column
 
 
+def _distinct(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Distinct values of each named column, as fields of one scalar.
+
+    Cells are counted by (column, value) where they are read; counting them within the aggregation of
+    the other checks would copy every row once for each column.
+    """
+    counts = column_counts(df, names)
+    fields = [F.coalesce(F.max(F.when(F.col("column") == n, F.col("n_unique"))), F.lit(0)).alias(f"d{i}") for i, n in enumerate(names)]
+    row = counts.agg(F.struct(*fields).alias("distinct")).scalar()
+    return {n: row.getField(f"d{i}") for i, n in enumerate(names)}
+
+
 def _checks(df: DataFrame, contract: TableContract, lineage: Mapping[str, str]) -> list[_Check]:
     """The checks as aggregates over the table. A column that is not there fails its checks."""
 
@@ -69,6 +84,8 @@ def _checks(df: DataFrame, contract: TableContract, lineage: Mapping[str, str])
         current = lineage.get(column, column)
         return test(current) if current in df.columns else F.lit(False)
 
+    counted = [n for n in dict.fromkeys(lineage.get(c, c) for c in contract.cardinality) if n in df.columns]
+    distinct = _distinct(df, counted) if counted else {}
     checks = [
         _Check(
             f"{c}_dtype_is_{t}", "dtype", c, t, holds(c, lambda n, t=t: F.lit(_dtype_holds(type_of(df, n), t)))
@@ -95,7 +112,7 @@ def _checks(df: DataFrame, contract: TableContract, lineage: Mapping[str, str])
             "cardinality",
             c,
             str(k),
-            holds(c, lambda n, k=k: F.count_distinct(row_key(df, n)) == k),
+            holds(c, lambda n, k=k: distinct[n] == k),
         )
         for c, k in contract.cardinality.items()
     ]
@@ -112,10 +129,17 @@ def _checks(df: DataFrame, contract: TableContract, lineage: Mapping[str, str])
     return checks
 
 
+def _tested(df: DataFrame, checks: list[_Check]) -> DataFrame:
+    """One row with the outcome `c0, c1, …` of every check: one aggregation, and one over distinct values."""
+    direct = {f"c{i}": c for i, c in enumerate(checks) if c.kind != "cardinality"}
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[c.holds.alias(n) for n, c in direct.items()])
+    return row.select(*[F.col(f"c{i}") if f"c{i}" in direct else c.holds.alias(f"c{i}") for i, c in enumerate(checks)])
+
+
 def check_contract(df: DataFrame, contract: TableContract, lineage: Mapping[str, str] | None = None) -> DataFrame:
-    """One row with one boolean column per check, from one aggregation over the table."""
+    """One row with one boolean column per check."""
     checks = _checks(df, contract, lineage or {})
-    return df.agg(*[c.holds.alias(c.name) for c in checks])
+    return _tested(df, checks).select(*[F.col(f"c{i}").alias(c.name) for i, c in enumerate(checks)])
 
 
 def check_contract_rows(
@@ -123,7 +147,6 @@ def check_contract_rows(
 ) -> DataFrame:
     """The same as rows `check, kind, column, expected, passed`."""
     checks = _checks(df, contract, lineage or {})
-    wide = df.agg(*[c.holds.alias(f"c{i}") for i, c in enumerate(checks)])
     rows = [
         F.struct(
             F.lit(c.name).alias("check"),
@@ -134,10 +157,11 @@ def check_contract_rows(
         )
         for i, c in enumerate(checks)
     ]
-    return wide.select(F.inline(F.array(*rows)))
+    return _tested(df, checks).select(F.inline(F.array(*rows)))
 
 
 def contract_met(df: DataFrame, contract: TableContract, lineage: Mapping[str, str] | None = None) -> DataFrame:
     """One row, `passed`: all checks hold."""
-    checks = [c.holds for c in _checks(df, contract, lineage or {})]
-    return df.agg(reduce(lambda a, b: a & b, checks, F.lit(True)).alias("passed"))
+    checks = _checks(df, contract, lineage or {})
+    tests = [F.col(f"c{i}") for i in range(len(checks))]
+    return _tested(df, checks).select(reduce(lambda a, b: a & b, tests, F.lit(True)).alias("passed"))

@@ -57,13 +57,19 @@ AFFIXED_NUMBER = r"^([A-Za-z]{0,3}\p{Sc})?\s*[+-]?[0-9][0-9.,]*\s*[\p{L}%]{0,12}
 def column_features(df: DataFrame, rules: ReportRules = ReportRules()) -> DataFrame:
     """What the rules look at: profile counts and how many cells read as dates, numbers, years.
 
-    Texts are tested once per distinct value, on the counts that the profile needs anyway.
+    Tests ride on the counts that the profile needs anyway; cells of any length are tested as they stand.
     """
-    plain = F.trim(F.translate("value", "'\"", ""))
+
+    def plain(value: Column) -> Column:
+        return F.trim(F.translate(value, "'\"", ""))
+
     counts = column_counts(
         df,
-        text={"n_dates": convert.fits_date(plain, rules.date_formats), "n_affixed": plain.rlike(AFFIXED_NUMBER)},
-        whole={"n_years": F.col("value").between(*rules.years)},
+        text={
+            "n_dates": lambda v: convert.fits_date(plain(v), rules.date_formats),
+            "n_affixed": lambda v: plain(v).rlike(AFFIXED_NUMBER),
+        },
+        whole={"n_years": lambda v: v.between(*rules.years)},
     )
     figures = ["n_rows", "n_nulls", "n_unique", "n_dates", "n_affixed", "n_years"]
     # One row per table column, so the broadcast is bounded by the schema.

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.cells import (
+    DIGEST_FROM,
     NESTED,
     as_text,
     cell,
@@ -17,10 +18,13 @@ from tidemark.functions.cells import (
     literal_rows,
     long_form,
     missing,
+    plain_key,
     type_of,
 )
 from tidemark.functions.guards import require_column
 
+Test = Callable[[Column], Column]  # of a value, to true or false
+
 DICTIONARY = "position int, column string, dtype string"
 
 
@@ -53,41 +57,56 @@ def _family_key(df: DataFrame, name: str) -> Column:
     return cell(name)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """Per family of types the rows `column, value, n`.
+def value_counts(
+    df: DataFrame, columns: Sequence[str], tests: Mapping[str, Mapping[str, Test]] | None = None
+) -> dict[str, DataFrame]:
+    """Per family of types the rows `column, value, n`, and a column for each of the family's tests.
 
     Each family reads its own columns only, so every column is read once. Cells are counted
     per (column, value) before the shuffle: a value that fills a third of the table travels as
-    one row per task, and a long text as its digest.
+    one row per task, and a long text as its digest. Tests run once per distinct value; only
+    those of long texts run on the cells, as their digest says nothing of them.
     """
     families: dict[str, list[str]] = {}
     for name in columns:
         families.setdefault(_family(type_of(df, name)), []).append(name)
-    return {
-        family: long_form(df, {n: _family_key(df, n) for n in names})
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-        for family, names in families.items()
-    }
+    out = {}
+    for family, names in families.items():
+        given = (tests or {}).get(family, {})
+        if family != "text" or not given:
+            counts = long_form(df, {n: _family_key(df, n) for n in names}).groupBy("column", "value").agg(F.count("*").alias("n"))
+            out[family] = counts.withColumns({t: test(F.col("value")) for t, test in given.items()})
+            continue
+        cells = long_form(df, {n: _tested_key(df, n, given) for n in names}).select("column", "value.*")
+        counts = cells.groupBy("column", "value", *given).agg(F.count("*").alias("n"))
+        out[family] = counts.withColumns({t: F.coalesce(t, test(F.col("value"))) for t, test in given.items()})
+    return out
+
+
+def _tested_key(df: DataFrame, name: str, tests: Mapping[str, Test]) -> Column:
+    """The key of a text cell beside the tests of the cell itself, where the key is only a digest."""
+    text = plain_key(df, name)
+    long = F.length(text) >= DIGEST_FROM
+    return F.struct(key_text(df, name).alias("value"), *[F.when(long, test(text)).alias(t) for t, test in tests.items()])
 
 
 def column_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    text: Mapping[str, Column] | None = None,
-    whole: Mapping[str, Column] | None = None,
+    text: Mapping[str, Test] | None = None,
+    whole: Mapping[str, Test] | None = None,
 ) -> DataFrame:
     """`column, n_rows, n_nulls, n_unique` for the named columns.
 
-    `text` and `whole` name tests of `value` in text and whole-number columns; each becomes a
-    column with the number of rows that pass, and runs once per distinct value.
+    `text` and `whole` name tests of the values of text and whole-number columns; each becomes a
+    column with the number of rows that pass.
     """
     tests = {"text": text or {}, "whole": whole or {}}
     names = [n for given in tests.values() for n in given]
 
     def summary(family: str, counts: DataFrame) -> DataFrame:
         given = tests.get(family, {})
-        passed = {n: F.sum(F.when(given[n], F.col("n"))) if n in given else F.lit(None) for n in names}
+        passed = {n: F.sum(F.when(F.col(n), F.col("n"))) if n in given else F.lit(None) for n in names}
         return counts.groupBy("column").agg(
             F.sum("n").alias("n_rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
@@ -95,7 +114,7 @@ def column_counts(
             *[F.coalesce(total.cast("long"), F.lit(0)).alias(n) for n, total in passed.items()],
         )
 
-    parts = [summary(f, c) for f, c in value_counts(df, list(columns or df.columns)).items()]
+    parts = [summary(f, c) for f, c in value_counts(df, list(columns or df.columns), tests).items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.cells import (
+    DIGEST_FROM,
     as_text,
     cell,
+    digest_long,
     is_float,
     is_numeric,
     known,
@@ -59,12 +61,14 @@ def _type_name(dtype: T.DataType) -> str:
 
 def _json_kind(text: Column) -> Column:
     """The kind of a JSON document's top value; text that is no JSON is a plain `str`."""
-    shape = F.regexp_extract(F.schema_of_variant(F.try_parse_json(text)), "^[A-Z]+", 0)
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    shape = F.regexp_extract(kind, "^[A-Z]+", 0)
     return (
         F.when(text.isNull() | (shape == "VOID"), None)
         .when(shape == "OBJECT", "dict")
         .when(shape == "ARRAY", "list")
-        .when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
+        # Whole numbers beyond 64 bits are decimals without decimals.
+        .when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\([0-9]+,0\)$"), "int")
         .when(shape.isin("DOUBLE", "FLOAT", "DECIMAL"), "float")
         .when(shape == "BOOLEAN", "bool")
         .otherwise("str")
@@ -104,9 +108,18 @@ def value_types(df: DataFrame, column: str, read: str = "typed") -> DataFrame:
     return kinds.groupBy("value_type").agg(F.count("*").alias("n"))
 
 
+HEAD = 32  # characters of a text that travel with its digest, to order ties
+
+
 def top_values(df: DataFrame, column: str, limit: int = TOP_VALUES) -> DataFrame:
-    """`value, n`: the most frequent values, missing included; ties go to the smaller value."""
+    """`value, n`: the most frequent values, missing included; ties go to the smaller value.
+
+    Texts are counted by digest; only those that may rank are read again as they stand.
+    """
     require_column(df, column)
+    if isinstance(type_of(df, column), T.StringType):
+        counts = _ranking_texts(df, [column], limit, F.col("value")).select("value", "n")
+        return counts.orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(limit)
     counts = df.select(known(df, column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(limit)
 
@@ -115,11 +128,9 @@ def top_values_all(df: DataFrame, columns: Sequence[str] | None = None, limit: i
     """`column, value, n, rank` for many columns in one scan, values as text.
 
     Values are written out after they are counted, once each. A task keeps only its own first
-    `limit` values per column before the ranking shuffle.
+    `limit` values per column before the ranking shuffle. Long texts travel as digests.
     """
     names = list(columns or df.columns)
-    cells = long_form(df, {c: _cheap_text(df, c) for c in names})
-    counts = cells.groupBy("column", "value").agg(F.count("*").alias("n"))
     shown = F.col("value")
     for kind, read in (("double", "double"), ("boolean", "boolean")):
         of_kind = [c for c in names if _written_as(type_of(df, c)) == kind]
@@ -127,10 +138,37 @@ def top_values_all(df: DataFrame, columns: Sequence[str] | None = None, limit: i
             typed = T.DoubleType() if kind == "double" else T.BooleanType()
             shown = F.when(F.col("column").isin(of_kind), as_text(F.col("value").try_cast(read), typed)).otherwise(shown)
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    ranked = counts.withColumn("value", shown).withColumn("rank", F.row_number().over(order))
+    ranked = _ranking_texts(df, names, limit, shown).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= limit)
 
 
+def _ranking_texts(df: DataFrame, names: Sequence[str], limit: int, shown: Column) -> DataFrame:
+    """`column, value, n` for all values that may be among the first `limit` of their column.
+
+    Values are counted by digest and first characters, and written as `shown` says. What ranks up to
+    `limit` by count and first characters, ties included, is kept, and its long texts are looked up
+    in the table.
+    """
+    cells = long_form(df, {c: _cheap_text(df, c) for c in names})
+    long = F.coalesce(F.length("value") >= DIGEST_FROM, F.lit(False))
+    keyed = cells.select("column", "value", digest_long(F.col("value")).alias("key"), long.alias("long"))
+    start = F.when(long, F.substring("value", 1, HEAD)).alias("start")
+    counts = keyed.groupBy("column", "key", "long", start).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("value", F.col("key")).withColumn("value", F.when(F.col("long"), F.col("key")).otherwise(shown))
+    counts = counts.withColumn("head", F.coalesce("start", F.substring("value", 1, HEAD)))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("head"))
+    kept = counts.withColumn("place", F.rank().over(order)).where(F.col("place") <= limit)
+    short = kept.where(~F.col("long")).select("column", "value", "n")
+    texts = [c for c in names if not isinstance(type_of(df, c), (T.NumericType, T.BooleanType, T.DatetimeType))]
+    if not texts:
+        return short
+    wanted = kept.where(F.col("long")).select(F.col("column").alias("of"), F.col("key").alias("digest"), "n")
+    same = (F.col("column") == F.col("of")) & (F.col("key") == F.col("digest"))
+    found = keyed.where(F.col("long") & F.col("column").isin(texts)).join(wanted, same)
+    whole = found.groupBy("column", "key").agg(F.first("value").alias("value"), F.first("n").alias("n"))
+    return short.unionByName(whole.select("column", "value", "n"))
+
+
 def _written_as(dtype: T.DataType) -> str:
     if is_float(dtype):
         return "double"
@@ -145,13 +183,11 @@ def _cheap_text(df: DataFrame, name: str) -> Column:
     return cell(name).cast("string") if isinstance(dtype, T.BooleanType) else as_text(cell(name), dtype)
 
 
-def missing_patterns(
-    df: DataFrame, column: str, by: Sequence[str] | None = None, max_categories: int | None = None
-) -> DataFrame:
+def missing_patterns(df: DataFrame, column: str, by: Sequence[str] | None = None) -> DataFrame:
     """`by_column, category, n_rows, missing_share`: how often `column` is missing per category.
 
     Covers every other text column, or those named in `by`. Empty when `column` has no
-    missing cell. `max_categories` leaves out columns with more (approximate) distinct texts.
+    missing cell.
     """
     require_column(df, column)
     texts = [
@@ -159,9 +195,6 @@ def missing_patterns(
         for f in df.schema.fields
         if f.name != column and isinstance(f.dataType, T.StringType) and (by is None or f.name in by)
     ]
-    if texts and max_categories is not None:
-        widths = df.agg(*[F.approx_count_distinct(cell(c)) for c in texts]).first()
-        texts = [c for c, width in zip(texts, widths) if width <= max_categories]
     if not texts:
         schema = "by_column string, category string, n_rows long, missing_share double"
         return literal_rows(df.sparkSession, [], schema)
@@ -180,7 +213,7 @@ def iqr_outliers(
 ) -> DataFrame:
     """One row per column with quartiles, fences, counts beyond them and the outlier percentage.
 
-    `columns` defaults to all numeric ones. All columns share the same three scans. A column
+    `columns` defaults to all numeric ones, which share the same scans. A column
     that is not numeric, or has no value, gets a `message` and no figures.
     """
     names = list(columns) if columns is not None else [
@@ -201,7 +234,7 @@ def iqr_outliers(
             F.percentile_approx("value", [0.25, 0.75], accuracy).alias("quantiles")
         )
     else:
-        quartiles = exact_quantiles(cells, ["column"], F.col("value"), [0.25, 0.75], few_groups=True, accuracy=accuracy)
+        quartiles = exact_quantiles(cells, ["column"], F.col("value"), [0.25, 0.75], few_groups=True)
     q1, q3 = F.get("quantiles", F.lit(0)), F.get("quantiles", F.lit(1))
     fences = quartiles.select(
         "column",

@@ -61,6 +61,7 @@ def run_accuracy(results: DataFrame, checks: Sequence[str] | None = None) -> Dat
 
 
 def with_cost_per_accuracy(runs: DataFrame) -> DataFrame:
+    """Cost over the accuracy as it is, not over its rounded display value `avg_acc`."""
     return runs.withColumn("cost_per_acc", F.try_divide(F.col("total_cost"), F.col("accuracy")))
 
 
@@ -79,11 +80,19 @@ def central_interval(
 
 
 def pair_stages(evaluation: DataFrame, transformation: DataFrame) -> DataFrame:
-    """The two stages of each run side by side, with `config_name = eval/transform`."""
+    """The two stages of each run side by side, with `config_name = eval/transform`.
+
+    A run that a stage holds twice would multiply rows, so it fails the query; `repeated_runs` lists
+    such runs. The check rides on the shuffle that the join needs.
+    """
     columns = ["accuracy", "total_cost", "model"]
 
     def stage(runs: DataFrame, suffix: str) -> DataFrame:
-        return runs.select(*RUN_KEYS, *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
+        known = runs.where(F.col("run_id").isNotNull() & F.col("dataset").isNotNull())
+        one = known.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*columns)).alias("run"))
+        message = F.concat(F.lit("A run occurs more than once: "), F.col("run_id").cast("string"))
+        run = F.when(F.col("n") > 1, F.raise_error(message).cast(one.schema["run"].dataType)).otherwise(F.col("run"))
+        return one.select(*RUN_KEYS, run.alias("run")).select(*RUN_KEYS, *[F.col(f"run.{c}").alias(f"{c}_{suffix}") for c in columns])
 
     pairs = stage(evaluation, "eval").join(stage(transformation, "transform"), RUN_KEYS, "inner")
     return pairs.withColumn("config_name", F.concat_ws("/", "model_eval", "model_transform"))
@@ -136,9 +145,10 @@ def box_summary(
     few_groups: bool | None = None,
 ) -> DataFrame:
     """`by…, n, minimum, q1, median, q3, maximum` per group."""
-    summary = exact_quantiles(usage, by, cell(measure), [0.0, 0.25, 0.5, 0.75, 1.0], few_groups=few_groups)
-    names = ["minimum", "q1", "median", "q3", "maximum"]
-    return summary.select(*by, "n", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    ends = {"minimum": F.min, "maximum": F.max}
+    summary = exact_quantiles(usage, by, cell(measure), [0.25, 0.5, 0.75], few_groups=few_groups, also=ends)
+    inner = [F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+    return summary.select(*by, "n", "minimum", *inner, "maximum")
 
 
 def linear_fit(

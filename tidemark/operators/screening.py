@@ -43,7 +43,6 @@ PORTUGUESE = ScreenPack(
 PACKS = {"en": ENGLISH, "pt": PORTUGUESE}
 
 FILTERED = "[FILTERED]"
-MAX_LENGTH = 10_000
 
 # A word character is a letter or number of any script, or the underscore.
 LETTER = r"[\p{L}\p{N}_]"
@@ -135,16 +134,17 @@ def is_injection_in(text: Column, language: Column, packs: Mapping[str, ScreenPa
     return verdict
 
 
-def sanitized(text: Column, pack: ScreenPack, max_length: int = MAX_LENGTH) -> Column:
+def sanitized(text: Column, pack: ScreenPack, max_length: int | None = None) -> Column:
     """White space collapsed, runs of four or more equal characters cut to one, phrases
-    replaced by a mark, and the result limited to `max_length` characters."""
+    replaced by a mark. Only where `max_length` is given the result is cut to so many characters."""
     out = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
     out = F.regexp_replace(out, r"(?s)(.)\1{3,}", "$1")
     marked = out
     for pattern in pack.patterns:
         marked = F.regexp_replace(marked, _flagged(pattern), FILTERED)
     # Without a match of any pattern none of the replacements does anything.
-    return F.substring(F.when(matches_pattern(out, pack.patterns), marked).otherwise(out), 1, max_length)
+    clean = F.when(matches_pattern(out, pack.patterns), marked).otherwise(out)
+    return clean if max_length is None else F.substring(clean, 1, max_length)
 
 
 def screen_table(

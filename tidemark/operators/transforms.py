@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidemark.functions import convert
 from tidemark.functions.cells import as_text, cell, is_float, is_numeric, known, literal_rows, missing, type_of
 from tidemark.functions.guards import require_column, require_editable, require_new, require_numeric
-from tidemark.functions.joins import lookup_join
+from tidemark.functions.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 
 # A literal mapping up to this size becomes one map expression, which is searched from its start
 # for every row; a larger one is joined by hash.
@@ -122,17 +122,34 @@ def _require_number_like(df: DataFrame, column: str, target: str) -> None:
         raise ValueError(f"Column '{column}' is {dtype.simpleString()} and does not convert to {target}.")
 
 
-def convert_column_to_int(df: DataFrame, column: str, frozen: Iterable[str] = ()) -> DataFrame:
-    """Whole numbers. The plan runner rejects the step when `conversion_failures` finds any."""
+def _all_or_nothing(df: DataFrame, column: str, target: str, value: Column, on_error: str) -> DataFrame:
+    if on_error not in ("refuse", "null"):
+        raise ValueError(f"on_error must be refuse or null, not {on_error!r}")
+    bad = conversion_failures(df, column, target) if on_error == "refuse" else None
+    if bad is not None:
+        text = F.substring(as_text(cell(column), type_of(df, column)), 1, 100)
+        message = F.concat(F.lit(f"Column '{column}' does not convert to {target}: "), text)
+        kind = "long" if target == "int" else "double"
+        value = F.when(bad, F.raise_error(message).cast(kind)).otherwise(value)
+    return _set(df, column, value)
+
+
+def convert_column_to_int(df: DataFrame, column: str, frozen: Iterable[str] = (), on_error: str = "refuse") -> DataFrame:
+    """Whole numbers, all or nothing: a cell that is none fails the query when its row is computed.
+
+    `on_error="null"` makes such cells missing instead; the plan runner uses it, as it counts them
+    first and rejects the step, and streams do, where a whole column can't be checked.
+    """
     require_editable(df, column, frozen)
     _require_number_like(df, column, "int")
-    return _set(df, column, convert.to_int(known(df, column), type_of(df, column)))
+    return _all_or_nothing(df, column, "int", convert.to_int(known(df, column), type_of(df, column)), on_error)
 
 
-def convert_column_to_float(df: DataFrame, column: str, frozen: Iterable[str] = ()) -> DataFrame:
+def convert_column_to_float(df: DataFrame, column: str, frozen: Iterable[str] = (), on_error: str = "refuse") -> DataFrame:
+    """Floats, all or nothing as `convert_column_to_int`; `nan` is a missing number and no failure."""
     require_editable(df, column, frozen)
     _require_number_like(df, column, "float")
-    return _set(df, column, convert.to_float(known(df, column), type_of(df, column)))
+    return _all_or_nothing(df, column, "float", convert.to_float(known(df, column), type_of(df, column)), on_error)
 
 
 def conversion_failures(
@@ -159,6 +176,38 @@ def conversion_failures(
     return bad | missing(df, column) if strict else bad
 
 
+_EXACT = {
+    "sum": (F.try_add, lambda a, b: a + b),
+    "subtract": (F.try_subtract, lambda a, b: a - b),
+    "multiply": (F.try_multiply, lambda a, b: a * b),
+}
+
+
+def _computed(kind: str, a: Column, b: Column, on_overflow: str) -> Column:
+    """The result; where it exceeds its type the query fails, or with `null` the cell is missing."""
+    if on_overflow not in ("fail", "null"):
+        raise ValueError(f"on_overflow must be fail or null, not {on_overflow!r}")
+    quiet, strict = _EXACT[kind]
+    return quiet(a, b) if on_overflow == "null" else strict(a, b)
+
+
+def overflows(df: DataFrame, kind: str, first: str, second: str | int | float, safe: bool = False) -> Column | None:
+    """Boolean column: this row's result exceeds its type. None for floats, which have no such end."""
+    exact = (T.IntegralType, T.DecimalType)
+    if not isinstance(type_of(df, first), exact):
+        return None
+    a = _widened(df, first, safe)
+    if isinstance(second, str):
+        if not isinstance(type_of(df, second), exact):
+            return None
+        b = _widened(df, second, safe)
+    elif isinstance(second, int):
+        b = F.lit(second).cast("long")
+    else:
+        return None
+    return a.isNotNull() & b.isNotNull() & _EXACT[kind][0](a, b).isNull()
+
+
 def _widened(df: DataFrame, name: str, safe: bool) -> Column:
     """Whole numbers compute as 64 bit, or as 38 digits when `safe`."""
     if isinstance(type_of(df, name), T.IntegralType):
@@ -174,22 +223,27 @@ def _two_columns(df: DataFrame, first_col: str, second_col: str, new_col_name: s
 
 
 def subtract_cols(
-    df: DataFrame, first_col: str, second_col: str, new_col_name: str, safe: bool = False
+    df: DataFrame, first_col: str, second_col: str, new_col_name: str, safe: bool = False, on_overflow: str = "fail"
 ) -> DataFrame:
     _two_columns(df, first_col, second_col, new_col_name)
-    return _add(df, new_col_name, _widened(df, first_col, safe) - _widened(df, second_col, safe))
+    a, b = _widened(df, first_col, safe), _widened(df, second_col, safe)
+    return _add(df, new_col_name, _computed("subtract", a, b, on_overflow))
 
 
-def sum_cols(df: DataFrame, first_col: str, second_col: str, new_col_name: str, safe: bool = False) -> DataFrame:
+def sum_cols(
+    df: DataFrame, first_col: str, second_col: str, new_col_name: str, safe: bool = False, on_overflow: str = "fail"
+) -> DataFrame:
     _two_columns(df, first_col, second_col, new_col_name)
-    return _add(df, new_col_name, _widened(df, first_col, safe) + _widened(df, second_col, safe))
+    a, b = _widened(df, first_col, safe), _widened(df, second_col, safe)
+    return _add(df, new_col_name, _computed("sum", a, b, on_overflow))
 
 
 def multiply_cols(
-    df: DataFrame, first_col: str, second_col: str, new_col_name: str, safe: bool = False
+    df: DataFrame, first_col: str, second_col: str, new_col_name: str, safe: bool = False, on_overflow: str = "fail"
 ) -> DataFrame:
     _two_columns(df, first_col, second_col, new_col_name)
-    return _add(df, new_col_name, _widened(df, first_col, safe) * _widened(df, second_col, safe))
+    a, b = _widened(df, first_col, safe), _widened(df, second_col, safe)
+    return _add(df, new_col_name, _computed("multiply", a, b, on_overflow))
 
 
 def divide_cols(df: DataFrame, first_col: str, second_col: str, new_col_name: str) -> DataFrame:
@@ -214,24 +268,39 @@ def _constant(df: DataFrame, column: str, value: int | float, frozen: Iterable[s
 
 
 def subtract_value(
-    df: DataFrame, column: str, value: int | float, frozen: Iterable[str] = (), safe: bool = False
+    df: DataFrame,
+    column: str,
+    value: int | float,
+    frozen: Iterable[str] = (),
+    safe: bool = False,
+    on_overflow: str = "fail",
 ) -> DataFrame:
     constant = _constant(df, column, value, frozen)
-    return _set(df, column, _widened(df, column, safe) - constant)
+    return _set(df, column, _computed("subtract", _widened(df, column, safe), constant, on_overflow))
 
 
 def sum_value(
-    df: DataFrame, column: str, value: int | float, frozen: Iterable[str] = (), safe: bool = False
+    df: DataFrame,
+    column: str,
+    value: int | float,
+    frozen: Iterable[str] = (),
+    safe: bool = False,
+    on_overflow: str = "fail",
 ) -> DataFrame:
     constant = _constant(df, column, value, frozen)
-    return _set(df, column, _widened(df, column, safe) + constant)
+    return _set(df, column, _computed("sum", _widened(df, column, safe), constant, on_overflow))
 
 
 def multiply_value(
-    df: DataFrame, column: str, value: int | float, frozen: Iterable[str] = (), safe: bool = False
+    df: DataFrame,
+    column: str,
+    value: int | float,
+    frozen: Iterable[str] = (),
+    safe: bool = False,
+    on_overflow: str = "fail",
 ) -> DataFrame:
     constant = _constant(df, column, value, frozen)
-    return _set(df, column, _widened(df, column, safe) * constant)
+    return _set(df, column, _computed("multiply", _widened(df, column, safe), constant, on_overflow))
 
 
 def divide_value(df: DataFrame, column: str, value: int | float, frozen: Iterable[str] = ()) -> DataFrame:
@@ -296,7 +365,10 @@ def map_col_values(
         schema = T.StructType([T.StructField("__key", dtype), T.StructField("__value", target)])
         rows = [(k, float(v) if isinstance(target, T.DoubleType) and v is not None else v) for k, v in typed.items()]
         entries = literal_rows(df.sparkSession, rows, schema)
-        return _mapped_by_join(df, column, entries, small=None)
+        # The size is known, so nothing is measured and no job runs; a stream takes it too.
+        size = sum(len(str(k)) + len(str(v)) + 32 for k, v in rows)
+        small = len(rows) <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+        return _mapped_by_join(df, column, entries, small, spread=False)
     pairs = [x for k, v in typed.items() for x in (F.lit(k).cast(dtype), F.lit(v).cast(target))]
     key = known(df, column)
     if is_float(dtype):
@@ -328,10 +400,12 @@ def map_from_table(
     return _mapped_by_join(df, column, entries, small)
 
 
-def _mapped_by_join(df: DataFrame, column: str, entries: DataFrame, small: bool | None) -> DataFrame:
+def _mapped_by_join(
+    df: DataFrame, column: str, entries: DataFrame, small: bool | None, spread: bool = True
+) -> DataFrame:
     """Replace the column by `__value` of the entry with its `__key`; keys are unique."""
     key = known(df, column)
     if is_float(type_of(df, column)):
         key = key + F.lit(0.0).cast(type_of(df, column))  # -0.0 finds 0.0
-    joined = lookup_join(df.select("*", key.alias("__key")), entries, ["__key"], "left", small)
+    joined = lookup_join(df.select("*", key.alias("__key")), entries, ["__key"], "left", small, spread)
     return joined.select(*[F.col("__value").alias(c) if c == column else cell(c) for c in df.columns])

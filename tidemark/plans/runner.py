@@ -1,10 +1,11 @@
 """Run a declared list of column steps as one lazy plan.
 
 Each step works on the table the step before it left. A step that fails its checks leaves
-the table unchanged, is logged, and the later steps go on. Whether a conversion holds for
-all rows is only known from the data: all conversions of the plan are assumed to hold, their
-failing cells are counted in one aggregation that reads only the columns involved, and the
-plan is folded again without the steps that failed. A plan without conversions runs no job.
+the table unchanged, is logged, and the later steps go on. Whether a conversion holds for all
+rows, or whole-number arithmetic stays within its type, is only known from the data: all such
+steps are assumed to hold, their failing cells are counted in one aggregation that reads only
+the columns involved, and the plan is folded again without the steps that failed. A plan without
+conversions and whole-number arithmetic runs no job.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -46,16 +48,22 @@ class Operation:
     writes: str | None = "column"
     converts_to: str | None = None
     takes_frozen: bool = True
+    computes: str | None = None  # kind of arithmetic that may exceed its type
 
 
-def _edit(run: Callable[..., DataFrame], converts_to: str | None = None) -> Operation:
-    return Operation(run, TRANSFORM_COL, "column", converts_to=converts_to)
+def _edit(run: Callable[..., DataFrame], converts_to: str | None = None, computes: str | None = None) -> Operation:
+    # What fails is counted here, so the steps themselves make such cells missing.
+    if converts_to in ("int", "float"):
+        run = partial(run, on_error="null")
+    if computes:
+        run = partial(run, on_overflow="null")
+    return Operation(run, TRANSFORM_COL, "column", converts_to=converts_to, computes=computes)
 
 
-def _combine(run: Callable[..., DataFrame]) -> Operation:
-    return Operation(
-        run, CREATE_COL, "new_col_name", ("first_col", "second_col"), "new_col_name", takes_frozen=False
-    )
+def _combine(run: Callable[..., DataFrame], computes: str | None = None) -> Operation:
+    run = partial(run, on_overflow="null") if computes else run
+    reads = ("first_col", "second_col")
+    return Operation(run, CREATE_COL, "new_col_name", reads, "new_col_name", takes_frozen=False, computes=computes)
 
 
 def _ask(run: Callable[..., Any], reads: tuple[str, ...] = ("column",)) -> Operation:
@@ -78,15 +86,15 @@ OPERATIONS: dict[str, Operation] = {
     "convert_column_to_int": _edit(transforms.convert_column_to_int, "int"),
     "fill_col_na": _edit(transforms.fill_col_na),
     "rename_column": Operation(transforms.rename_column, CREATE_COL, "column", writes="new_column"),
-    "subtract_value": _edit(transforms.subtract_value),
-    "sum_value": _edit(transforms.sum_value),
+    "subtract_value": _edit(transforms.subtract_value, computes="subtract"),
+    "sum_value": _edit(transforms.sum_value, computes="sum"),
     "divide_value": _edit(transforms.divide_value),
-    "multiply_value": _edit(transforms.multiply_value),
+    "multiply_value": _edit(transforms.multiply_value, computes="multiply"),
     "power_value": _edit(transforms.power_value),
-    "subtract_cols": _combine(transforms.subtract_cols),
-    "sum_cols": _combine(transforms.sum_cols),
+    "subtract_cols": _combine(transforms.subtract_cols, "subtract"),
+    "sum_cols": _combine(transforms.sum_cols, "sum"),
     "divide_cols": _combine(transforms.divide_cols),
-    "multiply_cols": _combine(transforms.multiply_cols),
+    "multiply_cols": _combine(transforms.multiply_cols, "multiply"),
     "power_cols": _combine(transforms.power_cols),
 }
 
@@ -124,7 +132,7 @@ class _Fold:
     answers: dict[int, Any] = field(default_factory=dict)
     errors: dict[int, str] = field(default_factory=dict)
     flags: dict[int, str] = field(default_factory=dict)
-    # Conversions not yet judged on which a column's present value rests.
+    # Conversions and computations not yet judged on which a column's present value rests.
     rests_on: dict[str, set[int]] = field(default_factory=dict)
     judged_on: dict[int, set[int]] = field(default_factory=dict)
 
@@ -153,9 +161,13 @@ def _take(fold: _Fold, no: int, one: Step, verdicts: Mapping[int, int], count_ce
     target = operation.converts_to
     inputs = [args[a] for a in operation.reads]
     rests = set().union(*[fold.rests_on.get(c, set()) for c in inputs])
-    if target and count_cells and no not in verdicts:
-        formats = {"formats": args["formats"]} if "formats" in args else {}
-        bad = transforms.conversion_failures(fold.work, args["column"], target, strict=strict, **formats)
+    if (target or operation.computes) and count_cells and no not in verdicts:
+        if target:
+            formats = {"formats": args["formats"]} if "formats" in args else {}
+            bad = transforms.conversion_failures(fold.work, args["column"], target, strict=strict, **formats)
+        else:
+            second = args["second_col"] if "second_col" in args else args["value"]
+            bad = transforms.overflows(fold.work, operation.computes, inputs[0], second, args.get("safe", False))
         if bad is not None:
             flag = f"{_FLAG}{no}"
             after = operation.run(fold.work.select("*", bad.alias(flag)), **named)
@@ -167,6 +179,8 @@ def _take(fold: _Fold, no: int, one: Step, verdicts: Mapping[int, int], count_ce
         raise ValueError(
             f"Column '{args['column']}' does not convert to {target}: {verdicts[no]} cells have no such value."
         )
+    elif operation.computes and verdicts.get(no, 0) > 0:
+        raise ValueError(f"The result of {one.op} exceeds its type in {verdicts[no]} rows.")
 
     if one.op == "fill_col_na":
         flag_name = transforms.imputed_flag(args["column"])

@@ -2,7 +2,8 @@
 
 Steps are row-wise projections, so a stream takes them as a table does. Only the check of a
 whole column before a conversion is impossible: a stream's conversion to a number yields
-NULL where a cell does not convert, and `conversion_failures` marks such cells.
+NULL where a cell does not convert, and `conversion_failures` marks such cells. Whole-number
+arithmetic likewise yields NULL beyond its type, and `overflows` marks those.
 """
 
 from __future__ import annotations

@@ -93,6 +93,34 @@ def readiness_order_texts(orders: DataFrame) -> DataFrame:
     )
 
 
+@on("orders")
+def readiness_padded(orders: DataFrame) -> DataFrame:
+    """Cells of a file of fixed width: dates and amounts padded to 80 characters, and long plain texts."""
+    day = F.when(F.col("o_orderkey") % 100 == 7, F.lit("not known")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    price = F.concat(F.lit("R$ "), F.col("o_totalprice").cast("int").cast("string"), F.lit(",50"))
+    padded = orders.select(
+        F.rpad(day, 80, " ").alias("day"),
+        F.rpad(price, 80, " ").alias("price"),
+        F.rpad("o_orderpriority", 80, ".").alias("priority"),
+        F.rpad(F.concat("o_orderstatus", F.col("o_orderkey").cast("string")), 80, "x").alias("code"),
+    )
+    features = G.column_features(padded)
+    return features.select("column", "n_rows", "n_nulls", "n_unique", "n_dates", "n_affixed")
+
+
+@on("orders")
+def readiness_padded_findings(orders: DataFrame) -> DataFrame:
+    """What the rules make of them."""
+    padded = orders.select(
+        F.rpad(F.date_format("o_orderdate", "dd/MM/yyyy"), 80, " ").alias("day"),
+        F.rpad(F.concat(F.col("o_totalprice").cast("int").cast("string"), F.lit(",50")), 80, " ").alias("price"),
+    )
+    found = G.readiness_findings(padded)
+    return found.select(
+        "column", "severity", F.array_join(F.transform("suggested_actions", lambda a: a["action_type"]), ",").alias("actions")
+    )
+
+
 @on("documents", "labels")
 def readiness_status_docs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     features = stored(G.column_features(labelled(documents, labels), RULES), "features")
@@ -141,6 +169,8 @@ QUERIES = {
     "contract_lineitem_met": contract_lineitem_met,
     "readiness_docs": readiness_docs,
     "readiness_order_texts": readiness_order_texts,
+    "readiness_padded": readiness_padded,
+    "readiness_padded_findings": readiness_padded_findings,
     "readiness_status_docs": readiness_status_docs,
     "readiness_report_docs": readiness_report_docs,
     "findings_contract": findings_contract,
@@ -271,6 +301,27 @@ SQL = {
                      ('priority', 'medium', (select case when count(distinct o_orderpriority) - 1 <= 50
                         then 'encode_categorical,fill_missing_values' end from orders)))
              v("column", severity, actions)""",
+    "readiness_padded": """
+        with padded as (
+          select rpad(case when o_orderkey % 100 = 7 then 'not known' else strftime(o_orderdate, '%d/%m/%Y') end, 80, ' ') as day,
+                 rpad('R$ ' || cast(trunc(o_totalprice) as int) || ',50', 80, ' ') as price,
+                 rpad(o_orderpriority, 80, '.') as priority, rpad(o_orderstatus || o_orderkey, 80, 'x') as code
+          from orders),
+        cells as (unpivot padded on day, price, priority, code into name "column" value v)
+        select "column", count(*) as n_rows, cast(count(*) - count(v) as bigint) as n_nulls, count(distinct v) as n_unique,
+               count(try_strptime(trim(v), '%d/%m/%Y')) as n_dates,
+               count(*) filter (where regexp_matches(trim(v), '^([A-Za-z]{0,3}\\$)?\\s*[+-]?[0-9][0-9.,]*\\s*[a-zA-Z%]{0,12}$')) as n_affixed
+        from cells group by 1""",
+    "readiness_padded_findings": """
+        select 'day' as "column",
+               case when count(try_strptime(trim(rpad(strftime(o_orderdate, '%d/%m/%Y'), 80, ' ')), '%d/%m/%Y')) >= 0.95 * count(*)
+                 then 'medium' else 'no problem' end as severity,
+               case when count(o_orderdate) >= 0.95 * count(*) then 'convert_dtype' else '' end as actions
+        from orders
+        union all
+        select 'price', case when count(o_totalprice) >= 0.95 * count(*) then 'high' else 'no problem' end,
+               case when count(o_totalprice) >= 0.95 * count(*) then 'convert_dtype' else '' end
+        from orders""",
     "readiness_status_docs": f"""
         select case when nq < 0.5 * n then 'not_ready' else 'ready_with_issues' end as readiness_status,
                cast(3 + case when nq < n then 1 else 0 end + case when nt < n then 1 else 0 end as bigint) as n_findings

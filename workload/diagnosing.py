@@ -14,9 +14,17 @@ def dup_rows_lineitem(lineitem: DataFrame) -> DataFrame:
     return Q.duplicate_rows(lineitem, ["l_orderkey", "l_linenumber", "l_orderkey", "no_such_column"])
 
 
+@on("orders")
+def dup_rows_all_cols(orders: DataFrame) -> DataFrame:
+    """Rows that are equal throughout; every third row is there twice, every ninth three times."""
+    again = orders.where(F.col("o_orderkey") % 3 == 0).unionByName(orders.where(F.col("o_orderkey") % 9 == 0))
+    return Q.duplicate_rows(orders.unionByName(again))
+
+
 @on("documents")
-def dup_rows_all_cols(documents: DataFrame) -> DataFrame:
-    return Q.duplicate_rows(documents.drop("doc_id", "source"))
+def dup_texts(documents: DataFrame) -> DataFrame:
+    """Documents with the text, language and length of another one."""
+    return Q.duplicate_rows(documents, ["text", "lang", "n_chars"])
 
 
 @on("conversations")
@@ -41,6 +49,14 @@ def _mixed(events: DataFrame) -> DataFrame:
     return events.select(mixed.alias("mixed"))
 
 
+@on("events")
+def type_mix_wide(events: DataFrame) -> DataFrame:
+    """Whole numbers beyond 64 bits beside decimals."""
+    wide = F.concat(F.lit("123456789012345678"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    mixed = F.when(F.col("event_id") % 3 == 0, F.concat(wide, F.lit(".5"))).otherwise(wide)
+    return Q.value_types(events.select(mixed.alias("mixed")), "mixed", read="json")
+
+
 @on("events")
 def type_mix_props(events: DataFrame) -> DataFrame:
     return Q.value_types(_mixed(events), "mixed", read="json")
@@ -86,7 +102,7 @@ def top_values_all_cols(part: DataFrame) -> DataFrame:
 
 @on("lineitem")
 def top_values_lineitem(lineitem: DataFrame) -> DataFrame:
-    return Q.top_values_all(lineitem, limit=10)
+    return Q.top_values_all(lineitem)
 
 
 @on("documents", "labels")
@@ -166,9 +182,11 @@ def _top_sql(source: str, columns: list[str], limit: int) -> str:
 QUERIES = {
     "dup_rows_lineitem": dup_rows_lineitem,
     "dup_rows_all_cols": dup_rows_all_cols,
+    "dup_texts": dup_texts,
     "dup_turns": dup_turns,
     "dup_rows_with_nulls": dup_rows_with_nulls,
     "type_mix_props": type_mix_props,
+    "type_mix_wide": type_mix_wide,
     "type_mix_literal": type_mix_literal,
     "type_mix_typed": type_mix_typed,
     "top_values_brand": top_values_brand,
@@ -192,7 +210,12 @@ def _duplicates_sql(source: str, columns: str) -> str:
 
 SQL = {
     "dup_rows_lineitem": _duplicates_sql("lineitem", "l_orderkey, l_linenumber"),
-    "dup_rows_all_cols": _duplicates_sql("documents", "text, lang, n_chars"),
+    "dup_rows_all_cols": _duplicates_sql(
+        """(select * from orders union all select * from orders where o_orderkey % 3 = 0
+            union all select * from orders where o_orderkey % 9 = 0)""",
+        "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
+    ),
+    "dup_texts": _duplicates_sql("documents", "text, lang, n_chars"),
     "dup_turns": _duplicates_sql("conversations", "conv_id, role, text"),
     "dup_rows_with_nulls": _duplicates_sql(f"({LABELLED})", "lang, quality, toxic"),
     "type_mix_props": """
@@ -203,6 +226,9 @@ SQL = {
                 when 'error' then cast(event_id as varchar) when 'signup' then '[' || user_id || ']'
                 else '"' || event_type || '"' end as mixed from events)
         group by 1""",
+    "type_mix_wide": """
+        select case when event_id % 3 = 0 then 'float' else 'int' end as value_type, count(*) as n
+        from events group by 1""",
     "type_mix_literal": """
         select case event_type when 'click' then 'int' when 'view' then 'float' when 'error' then 'bool'
                  when 'signup' then 'datetime' else 'str' end as value_type, count(*) as n
@@ -215,7 +241,7 @@ SQL = {
         order by n desc, value asc nulls last limit 50""",
     "top_values_quality": f"select quality as value, count(*) as n from ({LABELLED}) group by 1",
     "top_values_all_cols": _top_sql("part", PART, 50),
-    "top_values_lineitem": _top_sql("lineitem", LINEITEM, 10),
+    "top_values_lineitem": _top_sql("lineitem", LINEITEM, 50),
     "missingness_quality": _missing_sql("quality", ["lang", "source"]),
     "missingness_all_texts": _missing_sql("toxic", ["text", "lang", "source"]),
     "missingness_none": """

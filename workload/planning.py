@@ -137,7 +137,53 @@ def log_unmatched_ops(lineitem: DataFrame) -> DataFrame:
     return L.unmatched_ops(L.attach_ids(call_log(lineitem), tool_map(lineitem.sparkSession)))
 
 
+BIG = 9_000_000_000_000_000_000
+OVERFLOW_STEPS = [
+    step("multiply_cols", first_col="l_orderkey", second_col="large", new_col_name="product"),
+    step("sum_cols", first_col="l_orderkey", second_col="l_linenumber", new_col_name="total"),
+    step("multiply_value", column="total", value=2),
+    step("subtract_value", column="large", value=-BIG),
+    step("convert_column_to_int", column="flag"),
+    step("rename_column", column="total", new_column="doubled"),
+]
+
+
+def _large_lines(lineitem: DataFrame) -> DataFrame:
+    """The product with `large` exceeds 64 bits on some rows only; `flag` is a number on some rows only."""
+    large = F.when(F.col("l_linenumber") == 1, F.lit(BIG)).otherwise(F.lit(2).cast("long"))
+    flag = F.when(F.col("l_returnflag") == "A", F.col("l_returnflag")).otherwise("7")
+    return lineitem.select("l_orderkey", "l_linenumber", large.alias("large"), flag.alias("flag"))
+
+
+@on("lineitem")
+def plan_overflow(lineitem: DataFrame) -> DataFrame:
+    """Steps whose results exceed 64 bits are rejected, the others apply."""
+    return apply_plan(_large_lines(lineitem), OVERFLOW_STEPS).df
+
+
+@on("lineitem")
+def plan_overflow_log(lineitem: DataFrame) -> DataFrame:
+    log = apply_plan(_large_lines(lineitem), OVERFLOW_STEPS, run_id="lines").log
+    return log.select("run_id", "step_no", "op", "success")
+
+
+@on("lineitem")
+def plan_lineage_of_kept(lineitem: DataFrame) -> DataFrame:
+    """A rename that hangs on the data: the step before it only holds if no return flag is `A`."""
+    flags = lineitem.select(F.when(F.col("l_returnflag") == "A", "x").otherwise("7").alias("flag"), "l_linenumber")
+    steps = [
+        step("convert_column_to_int", column="flag"),
+        step("sum_cols", first_col="flag", second_col="l_linenumber", new_col_name="line"),
+        step("rename_column", column="line", new_column="number"),
+        step("rename_column", column="flag", new_column="returned"),
+    ]
+    return apply_plan(flags, steps).lineage_table("lines")
+
+
 QUERIES = {
+    "plan_overflow": plan_overflow,
+    "plan_overflow_log": plan_overflow_log,
+    "plan_lineage_of_kept": plan_lineage_of_kept,
     "plan_orders": plan_orders,
     "plan_orders_log": plan_orders_log,
     "plan_orders_lineage": plan_orders_lineage,
@@ -156,7 +202,23 @@ _FLAT = f"""
 select run_id, step_no, op, success, args, cast(tool_id as int) as tool_id
 from ({CALL_LOG}) left join (values {_IDS}) m(tool_id, name) on op = name"""
 
+_FITS = "bool_and(cast(l_orderkey as hugeint) * case when l_linenumber = 1 then 9000000000000000000 else 2 end <= 9223372036854775807)"
+
 SQL = {
+    "plan_overflow": """
+        select l_orderkey, l_linenumber, case when l_linenumber = 1 then 9000000000000000000 else 2 end as large,
+               case when l_returnflag = 'A' then 'A' else '7' end as flag, (l_orderkey + l_linenumber) * 2 as doubled
+        from lineitem""",
+    "plan_overflow_log": f"""
+        select 'lines' as run_id, cast(v.step_no as bigint) as step_no, v.op, v.success
+        from (values (1, 'multiply_cols', (select {_FITS} from lineitem)), (2, 'sum_cols', true), (3, 'multiply_value', true),
+                     (4, 'subtract_value', (select not bool_or(l_linenumber = 1) from lineitem)),
+                     (5, 'convert_column_to_int', (select not bool_or(l_returnflag = 'A') from lineitem)),
+                     (6, 'rename_column', true)) v(step_no, op, success)""",
+    "plan_lineage_of_kept": """
+        select 'lines' as run_id, 'flag' as original, 'returned' as "current"
+        union all
+        select 'lines', 'line', 'number' from (select bool_or(l_returnflag = 'A') as bad from lineitem) where not bad""",
     "plan_orders": """
         select o_orderkey + 1 as key_text, cast(case o_orderstatus when 'O' then 0 when 'F' then 1 end as bigint)
                  as status_code,

@@ -53,11 +53,12 @@ def to_datetime(orders: DataFrame) -> DataFrame:
 
 @on("lineitem")
 def to_int(lineitem: DataFrame) -> DataFrame:
-    text = F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(" "))
+    """All or nothing: text with blanks or a sign, and floats, which lose their fraction."""
+    text = F.col("l_linenumber").cast("string")
     rows = lineitem.select(
         "l_orderkey",
-        F.when(F.col("l_returnflag") == "R", F.concat(text, F.lit(".5"))).otherwise(text).alias("line"),
-        F.col("l_quantity").alias("quantity"),
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("+"), text)).otherwise(F.concat(F.lit(" "), text, F.lit(" "))).alias("line"),
+        (F.col("l_quantity") + F.lit(0.25)).alias("quantity"),
     )
     return X.convert_column_to_int(X.convert_column_to_int(rows, "line"), "quantity")
 
@@ -66,9 +67,7 @@ def to_int(lineitem: DataFrame) -> DataFrame:
 def to_float(lineitem: DataFrame) -> DataFrame:
     rows = lineitem.select(
         "l_orderkey",
-        F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice").cast("string"))
-        .otherwise(F.concat(F.lit("$"), F.col("l_extendedprice").cast("string")))
-        .alias("price"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice").cast("string")).otherwise("nan").alias("price"),
         F.col("l_linenumber").alias("line"),
     )
     return X.convert_column_to_float(X.convert_column_to_float(rows, "price"), "line")
@@ -179,7 +178,7 @@ SQL = {
                  when 'F' then date_trunc('second', o_orderdate) end as day
         from orders""",
     "to_int": """
-        select l_orderkey, cast(case when l_returnflag <> 'R' then l_linenumber end as bigint) as line,
+        select l_orderkey, cast(l_linenumber as bigint) as line,
                cast(trunc(l_quantity) as bigint) as quantity
         from lineitem""",
     "to_float": """
