@@ -17,6 +17,14 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that none of the taken ones equals, whatever the case."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
 def unpacked(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
     """The caller's columns out of `row`, with the added ones behind or in place of equal names."""
     names = {n.lower() for n in added}

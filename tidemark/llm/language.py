@@ -20,6 +20,7 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.joins import fits_broadcast
 from tidemark.llm.common import fold, text_of, unpacked, whole
 
 DICTIONARY = 48_000  # bytes of a language's dictionary
@@ -64,6 +65,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         F.col("doc_id").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), text_of(F.col(f"`{text}`")).alias("body")
     ).where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (fold(F.col("id")) != 2))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if fits_broadcast(counts):  # a row for each language; beyond the bound Spark picks the join
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) * F.col("n")
     chosen = known.where(F.length("body") > 0).join(counts, "lang").where(draw < F.lit(1_000_000 * sample)).drop("n")
 

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import text_of, unpacked, whole
+from tidemark.llm.common import fresh, text_of, unpacked, whole
 from tidemark.session import stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,7 +31,7 @@ END_ID = 2
 #: Of a sequence: tokens, pieces, and tokens that bear loss.
 LIMITS = {"length": 4096, "segments": 256, "loss_tokens": 4096}
 WINDOW = 1024  # pieces that are packed together in a task
-NEIGHBOURS = 64  # tasks whose leftovers are packed together
+NEIGHBOURS_LOG = 6  # log2 of how many tasks' leftovers are packed together
 FULL = 0.995  # share of the first limit from which a sequence is closed early
 
 CACHED = 500_000  # words, and parts of words, that a task remembers the ids of
@@ -189,7 +189,8 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     columns = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     pieces = pieces.select(*[f"`{c}`" for c in columns])
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    early = T.StructType([*schema.fields, T.StructField("task_left", T.LongType())])
+    task_left, hood = fresh(columns, "task_left"), fresh(columns, "hood")
+    early = T.StructType([*schema.fields, T.StructField(task_left, T.LongType())])
 
     def sizes_of(rows: pd.DataFrame) -> np.ndarray:
         return np.minimum(rows[names].fillna(0).to_numpy(float).clip(0), most)
@@ -222,7 +223,7 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
                         break
                     closed.add(k)
                 done = [s for k, s in enumerate(sequences) if k in closed]
-                yield placed(left, done, made).assign(task_left=None)
+                yield placed(left, done, made).assign(**{task_left: None})
                 made += len(done)
                 left = left.iloc[[i for k, s in enumerate(sequences) if k not in closed for i in s]]
         if left is not None and len(left):
@@ -231,21 +232,18 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
             sequences = fill(sizes, most)
             done = [s for s in sequences if sizes[s, 0].sum() >= FULL * most[0]]
             if done:
-                yield placed(left, done, made).assign(task_left=None)
+                yield placed(left, done, made).assign(**{task_left: None})
             rest = [i for s in sequences if sizes[s, 0].sum() < FULL * most[0] for i in s]
-            yield left.iloc[rest].assign(sequence_id=None, offset=None, task_left=task)
+            yield left.iloc[rest].assign(**{"sequence_id": None, "offset": None, task_left: [(task << 32) + i for i in range(len(rest))]})
 
     def pack_left(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["task_left", *columns], ignore_index=True) if len(rows) else rows
+        rows = rows.sort_values(task_left, ignore_index=True)
         return placed(rows, fill(sizes_of(rows), most), (1 << 62) + (int(key[0]) << 32))[[*columns, "sequence_id", "offset"]]
 
     first = stored(pieces.mapInPandas(pack_own, early), "packed")
-    last = first.where(F.col("task_left").isNotNull()).withColumn("hood", F.floor(F.col("task_left") / NEIGHBOURS))
-    return (
-        first.where(F.col("task_left").isNull())
-        .drop("task_left")
-        .unionByName(last.groupBy("hood").applyInPandas(lambda k, p: pack_left(k, p.drop(columns="hood")), schema))
-    )
+    last = first.where(F.col(task_left).isNotNull()).withColumn(hood, F.shiftright(task_left, 32 + NEIGHBOURS_LOG))
+    packed_left = last.groupBy(hood).applyInPandas(lambda key, rows: pack_left(key, rows.drop(columns=hood)), schema)
+    return first.where(F.col(task_left).isNull()).drop(task_left).unionByName(packed_left)
 
 
 def pack_documents(docs: DataFrame, limits: dict[str, int] = LIMITS, tokenizer: str = TOKENIZER, text: str = "text") -> DataFrame:
