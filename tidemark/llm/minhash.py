@@ -10,11 +10,12 @@ register has one. Signatures are cut into bands; texts that share a band are com
 overlap of their multisets.
 
 Distribution: equal texts are one class from the start. In a bucket (the classes that share a band)
-not all pairs are compared, but members with a few hubs, and only while the bucket holds more than
-one component: in round r about 4^r members of each bucket are hubs, chosen by digest. A bucket is
-done when its members form one component or when all of them have been hubs, so no pair that could
-still join two components is left out, and a group of near copies costs a few comparisons for each
-member. Nothing is gathered for a bucket in one task.
+all members are first compared with one hub, the member that shares most buckets with others; this
+alone joins a group of copies of one text. Buckets that then still hold several components are cut
+into chunks of bounded size, and pairs of chunks are compared by longer sketches; only pairs of
+different components whose sketches agree go on to the exact comparison. So every pair that shares a
+band is looked at, a group of near copies costs one comparison for each member and bucket, and
+nothing larger than a chunk is gathered.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4  # registers of a band; 0.8 ** 4 = 0.41, so a pair at 0.8 shares no band once in 20 million
 REGISTERS = BANDS * ROWS
-GROWTH = 4  # times as many hubs in each round
+CHUNK = 256  # members of a bucket that are compared with as many others at once, about
+SKETCH = 512  # registers of a sketch, a byte each
+LIKELY = 0.74  # agreement of sketches; at a similarity of 0.8 less than this is 3.4 deviations away
 
 _CACHED_WORDS = 300_000
 _TOGETHER = 200_000  # shingles whose signatures are drawn together
@@ -49,22 +52,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Digests(dict):
+    """64-bit digests of words, as far as they are needed."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _CACHED_WORDS:
+            self.clear()
+        self[word] = digest = xxhash.xxh3_64_intdigest(word)
+        return digest
+
+
 def shingler() -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
     """Text to its distinct shingles as sorted 64-bit digests, and how often each occurs.
 
     Words are runs of anything but white space, in lower case. A text of fewer than five words is one
     shingle, a text without words has none.
     """
-    known: dict[str, int] = {}
+    known = Digests()
 
     def of(text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.lower().split()
         if not words:
             return np.array([], np.uint64), np.array([], np.int64)
-        if len(known) > _CACHED_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
         digests = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = min(WORDS, len(words))
         rolled = np.zeros(len(words) - size + 1, np.uint64)
@@ -180,11 +189,18 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bag(text: Column) -> Column:
-    @F.pandas_udf("binary")
-    def bag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A text's bag as bytes, and a sketch of it: a byte of each of SKETCH registers."""
+
+    @F.pandas_udf("struct<bag:binary,sketch:binary>")
+    def bag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         of = shingler()
         for texts in batches:
-            yield pd.Series([pack(of(t)) for t in texts], dtype=object)
+            packed, sketches = [], []
+            for k in range(0, len(texts), 64):
+                bags = [of(t) for t in texts[k : k + 64]]
+                packed += [pack(b) for b in bags]
+                sketches += [x.tobytes() for x in (mixed(signatures(bags, SKETCH)) >> np.uint64(56)).astype(np.uint8)]
+            yield pd.DataFrame({"bag": packed, "sketch": sketches})
 
     return bag(text)
 
@@ -207,72 +223,109 @@ def classes(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFra
     )
 
 
+def _likely(mine: Column, theirs: Column, number: Column, similarity: float) -> Column:
+    """Pairs of the members of two chunks whose components differ, whose sizes allow it and whose sketches agree.
+
+    A pair that shares several bands is given by the first of them only.
+    """
+
+    @F.pandas_udf("array<struct<a:bigint,b:bigint,label_a:bigint,label_b:bigint>>")
+    def pairs(x: pd.Series, y: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for p, q, number in zip(x, y, numbers):
+            theirs = np.frombuffer(b"".join(r["sketch"] for r in q), np.uint8).reshape(len(q), SKETCH)
+            bands = np.array([r["bands"] for r in q], np.int64)
+            nodes, labels, weights = (np.array([r[k] for r in q]) for k in ("node", "label", "weight"))
+            found = []
+            for r in p:
+                fits = (labels != r["label"]) & (np.minimum(weights, r["weight"]) >= similarity * np.maximum(weights, r["weight"]))
+                if fits.any():
+                    shared = bands == np.array(r["bands"], np.int64)
+                    fits &= shared.argmax(axis=1) == number
+                if fits.any():
+                    agree = (theirs[fits] == np.frombuffer(r["sketch"], np.uint8)).mean(axis=1)
+                    for node, label in zip(nodes[fits][agree >= LIKELY], labels[fits][agree >= LIKELY]):
+                        found.append({"a": r["node"], "b": int(node), "label_a": r["label"], "label_b": int(label)})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return pairs(mine, theirs, number)
+
+
 def labelled(docs: DataFrame, known: DataFrame, text: str, doc_id: str, similarity: float) -> DataFrame | None:
     """(node, label) of the classes that are similar to another one; None if no two share a band."""
-    banded = known.select("node", "weight", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")).where("members > 1")
+    banded = known.select("node", "weight", F.posexplode("bands").alias("number", "band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stored(banded.join(shared, "band"), "buckets")
     if buckets.isEmpty():
         return None
 
     # The bags of classes in buckets, from one row of each class.
-    named = buckets.select("node").distinct().join(known.select("node", "digest", "class_id"), "node")
+    central = stored(buckets.groupBy("node").agg(F.sum("members").alias("company")), "central")
+    named = central.select("node").join(known.select("node", "digest", "class_id"), "node")
     body = F.col(f"`{text}`")
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), digest(body).alias("digest"), text_of(body).alias("body"))
     same = (texts["digest"] == named["digest"]) & texts["id"].eqNullSafe(named["class_id"])
     one = texts.join(named, same).groupBy(named["digest"], "class_id").agg(F.first("node").alias("node"), F.first("body").alias("body"))
-    bags = stored(one.select("node", _bag(F.col("body")).alias("bag")), "bags")
-
-    # Place in the order of hubs: uniform on [0, 1), the same in all buckets.
-    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    active = buckets.withColumn("turn", draw * F.col("members")).withColumn("label", F.col("node"))
-    labels, begin, end, first = None, 0, 0, True
-    while True:
-        if first:  # the first round has one hub for each bucket, which settles buckets of two
-            hub = F.col("node") == F.col("first")
-        else:
-            hub = (F.col("turn") >= begin) & (F.col("turn") < end) & (F.col("node") != F.col("first"))
-        hubs = active.where(hub).select(
-            "band", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight")
-        )
-        close = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * similarity
-        pairs = (
-            active.join(hubs, "band")
-            .where((F.col("label") != F.col("hub_label")) & close)
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "label", "hub_label")
-            .dropDuplicates(["a", "b"])
-        )
+    bags = stored(one.select("node", _bag(F.col("body")).alias("own")).select("node", "own.*"), "bags")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Labels that a pair of classes with the wanted similarity connects."""
         left = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
         right = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-        alike = pairs.join(left, "a").join(right, "b").where(_similar(F.col("bag_a"), F.col("bag_b")) >= similarity)
-        links = stored(alike.select(F.col("label").alias("a"), F.col("hub_label").alias("b")), "similar")
-        if labels is None:
-            labels = active.select("node", "label").distinct()
-        if not links.isEmpty():
-            renamed = components(links).select(F.col("node").alias("old"), F.col("label").alias("new"))
-            labels = stored(
-                labels.join(renamed, F.col("label") == F.col("old"), "left").select(
-                    "node", F.coalesce("new", "label").alias("label")
-                ),
-                "members",
-            )
-        # Buckets go on while they hold several components and members that have not been hubs.
-        begin, end, first = (0, 2, False) if first else (end, end * GROWTH, False)
-        current = active.where(F.col("members") > F.greatest(F.lit(2), F.lit(begin))).drop("label").join(labels, "node")
-        split = (
-            current.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        )
-        active = stored(current.join(split, "band"), "active")
-        if active.isEmpty():
-            return labels
+        each = pairs.dropDuplicates(["a", "b"])
+        alike = each.join(left, "a").join(right, "b").where(_similar(F.col("bag_a"), F.col("bag_b")) >= similarity)
+        return stored(alike.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), "similar")
+
+    hubs = (
+        buckets.join(central, "node")
+        .groupBy("band")
+        .agg(F.max(F.struct("company", "node", "weight")).alias("hub"))
+        .select("band", F.col("hub.node").alias("hub"), F.col("hub.weight").alias("hub_weight"))
+    )
+    close = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * similarity
+    first = buckets.join(hubs, "band").where((F.col("node") != F.col("hub")) & close)
+    first = first.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("node").alias("label_a"), F.col("hub").alias("label_b"))
+    labels = relabelled(central.select("node", F.col("node").alias("label")), similar(first))
+
+    # Buckets of more than two that still hold several components, cut into chunks.
+    current = buckets.where("members > 2").join(labels, "node")
+    split = current.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    number = F.ceil(F.col("members") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), number).cast("int")
+    member = F.struct("node", "label", "weight", "bands", "sketch")
+    chunks = stored(
+        current.join(split, "band")
+        .join(known.select("node", "bands"), "node")
+        .join(bags.select("node", "sketch"), "node")
+        .groupBy("band", "number", chunk.alias("chunk"))
+        .agg(F.collect_list(member).alias("members")),  # about CHUNK of them
+        "chunks",
+    )
+    if chunks.isEmpty():
+        return labels
+    others = chunks.select("band", F.col("chunk").alias("other"), F.col("members").alias("others"))
+    beside = chunks.join(others, "band").where("chunk <= other")
+    second = beside.select(F.explode(_likely(F.col("members"), F.col("others"), F.col("number"), similarity)).alias("p")).select("p.*")
+    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label_a", "label_b")
+    return relabelled(labels, similar(second))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links between them."""
+    if links.isEmpty():
+        return labels
+    renamed = components(links).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    joined = labels.join(renamed, F.col("label") == F.col("old"), "left")
+    return stored(joined.select("node", F.coalesce("new", "label").alias("label")), "members")
 
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, digest, class_id, group_id) of every row.
+    """(doc_id, digest, class_id, group_id, group_digest) of every row.
 
     Rows of one class_id have equal texts, rows of one group_id are linked by texts whose multisets of
     five-word shingles have a weighted Jaccard similarity of at least `similarity`. Both are the least
-    id of their rows. Null and empty texts are one class; texts without words are similar to no other
+    id of their rows; `group_digest`, the least digest, tells groups apart even where ids are repeated. Null and empty texts are one class; texts without words are similar to no other
     text. A missing id stays in its class, which has a null id if no row of it has one. Repeated rows
     each appear. An empty table gives an empty table.
     """
@@ -280,15 +333,15 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     labels = labelled(docs, known, text, doc_id, similarity)
     found = known.select("digest", "node", "class_id")
     if labels is None:
-        found = found.withColumn("group_id", F.col("class_id"))
+        found = found.withColumns({"group_id": F.col("class_id"), "group_digest": F.col("digest")})
     else:
         found = found.join(labels, "node", "left")
         found = found.withColumn("label", F.coalesce("label", "node"))
-        least = found.groupBy(F.col("label").alias("of")).agg(F.min("class_id").alias("group_id"))
+        least = found.groupBy(F.col("label").alias("of")).agg(F.min("class_id").alias("group_id"), F.min("digest").alias("group_digest"))
         found = found.join(least, F.col("label") == F.col("of"))
-    found = found.select(F.col("digest").alias("own"), "class_id", "group_id")
+    found = found.select(F.col("digest").alias("own"), "class_id", "group_id", "group_digest")
     return rows.join(found, F.col("digest") == F.col("own")).select(
-        F.col("id").alias("doc_id"), "digest", "class_id", "group_id"
+        F.col("id").alias("doc_id"), "digest", "class_id", "group_id", "group_digest"
     )
 
 
@@ -299,9 +352,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, text: str = "t
     the least digest.
     """
     rows = grouped(docs, similarity, text, doc_id)
-    group = F.when(F.col("group_id").isNull(), F.col("digest"))  # without an id each class stands for itself
     stay = (
-        rows.groupBy("group_id", group.alias("lone"))
+        rows.groupBy("group_digest")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")).alias("best"))
         .select(F.col("best.id").alias("stay_id"), F.col("best.digest").alias("stay_digest"))
     )
