@@ -69,6 +69,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) * F.col("n")
     chosen = known.where(F.length("body") > 0).join(counts, "lang").where(draw < F.lit(1_000_000 * sample)).drop("n")
+    chosen = chosen.groupBy("lang", "id").agg(F.min("body").alias("body"))  # one text for each id, so that a sample stays bounded
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("body").sort_values(["id", "body"], ignore_index=True)

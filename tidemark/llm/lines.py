@@ -72,5 +72,6 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_i
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
     cleaned = F.when(F.col("covered").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
     removed = F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size("covered")).cast("long")
-    out = unpacked(joined, docs.columns, **{text: cleaned, "n_removed": removed})
+    done = joined.select("row", cleaned.alias("cleaned"), removed.alias("removed"))
+    out = unpacked(done, docs.columns, **{text: F.col("cleaned"), "n_removed": F.col("removed")})
     return out.select(*[f"`{c}`" for c in docs.columns if c.lower() != "n_removed"], "n_removed")

@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -192,27 +194,30 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     task_left, hood = fresh(columns, "task_left"), fresh(columns, "hood")
     early = T.StructType([*schema.fields, T.StructField(task_left, T.LongType())])
 
-    def sizes_of(rows: pd.DataFrame) -> np.ndarray:
-        return np.minimum(rows[names].fillna(0).to_numpy(float).clip(0), most)
+    def sizes_of(rows: pa.Table) -> np.ndarray:
+        whole_sizes = [pc.fill_null(rows[n].cast(pa.float64()), 0).to_numpy() for n in names]
+        return np.minimum(np.stack(whole_sizes, axis=1).clip(0), most)
 
-    def placed(rows: pd.DataFrame, sequences: list[list[int]], first: int) -> pd.DataFrame:
+    def placed(rows: pa.Table, sequences: list[list[int]], first: int) -> pa.Table:
         order = [i for s in sequences for i in s]
-        length = rows[names[0]].fillna(0).to_numpy(np.int64).clip(0)
-        out = rows.iloc[order].copy()
-        out["sequence_id"] = [first + k for k, s in enumerate(sequences) for _ in s]
-        out["offset"] = [int(x) for s in sequences for x in np.cumsum([0, *length[s[:-1]]])]
-        return out
+        length = pc.fill_null(rows[names[0]].cast(pa.int64()), 0).to_numpy().clip(0)
+        number = [first + k for k, s in enumerate(sequences) for _ in s]
+        offset = [int(x) for s in sequences for x in np.cumsum([0, *length[s[:-1]]])]
+        out = rows.take(pa.array(order, pa.int64()))
+        return out.append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    def pack_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marked(rows: pa.Table, left: list[int | None]) -> list[pa.RecordBatch]:
+        return rows.append_column(task_left, pa.array(left, pa.int64())).combine_chunks().to_batches()
+
+    def pack_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         made, left = task << 32, None
         for batch in batches:
-            for a in range(0, len(batch), WINDOW):
-                part = batch.iloc[a : a + WINDOW]
-                left = part if left is None else pd.concat([left, part], ignore_index=True)
-                if len(left) < WINDOW:
+            for a in range(0, batch.num_rows, WINDOW):
+                part = pa.Table.from_batches([batch.slice(a, WINDOW)])
+                left = part if left is None else pa.concat_tables([left, part])
+                if left.num_rows < WINDOW:
                     continue
-                left = left.reset_index(drop=True)
                 sizes = sizes_of(left)
                 sequences = fill(sizes, most)
                 share = [sizes[s, 0].sum() / most[0] for s in sequences]
@@ -223,26 +228,28 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
                         break
                     closed.add(k)
                 done = [s for k, s in enumerate(sequences) if k in closed]
-                yield placed(left, done, made).assign(**{task_left: None})
+                rows = placed(left, done, made)
+                yield from marked(rows, [None] * rows.num_rows)
                 made += len(done)
-                left = left.iloc[[i for k, s in enumerate(sequences) if k not in closed for i in s]]
-        if left is not None and len(left):
-            left = left.reset_index(drop=True)
+                left = left.take(pa.array([i for k, s in enumerate(sequences) if k not in closed for i in s], pa.int64()))
+        if left is not None and left.num_rows:
             sizes = sizes_of(left)
             sequences = fill(sizes, most)
             done = [s for s in sequences if sizes[s, 0].sum() >= FULL * most[0]]
-            if done:
-                yield placed(left, done, made).assign(**{task_left: None})
-            rest = [i for s in sequences if sizes[s, 0].sum() < FULL * most[0] for i in s]
-            yield left.iloc[rest].assign(**{"sequence_id": None, "offset": None, task_left: [(task << 32) + i for i in range(len(rest))]})
-
-    def pack_left(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(task_left, ignore_index=True)
-        return placed(rows, fill(sizes_of(rows), most), (1 << 62) + (int(key[0]) << 32))[[*columns, "sequence_id", "offset"]]
-
-    first = stored(pieces.mapInPandas(pack_own, early), "packed")
+            rows = placed(left, done, made)
+            yield from marked(rows, [None] * rows.num_rows)
+            rest = left.take(pa.array([i for s in sequences if sizes[s, 0].sum() < FULL * most[0] for i in s], pa.int64()))
+            none = pa.nulls(rest.num_rows, pa.int64())
+            rest = rest.append_column("sequence_id", none).append_column("offset", none)
+            yield from marked(rest, [(task << 32) + i for i in range(rest.num_rows)])
+
+    def pack_left(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(task_left).select(columns)
+        return placed(rows, fill(sizes_of(rows), most), (1 << 62) + (key[0].as_py() << 32))
+
+    first = stored(pieces.mapInArrow(pack_own, early), "packed")
     last = first.where(F.col(task_left).isNotNull()).withColumn(hood, F.shiftright(task_left, 32 + NEIGHBOURS_LOG))
-    packed_left = last.groupBy(hood).applyInPandas(lambda key, rows: pack_left(key, rows.drop(columns=hood)), schema)
+    packed_left = last.groupBy(hood).applyInArrow(pack_left, schema)
     return first.where(F.col(task_left).isNull()).drop(task_left).unionByName(packed_left)
 
 

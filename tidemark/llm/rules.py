@@ -130,11 +130,10 @@ def thresholds(found: DataFrame) -> DataFrame:
         return quartiles.select(*[c for c in ("lang", "source", f"{prefix}_n") if c in quartiles.columns], *out)
 
     by_lang = fences(langs, "lang").withColumnRenamed("lang", "of_lang")
-    joined = (
-        fences(groups, "own")
-        .join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")))
-        .join(F.broadcast(fences(every, "all")))  # one row
-    )
+    overall = fences(every, "all")
+    one = overall.select(F.struct(*overall.columns)).scalar()
+    joined = fences(groups, "own").join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")))
+    joined = joined.withColumns({c: one.getField(c) for c in overall.columns})
     pick = lambda n: F.when(F.col("own_n") >= SMALL, F.col(f"own_{n}")).when(F.col("lang_n") >= SMALL, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
     return joined.select("lang", "source", *[pick(n).alias(n) for n in names])
 
