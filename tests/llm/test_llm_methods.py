@@ -113,6 +113,46 @@ def test_paraphrases_need_the_answer():
     assert all(decontam.BLOCK * (w - max(1, w // 4)) + 1 >= n for n in (1, 17, 60, 500, 5000) for w in [decontam.window_of(n)])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not there")
+def test_every_planted_item_is_found(spark):
+    """Whole items, 80% of their words, and 62% with the answer, in hosts of every language."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang").toPandas()
+    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    rng = random.Random(5)
+    hosts = {lang: [t.split() for t in g.text if len(t.split()) >= 150] for lang, g in docs.groupby("lang")}
+    rows, planted = [(int(r.doc_id), r.text) for r in docs.itertuples()], set()
+    for item in benchmark.toPandas().itertuples():
+        words = decontam.words_of(item.text)
+        n = len(words)
+        for share in (1.0, 0.8, 0.62):
+            drop = set(rng.sample(range(n - decontam.ANSWER), int(n - np.ceil(share * n))))
+            some = [w if k not in drop else "qq" for k, w in enumerate(words)]
+            for lang in sorted(hosts):
+                host = list(rng.choice(hosts[lang]))
+                at = rng.randrange(len(host))
+                doc_id = 10**9 + len(planted)
+                rows.append((doc_id, " ".join(host[:at] + some + host[at:])))
+                planted.add((doc_id, item.item_id))
+    found = decontam.leaked_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), benchmark).collect()
+    assert planted - {(r.doc_id, r.item_id) for r in found} == set()
+
+
+def test_counts_bound_the_common_subsequence():
+    items = [decontam.Item(k, [f"w{(k * 7 + i) % (20 + k)}" for i in range(10 + 30 * k)]) for k in range(12)]
+    codes = decontam.Codes().of([f"w{k % 50}" for k in range(400)])
+    rng = np.random.default_rng(2)
+    begin = np.sort(rng.integers(0, 390, 40))
+    end = np.minimum(begin + rng.integers(1, 120, 40), 400)
+    got = set(zip(*map(list, decontam.Counts(items).held(codes, decontam.places_before(codes), begin, end))))
+    expected = {
+        (r, k)
+        for r, (a, b) in enumerate(zip(begin, end))
+        for k, item in enumerate(items)
+        if sum(int((item.codes == c).sum()) for c in set(codes[a:b])) >= decontam.PARAPHRASED * item.n
+    }
+    assert got == expected
+
+
 def test_quality_model_separates_classes():
     rng = random.Random(0)
     prose = lambda: " ".join(rng.choice(["river", "stone", "house", "green", "walks", "under"]) for _ in range(30))
