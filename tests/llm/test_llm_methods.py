@@ -102,6 +102,26 @@ def test_licence_families(spark):
     assert {(r.doc_id, r.line, r.family) for r in found} == {(900, 1, "mit"), (901, 0, "cc-by-sa")}
 
 
+def test_notices_in_running_text(spark):
+    """At every place of a long line."""
+    rng = random.Random(4)
+    towns = ["quiet", "morning", "river", "stone", "house", "green", "walks", "under", "winter", "letter", "seven", "paper"]
+    prose = lambda n: " ".join(rng.choice(towns) for _ in range(n))
+    rows, planted = [(i, f"{prose(20)}\n{prose(70)}") for i in range(200)], set()
+    for family, notice in (
+        ("apache-2.0", licenses.TEMPLATES["apache-2.0"][1]),
+        ("mit", licenses.TEMPLATES["mit"][2]),
+        ("gpl", licenses.TEMPLATES["gpl"][1]),
+        ("cc-by-nc", licenses.TEMPLATES["cc-by-nc"][1]),
+        ("bsd", licenses.TEMPLATES["bsd"][3]),
+    ):
+        for place in range(0, 150, 7):
+            planted.add((1000 + len(planted), family))
+            rows.append((999 + len(planted), f"{prose(place)} {notice} {prose(150 - place)}"))
+    found = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in found} == planted
+
+
 def test_paraphrases_need_the_answer():
     item = decontam.Item(1, [f"w{k}" for k in range(20)])
     assert item.found([f"w{k}" for k in range(20)]) == (20, True)

@@ -8,8 +8,9 @@ A prediction counts as confirmed when a template of its family is found in the p
 three-word sequences.
 
 All on DataFrame functions and Spark's own machine-learning library. The model is fitted on a bounded
-sample; then every paragraph of every text is judged where it is read, and only the few that look like
-a licence are compared with templates. Nothing is shuffled.
+sample; then every paragraph of every text is judged where it is read. Those that look like a licence, and
+all that hold a three-word sequence of a template, are compared with templates, so a notice that stands
+among other words needs no word of the model. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ PROBABILITY = 0.5  # calibrated probability of a family, at least
 FALSE_ALARMS = 0.001  # share of the corpus paragraphs kept aside that may look like a licence
 DRAWS = 4  # paragraphs that a document gives to the sample, at most
 CONFIRMED = 0.6  # share of a template's three-word sequences that the paragraph holds
+MARK = "spdx-license-identifier"  # begins notices of two words
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
 
 # Notices as they are commonly written, by family.
@@ -152,13 +154,33 @@ def plain_words(sentence: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", sentence.lower())
 
 
+def grams_of(words: list[str]) -> list[str]:
+    """What `sequences` gives for three words."""
+    return list(dict.fromkeys(" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))))
+
+
+def cues() -> list[str]:
+    """The sequences of all templates."""
+    return sorted({g for sentences in TEMPLATES.values() for s in sentences for g in grams_of(plain_words(s))})
+
+
+def compared(words: Column) -> Column:
+    """The sequences of a paragraph that are compared: of three words, and of two where it holds MARK."""
+    return F.when(F.array_contains(words, MARK), F.array_union(sequences(words, 3), sequences(words, 2))).otherwise(sequences(words, 3))
+
+
+def cued(words: Column) -> Column:
+    """Whether a paragraph holds a sequence of a template."""
+    known = cues()
+    return F.exists(compared(words), lambda g: g.isin(known))
+
+
 def templates() -> Column:
     """array<struct<family,sequences>> of all templates, a literal."""
     out = []
     for family, sentences in TEMPLATES.items():
         for words in map(plain_words, sentences):
-            grams = dict.fromkeys(" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
-            out.append(F.struct(F.lit(family).alias("family"), F.array(*[F.lit(g) for g in grams]).alias("sequences")))
+            out.append(F.struct(F.lit(family).alias("family"), F.array(*[F.lit(g) for g in grams_of(words)]).alias("sequences")))
     return F.array(*out)
 
 
@@ -171,7 +193,14 @@ def similarity(words: Column, family: Column | None = None) -> Column:
     """The greatest share of a template's three-word sequences that a paragraph holds."""
     fit = templates() if family is None else F.filter(templates(), lambda t: t.family == family)
     shares = lambda own: F.transform(fit, lambda t: F.size(F.array_intersect(t.sequences, own)) / F.size(t.sequences))
-    return once(sequences(words, 3), lambda own: F.coalesce(F.array_max(shares(own)), F.lit(0.0)))
+    return once(compared(words), lambda own: F.coalesce(F.array_max(shares(own)), F.lit(0.0)))
+
+
+def closest(words: Column) -> Column:
+    """The template that a paragraph holds most of: struct<similarity,family>."""
+    share = lambda t, own: F.size(F.array_intersect(t.sequences, own)) / F.size(t.sequences)
+    each = lambda own: F.transform(templates(), lambda t: F.struct(share(t, own).alias("similarity"), t.family.alias("family")))
+    return once(compared(words), lambda own: F.array_max(each(own)))
 
 
 def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
@@ -179,7 +208,7 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
 
     Up to DRAWS paragraphs are drawn from each of about `sample` documents by the digest of their text, so
     the sample depends on no layout; paragraphs that hold most of a template are left out. In variants of
-    templates words are left out or replaced, and words of the corpus stand before and behind them.
+    templates words are left out or replaced, and words of the corpus, up to a full window, stand before and behind them.
     """
     families = list(TEMPLATES)
     n = max(1, docs.count())
@@ -215,8 +244,11 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
         .when((chance(i) < 10) & (F.col("k") > 0), F.col("noise")[F.pmod(i, F.size("noise"))])
         .otherwise(w),
     )
-    before = F.slice("noise", 1, F.when(F.col("k") % 3 == 1, chance(F.lit("b")) % 12).otherwise(0).cast("int"))
-    behind = F.slice("noise", 1, F.when(F.col("k") % 2 == 1, chance(F.lit("a")) % 24).otherwise(0).cast("int"))
+    context = F.flatten(F.array_repeat("noise", WINDOW))
+    room = F.greatest(F.lit(WINDOW) - F.size("words"), F.lit(0))
+    ahead = F.when(F.col("k") % 3 > 0, chance(F.lit("b")) % (room + 1)).otherwise(0).cast("int")
+    before = F.slice(context, 1, ahead)
+    behind = F.slice(context, 1, F.when(F.col("k") % 2 == 1, chance(F.lit("a")) % (room - ahead + 1)).otherwise(0).cast("int"))
     variants = made.select("label", F.filter(F.concat(before, changed, behind), lambda w: w != "").alias("words"), (chance(F.lit("s")) < 20).alias("aside"))
     corpus = drawn.where(similarity(F.col("words")) < 0.5).select(
         F.lit(len(families)).alias("label"), "words", (F.pmod(F.xxhash64("words"), F.lit(100)) < 20).alias("aside")
@@ -232,15 +264,21 @@ class Model:
         self.classes = [*TEMPLATES, UNKNOWN]
 
     def judged(self, rows: DataFrame) -> DataFrame:
-        """Rows with `words`, with `found`: the likeliest class and its calibrated probability."""
+        """Rows with `words`, with `found`: the likeliest class, its calibrated probability and those of all classes."""
         scored = self.regression.transform(featured(rows))
         names = F.array(*[F.lit(c) for c in self.classes])
         pick = lambda raw: F.struct(
             names[F.array_position(raw, F.array_max(raw)).cast("int") - 1].alias("family"),
             F.array_max(likelihoods(raw, self.temperature)).alias("probability"),
+            likelihoods(raw, self.temperature).alias("each"),
         )
         return scored.select(*rows.columns, once(vector_to_array("rawPrediction"), pick).alias("found"))
 
+    def probability(self, found: Column, family: Column) -> Column:
+        """The calibrated probability of a family in `found`."""
+        names = F.array(*[F.lit(c) for c in self.classes])
+        return found.getField("each")[F.array_position(names, family).cast("int") - 1]
+
 
 def likelihoods(raw: Column, temperature: float) -> Column:
     """Probabilities of the classes from their margins."""
@@ -281,7 +319,8 @@ def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
 
     `line` counts the text's lines from 0, `part` the windows of a long line. A family whose calibrated
     probability is below PROBABILITY, or below what all but FALSE_ALARMS of the corpus paragraphs kept
-    aside reach, is unknown and gives no row. `confirmed` says whether a template of
+    aside reach, is unknown and gives no row, unless a template is found there: then the closest template
+    gives the family, however small its probability. `confirmed` says whether a template of
     the family is found there. Null and empty texts have no paragraphs; repeated rows give repeated
     rows; an empty table gives an empty table.
     """
@@ -290,8 +329,18 @@ def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     rows = docs.select(whole(docs.select(*[f"`{c}`" for c in carry])), F.explode(paragraphs(text_of(F.col(f"`{text}`")))).alias("p"))
     judged = model.judged(rows.select("row", "p.line", "p.part", "p.words"))
     likely = lambda f: (f.family != UNKNOWN) & (f.probability >= model.least)
-    found = judged.where(once(F.col("found"), likely)).select("*", "found.family", "found.probability")
-    found = found.withColumn("similarity", similarity(F.col("words"), F.col("family")))
+    found = judged.where(once(F.col("found"), likely) | cued(F.col("words")))
+    found = found.select(
+        "*", likely(F.col("found")).alias("believed"), similarity(F.col("words"), F.col("found.family")).alias("own"), closest(F.col("words")).alias("closest")
+    )
+    # The model's family stands where it is believed and confirmed, and where no template is found.
+    by_template = (F.col("closest.similarity") >= CONFIRMED) & ~(F.col("believed") & (F.col("own") >= CONFIRMED))
+    found = found.where(F.col("believed") | by_template).select(
+        "*",
+        F.when(by_template, F.col("closest.family")).otherwise(F.col("found.family")).alias("family"),
+        F.when(by_template, F.col("closest.similarity")).otherwise(F.col("own")).alias("similarity"),
+    )
+    found = found.withColumn("probability", model.probability(F.col("found"), F.col("family")))
     return unpacked(
         found,
         carry,
