@@ -122,6 +122,17 @@ def test_notices_in_running_text(spark):
     assert {(r.doc_id, r.family) for r in found} == planted
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not there")
+def test_all_rights_reserved_is_a_notice(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    notice = "All rights reserved."
+    planted = {(r.doc_id, k) for r in docs.collect() for k, line in enumerate((r.text or "").split("\n")) if line == notice}
+    found = licenses.scanned(docs).where("family = 'proprietary'").collect()
+    assert planted and planted <= {(r.doc_id, r.line) for r in found}
+    drawn = licenses.labelled(docs, "text", licenses.SAMPLE).where(F.col("label") == len(licenses.TEMPLATES))
+    assert drawn.where(F.col("words") == F.array(*[F.lit(w) for w in licenses.plain_words(notice)])).isEmpty()
+
+
 def test_paraphrases_need_the_answer():
     item = decontam.Item(1, [f"w{k}" for k in range(20)])
     assert item.found([f"w{k}" for k in range(20)]) == (20, True)

@@ -98,6 +98,8 @@ TEMPLATES = {
         "This document is confidential and proprietary; copying and distribution are prohibited.",
     ),
 }
+# Notices that say too little to confirm a family: trained on, and given unconfirmed where no template is found.
+BRIEF = {"proprietary": ("All rights reserved.",)}
 # Sentences that speak of licences, software or rights and grant nothing.
 OTHERS = (
     "The driver lost the license and had to renew it at the public office.",
@@ -161,7 +163,7 @@ def grams_of(words: list[str]) -> list[str]:
 
 def cues() -> list[str]:
     """The sequences of all templates."""
-    return sorted({g for sentences in TEMPLATES.values() for s in sentences for g in grams_of(plain_words(s))})
+    return sorted({g for known in (TEMPLATES, BRIEF) for sentences in known.values() for s in sentences for g in grams_of(plain_words(s))})
 
 
 def compared(words: Column) -> Column:
@@ -175,6 +177,13 @@ def cued(words: Column) -> Column:
     return F.exists(compared(words), lambda g: g.isin(known))
 
 
+def brief(words: Column) -> Column:
+    """The family of a notice of BRIEF that a paragraph holds whole; null if it holds none."""
+    notices = [(family, grams_of(plain_words(s))) for family, sentences in BRIEF.items() for s in sentences]
+    whole_in = lambda own, grams: F.size(F.array_intersect(F.array(*[F.lit(g) for g in grams]), own)) == len(grams)
+    return once(compared(words), lambda own: F.coalesce(*[F.when(whole_in(own, g), F.lit(f)) for f, g in notices]))
+
+
 def templates() -> Column:
     """array<struct<family,sequences>> of all templates, a literal."""
     out = []
@@ -189,9 +198,9 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def similarity(words: Column, family: Column | None = None) -> Column:
-    """The greatest share of a template's three-word sequences that a paragraph holds."""
-    fit = templates() if family is None else F.filter(templates(), lambda t: t.family == family)
+def similarity(words: Column, family: Column) -> Column:
+    """The greatest share of three-word sequences of a family's template that a paragraph holds."""
+    fit = F.filter(templates(), lambda t: t.family == family)
     shares = lambda own: F.transform(fit, lambda t: F.size(F.array_intersect(t.sequences, own)) / F.size(t.sequences))
     return once(compared(words), lambda own: F.coalesce(F.array_max(shares(own)), F.lit(0.0)))
 
@@ -207,7 +216,8 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
     """(label, words, aside): variants of templates, sentences of no licence, paragraphs of the corpus.
 
     Up to DRAWS paragraphs are drawn from each of about `sample` documents by the digest of their text, so
-    the sample depends on no layout; paragraphs that hold most of a template are left out. In variants of
+    the sample depends on no layout; paragraphs that hold any sequence of a template are left out, since they may
+    be notices in other words: they are neither examples of no licence nor set the threshold. In variants of
     templates words are left out or replaced, and words of the corpus, up to a full window, stand before and behind them.
     """
     families = list(TEMPLATES)
@@ -224,7 +234,7 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
         .select("own", "p.words"),
         "license-paragraphs",
     )
-    sentences = [(k, s) for k, f in enumerate(families) for s in TEMPLATES[f]] + [(len(families), s) for s in OTHERS]
+    sentences = [(k, s) for k, f in enumerate(families) for s in (*TEMPLATES[f], *BRIEF.get(f, ()))] + [(len(families), s) for s in OTHERS]
     given = F.array(*[
         F.struct(F.lit(k).alias("label"), F.array(*[F.lit(w) for w in plain_words(s)]).alias("words"), F.lit(i).alias("i"))
         for i, (k, s) in enumerate(sentences)
@@ -250,7 +260,7 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
     before = F.slice(context, 1, ahead)
     behind = F.slice(context, 1, F.when(F.col("k") % 2 == 1, chance(F.lit("a")) % (room - ahead + 1)).otherwise(0).cast("int"))
     variants = made.select("label", F.filter(F.concat(before, changed, behind), lambda w: w != "").alias("words"), (chance(F.lit("s")) < 20).alias("aside"))
-    corpus = drawn.where(similarity(F.col("words")) < 0.5).select(
+    corpus = drawn.where(~cued(F.col("words"))).select(
         F.lit(len(families)).alias("label"), "words", (F.pmod(F.xxhash64("words"), F.lit(100)) < 20).alias("aside")
     )
     return variants.unionByName(corpus)
@@ -320,7 +330,7 @@ def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     `line` counts the text's lines from 0, `part` the windows of a long line. A family whose calibrated
     probability is below PROBABILITY, or below what all but FALSE_ALARMS of the corpus paragraphs kept
     aside reach, is unknown and gives no row, unless a template is found there: then the closest template
-    gives the family, however small its probability. `confirmed` says whether a template of
+    gives the family, however small its probability, or else a notice of BRIEF does. `confirmed` says whether a template of
     the family is found there. Null and empty texts have no paragraphs; repeated rows give repeated
     rows; an empty table gives an empty table.
     """
@@ -331,14 +341,15 @@ def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     likely = lambda f: (f.family != UNKNOWN) & (f.probability >= model.least)
     found = judged.where(once(F.col("found"), likely) | cued(F.col("words")))
     found = found.select(
-        "*", likely(F.col("found")).alias("believed"), similarity(F.col("words"), F.col("found.family")).alias("own"), closest(F.col("words")).alias("closest")
+        "*", likely(F.col("found")).alias("believed"), similarity(F.col("words"), F.col("found.family")).alias("own"), closest(F.col("words")).alias("closest"), brief(F.col("words")).alias("brief")
     )
     # The model's family stands where it is believed and confirmed, and where no template is found.
     by_template = (F.col("closest.similarity") >= CONFIRMED) & ~(F.col("believed") & (F.col("own") >= CONFIRMED))
-    found = found.where(F.col("believed") | by_template).select(
+    by_brief = ~F.col("believed") & F.col("brief").isNotNull()
+    found = found.where(F.col("believed") | by_template | by_brief).select(
         "*",
-        F.when(by_template, F.col("closest.family")).otherwise(F.col("found.family")).alias("family"),
-        F.when(by_template, F.col("closest.similarity")).otherwise(F.col("own")).alias("similarity"),
+        F.when(by_template, F.col("closest.family")).when(by_brief, F.col("brief")).otherwise(F.col("found.family")).alias("family"),
+        F.when(by_template, F.col("closest.similarity")).when(by_brief, similarity(F.col("words"), F.col("brief"))).otherwise(F.col("own")).alias("similarity"),
     )
     found = found.withColumn("probability", model.probability(F.col("found"), F.col("family")))
     return unpacked(
