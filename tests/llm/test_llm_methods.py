@@ -133,6 +133,18 @@ def test_all_rights_reserved_is_a_notice(spark):
     assert drawn.where(F.col("words") == F.array(*[F.lit(w) for w in licenses.plain_words(notice)])).isEmpty()
 
 
+def test_wrapped_notices(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "Released under the MIT License."
+    rows = [(i, f"a quiet morning number {i} by the sea\nnothing else happened that day in town {i}") for i in range(200)]
+    rows += [(900, gpl), (901, f"first line\n\n{bsd}\nlast line"), (902, f"{gpl}\n{bsd}\n{gpl}"), (903, f"before\n{mit}\nbehind")]
+    rows += [(904, bsd.replace("\n", "\n\n")), (905, None), (906, ""), (907, "one\ntwo")]
+    found = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("confirmed").collect()
+    expected = [(900, 0, "gpl"), (901, 2, "bsd"), (902, 0, "gpl"), (902, 3, "bsd"), (902, 6, "gpl"), (903, 1, "mit")]
+    assert sorted((r.doc_id, r.line, r.family) for r in found) == expected
+
+
 def test_paraphrases_need_the_answer():
     item = decontam.Item(1, [f"w{k}" for k in range(20)])
     assert item.found([f"w{k}" for k in range(20)]) == (20, True)

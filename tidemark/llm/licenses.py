@@ -10,7 +10,8 @@ three-word sequences.
 All on DataFrame functions and Spark's own machine-learning library. The model is fitted on a bounded
 sample; then every paragraph of every text is judged where it is read. Those that look like a licence, and
 all that hold a three-word sequence of a template, are compared with templates, so a notice that stands
-among other words needs no word of the model. Nothing is shuffled.
+among other words needs no word of the model. Notices that are broken over several lines are found by their
+templates in the consecutive lines' words. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ PROBABILITY = 0.5  # calibrated probability of a family, at least
 FALSE_ALARMS = 0.001  # share of the corpus paragraphs kept aside that may look like a licence
 DRAWS = 4  # paragraphs that a document gives to the sample, at most
 CONFIRMED = 0.6  # share of a template's three-word sequences that the paragraph holds
+SLACK = 8  # further words among which a template's sequences may stand in wrapped lines
+WRAPPED = -1  # the `part` of a notice that only several lines hold together
 MARK = "spdx-license-identifier"  # begins notices of two words
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
 
@@ -212,6 +215,83 @@ def closest(words: Column) -> Column:
     return once(compared(words), lambda own: F.array_max(each(own)))
 
 
+def wrapped(text: Column) -> Column:
+    """array<struct<line,words,family,similarity>>: the notices that only consecutive lines hold together.
+
+    The words of all lines stand one behind the other; a line without words is an empty word, which is in no
+    template. From each place of a template's sequence those that follow in its order are counted,
+    as far as the template reaches and SLACK. A place counts unless one further ahead in the template stands
+    before it, unless one of the lines confirms the family alone, and unless another family's template
+    fits better there.
+    """
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), words_of(x).alias("words")))
+    word = lambda w, x: F.struct(w.alias("word"), x.line.alias("line"))
+    marked = F.flatten(F.transform(lines, lambda x: F.when(F.size(x.words) == 0, F.array(word(F.lit(""), x))).otherwise(F.transform(x.words, lambda w: word(w, x)))))
+    known, every = cues(), templates()
+
+    def hits(words: Column) -> Column:
+        def at(i: Column) -> Column:
+            three = [F.get(words, i + k) for k in range(3)]
+            return F.struct(i.alias("at"), F.concat_ws(" ", *[w.word for w in three]).alias("gram"), three[0].line.alias("line"), three[2].line.alias("until"))
+
+        every_at = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), at)
+        block = lambda h: F.size(F.filter(F.slice(words, 1, h.at), lambda w: w.word == ""))
+        return F.transform(F.filter(every_at, lambda h: h.gram.isin(known) & h.until.isNotNull()), lambda h: h.withField("block", block(h)))
+
+    def places(t: Column, found: Column) -> Column:
+        n = F.size(t.sequences)
+        kinds = lambda some: F.size(F.array_distinct(F.transform(some, lambda y: y.index))) / n
+
+        def counted(x: Column, own: Column) -> Column:
+            near = F.filter(own, lambda y: (y.at >= x.at) & (y.at < x.at + n + SLACK) & (y.index >= x.index) & (y.block == x.block))
+            return once(
+                near,
+                lambda some: F.struct(
+                    t.family.alias("family"), x.at.alias("at"), x.line.alias("line"), x.index.alias("index"),
+                    F.array_max(F.transform(some, lambda y: y.at)).alias("end"),
+                    F.array_max(F.transform(some, lambda y: y.until)).alias("until"),
+                    kinds(some).alias("similarity"),
+                    kinds(F.filter(some, lambda y: (y.line == x.line) & (y.until == x.line))).alias("alone"),
+                ),
+            )
+
+        def first(x: Column, fit: Column) -> Column:
+            return x.withField("first", ~F.exists(fit, lambda y: (y.index < x.index) & (y.at < x.at) & (y.at > x.at - n - SLACK)))
+
+        own = F.transform(
+            F.filter(found, lambda h: F.array_contains(t.sequences, h.gram)),
+            lambda h: F.struct(h.at.alias("at"), h.line.alias("line"), h.until.alias("until"), h.block.alias("block"), F.array_position(t.sequences, h.gram).alias("index")),
+        )
+        fit = once(own, lambda o: F.filter(F.transform(o, lambda x: counted(x, o)), lambda x: x.similarity >= CONFIRMED))
+        return once(fit, lambda f: F.transform(f, lambda x: first(x, f)))
+
+    def notices(words: Column, fit: Column) -> Column:
+        meets = lambda x, o: (o.at <= x.end) & (o.end >= x.at)
+        given = F.filter(
+            fit,
+            lambda x: x.first
+            & (x.until > x.line)
+            & ~F.exists(fit, lambda o: (o.family == x.family) & (o.alone >= CONFIRMED) & meets(x, o))
+            & ~F.exists(fit, lambda o: (o.family != x.family) & (o.similarity > x.similarity) & meets(x, o)),
+        )
+
+        def best(k: Column, some: Column) -> Column:
+            same = F.filter(some, lambda x: (x.line == k.line) & (x.family == k.family))
+            top = F.array_max(F.transform(same, lambda x: F.struct(x.similarity.alias("similarity"), x.at.alias("at"), x.end.alias("end"))))
+            held = lambda b: F.transform(F.slice(words, b.at + 1, b.end - b.at + 3), lambda w: w.word)
+            return once(top, lambda b: F.struct(k.line.alias("line"), held(b).alias("words"), k.family.alias("family"), b.similarity.alias("similarity")))
+
+        key = lambda x: F.struct(x.line.alias("line"), x.family.alias("family"))
+        return once(given, lambda some: F.transform(F.array_distinct(F.transform(some, key)), lambda k: best(k, some)))
+
+    none = F.array().cast("array<struct<line:int,words:array<string>,family:string,similarity:double>>")
+    fit = lambda found: F.flatten(F.transform(every, lambda t: places(t, found)))
+    return once(
+        marked,
+        lambda words: once(hits(words), lambda found: F.when(F.size(found) == 0, none).otherwise(once(fit(found), lambda f: notices(words, f)))),
+    )
+
+
 def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
     """(label, words, aside): variants of templates, sentences of no licence, paragraphs of the corpus.
 
@@ -327,7 +407,8 @@ def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     """A row for each paragraph that looks like a licence: the document's columns without the text, line,
     part, family, probability, similarity and confirmed.
 
-    `line` counts the text's lines from 0, `part` the windows of a long line. A family whose calibrated
+    `line` counts the text's lines from 0, `part` the windows of a long line; a notice that only several lines
+    hold together stands at its first line, with the part WRAPPED. A family whose calibrated
     probability is below PROBABILITY, or below what all but FALSE_ALARMS of the corpus paragraphs kept
     aside reach, is unknown and gives no row, unless a template is found there: then the closest template
     gives the family, however small its probability, or else a notice of BRIEF does. `confirmed` says whether a template of
@@ -351,6 +432,10 @@ def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
         F.when(by_template, F.col("closest.family")).when(by_brief, F.col("brief")).otherwise(F.col("found.family")).alias("family"),
         F.when(by_template, F.col("closest.similarity")).when(by_brief, similarity(F.col("words"), F.col("brief"))).otherwise(F.col("own")).alias("similarity"),
     )
+    over = docs.select(whole(docs.select(*[f"`{c}`" for c in carry])), F.explode(wrapped(text_of(F.col(f"`{text}`")))).alias("p"))
+    over = model.judged(over.select("row", "p.line", F.lit(WRAPPED).alias("part"), "p.words", "p.family", "p.similarity"))
+    names = ("row", "line", "part", "family", "similarity", "found")
+    found = found.select(*names).unionByName(over.select(*names))
     found = found.withColumn("probability", model.probability(F.col("found"), F.col("family")))
     return unpacked(
         found,
