@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import decontam, graph, language, licenses, minhash, packing, quality, secrets
+from tidemark.llm import decontam, graph, language, licenses, lines, minhash, packing, quality, secrets
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -145,6 +145,14 @@ def test_wrapped_notices(spark):
     assert sorted((r.doc_id, r.line, r.family) for r in found) == expected
 
 
+def test_line_ends_do_not_tell_blocks_apart(spark):
+    """A copy with CRLF ends, one with tabs, and one with lines of white space only."""
+    block = ["the first line", "the second line", "the third line"]
+    rows = [(1, "\n".join(block)), (2, "\r\n".join([*block, ""])), (3, "\t\n".join(block)), (4, "\n\t\n \r\n".join(block)), (5, "\x85\n".join(block))]
+    found = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("", 3), 3: ("", 3), 4: ("\t\n \r\n\t\n \r", 3), 5: (rows[4][1], 0)}
+
+
 def test_paraphrases_need_the_answer():
     item = decontam.Item(1, [f"w{k}" for k in range(20)])
     assert item.found([f"w{k}" for k in range(20)]) == (20, True)

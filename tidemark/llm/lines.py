@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import unpacked, whole
 
 WINDOW = 3
+SPACE = " \t\n\x0b\x0c\r"  # what is taken off the ends of lines
 
 
 def repeated_lines(docs: DataFrame, window: int, text: str, doc_id: str) -> DataFrame:
@@ -16,7 +17,7 @@ def repeated_lines(docs: DataFrame, window: int, text: str, doc_id: str) -> Data
     one row for each task after the first aggregation; its occurrences are dealt by a join, whose
     skewed keys Spark splits.
     """
-    lines = F.transform(F.split(text_column(text), "\n", -1), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line")))
+    lines = F.transform(F.split(text_column(text), "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(SPACE)).alias("line")))
     full = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
         digest(doc_id, text).alias("digest"),
