@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontam, language, licenses, lines, minhash, packing, quality, rules, secrets, sharding
+from tidemark.llm import conversations, decontam, language, licenses, lines, minhash, packing, quality, rules, secrets, sharding, spelling, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of every damaged conversation and its cheapest repair."""
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that occur earlier."""
+    docs = substrings.dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent words of all documents, each with its more frequent spelling."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -84,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 # CRC-32 over the text's bytes, by the usual table for the polynomial 0xEDB88320.
@@ -104,6 +124,15 @@ coded as (
     from coded, crc_table
 )"""
 
+_CRC_TABLE = """steps(i, k, c) as (
+    select i, 0, i::ubigint from range(256) r(i)
+    union all
+    select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end from steps where k < 8
+), crc_table as (select list(c order by i) as t from steps where k = 8)"""
+_CRC_OF_HEX = """cast(xor(4294967295::ubigint, list_reduce(
+    [4294967295::ubigint] || list_transform(range(1, length(h), 2), lambda p: ('0x' || substr(h, p, 2))::ubigint),
+    lambda c, b: xor(c // 256, t[1 + (xor(c, b) % 256)::bigint]))) as bigint)"""
+
 SQL = {
     "op6_quality_rules": f"""
 with words as (
@@ -191,4 +220,60 @@ with lines as (
 )
 select d.doc_id, coalesce(k.text, '') as text, cast(k.n_removed as bigint) as n_removed
 from documents d join kept k using (doc_id)""",
+    "op12_substring_dedup": f"""
+with words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r]+') as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ') as win
+    from (select doc_id, w, unnest(range(1, len(w) - {substrings.WINDOW - 2})) as i from words)
+), later as (
+    select doc_id, i from (select *, row_number() over (partition by win order by doc_id, i) as occurrence from windows)
+    where occurrence > 1
+), covered as (
+    select distinct doc_id, unnest(range(i, i + {substrings.WINDOW})) as p from later
+), removed as (
+    select doc_id, list(p) as gone, count(*) as n from covered group by 1
+)
+select doc_id, len(w) as n_words, coalesce(r.n, 0) as n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, p: not list_contains(coalesce(r.gone, []), p)), ' ')) as kept_sha256
+from words left join removed r using (doc_id)""",
+    "op13_spelling_variants": f"""
+with recursive {_CRC_TABLE}, found as (
+    select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUNS}')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from documents
+), counted as (
+    select doc_id, run, count(*) as n, hex(encode(doc_id || ':' || run)) as h from found group by all
+), digested as (
+    select run, n, {_CRC_OF_HEX} as crc from counted, crc_table
+), changed as (
+    select case when crc % {spelling.DROPPED_OF} = 0
+                then substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word, n
+    from digested
+), vocabulary as (
+    select word, cast(sum(n) as bigint) as n from changed where length(word) >= {spelling.LEAST_LENGTH} group by 1
+    having sum(n) >= {spelling.LEAST_COUNT}
+), places as (
+    select word, n, unnest(range(1, length(word) + 1)) as p from vocabulary
+), holes as (
+    select word, n, p, substr(word, 1, p - 1) as a, substr(word, p + 1) as b from places
+), near as (
+    select x.word, y.word as other, y.n from holes x join holes y on x.p = y.p and x.a = y.a and x.b = y.b and x.word <> y.word
+    union
+    select x.word, y.word, y.n from holes x join vocabulary y on x.a || x.b = y.word
+    union
+    select y.word, x.word, x.n from holes x join vocabulary y on x.a || x.b = y.word
+), best as (
+    select word, count(*) as n_near, max(n) as most, arg_min(other, (-n, encode(other))) as form from near group by 1
+), formed as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near,
+           case when most >= {spelling.TIMES} * v.n then form end as form,
+           case when most >= {spelling.TIMES} * v.n then most end as form_n
+    from vocabulary v left join best using (word)
+), chains(word, root, next) as (
+    select word, word, form from formed
+    union all
+    select c.word, f.word, f.form from chains c join formed f on f.word = c.next
+)
+select f.word, form, c.root, n, n_near, form_n from formed f join chains c on c.word = f.word and c.next is null""",
 }
