@@ -3,7 +3,7 @@
 Method: Rabin-Karp hashes of every window of `window` words. Prefix sums of the word hashes times powers
 of an odd base, all modulo 2^64, give each window's hash by one subtraction. Windows are counted in
 Spark under their least hash of `ANCHOR` consecutive words: equal windows have equal anchors, and about
-seven neighbouring windows share one, so they travel as one row.
+eight neighbouring windows share one, so they travel as one row.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from tidemark.llm.common import text_of, unpacked, whole
 
 WINDOW = 20
-ANCHOR = 8  # words of an anchor; a window has window - ANCHOR + 1 of them
+ANCHOR = 6  # words of an anchor; a window has window - ANCHOR + 1 of them
 CHUNK_BYTES = 8 << 20  # text that a task hashes at a time
 CACHED_WORDS = 200_000
 RUN = 60  # windows of a row, one bit each
@@ -80,7 +80,8 @@ def anchored(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, id, digest, first, checks, bits): runs of windows with consecutive starts, from `first`.
 
     Windows that are the first of their kind in their chunk of text have an anchor and `checks`, a part
-    of each hash. The others, known to be repeated, have neither, but `bits`, a bit for each window. A
+    of each hash. The others, known to be repeated, have `bits`, a bit for each window, and no checks;
+    their anchor only deals them out. A
     chunk holds whole documents in order, so a passage that very many documents share gives rows for
     each chunk and not for each document.
     """
@@ -119,7 +120,7 @@ def anchored(docs: DataFrame, window: int) -> DataFrame:
         which = pa.array(doc[begin])
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([pa.array(anchor[new[new_begin]].view(np.int64)), pa.nulls(len(bits), pa.int64())]),
+                pa.array(np.concatenate([anchor[new[new_begin]], mixed(begin[len(new_begin) :].astype(np.uint64))]).view(np.int64)),
                 chunk["id"].take(which),
                 chunk["digest"].take(which),
                 pa.array(start[begin].astype(np.int32)),
@@ -153,16 +154,15 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     or there a smaller start. Windows travel once, by anchor. An anchor met once has no repeated window, and few
     others remain to be compared.
     """
-    rows = anchored(docs, window).repartition(F.coalesce("anchor", F.xxhash64("id", "digest")))
-    met = rows.where(F.col("anchor").isNotNull()).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
+    rows = anchored(docs, window).repartition("anchor").withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
     places = F.sequence(F.lit(0), (F.octet_length("checks") / CHECK_BYTES - 1).cast("int"))
     each = F.transform(places, lambda i: F.struct(i.alias("i"), F.substring("checks", i * CHECK_BYTES + 1, F.lit(CHECK_BYTES)).alias("check")))
-    windows = met.where("met > 1").select("anchor", "id", "digest", "first", F.inline(each))
+    # Windows known to be repeated pass through with a null check.
+    windows = rows.where("met > 1 or bits is not null").select("anchor", "id", "digest", "first", "bits", F.inline_outer(each))
     order = Window.partitionBy("anchor", "check").orderBy("id", "digest", F.col("first") + F.col("i"))
-    later = windows.withColumn("occurrence", F.rank().over(order)).where("occurrence > 1")
-    bits = F.bit_or(F.expr("shiftleft(1L, i)"))
-    found = later.groupBy("anchor", "id", "digest", "first").agg(bits.alias("bits")).drop("anchor")
-    return found.unionByName(rows.where(F.col("anchor").isNull()).select("id", "digest", "first", "bits"))
+    later = windows.withColumn("occurrence", F.rank().over(order)).where("check is null or occurrence > 1")
+    bits = F.bit_or(F.coalesce("bits", F.expr("shiftleft(1L, i)")))
+    return later.groupBy("anchor", "id", "digest", "first").agg(bits.alias("bits")).drop("anchor")
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
