@@ -15,10 +15,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,7 +36,8 @@ WINDOW = 1024  # pieces that are packed together in a task
 NEIGHBOURS_LOG = 6  # log2 of how many tasks' leftovers are packed together
 FULL = 0.995  # share of the first limit from which a sequence is closed early
 
-CACHED = 500_000  # words, and parts of words, that a task remembers the ids of
+CACHED_BYTES = 40 << 20  # of the words, and again of the parts of words, that a task remembers the ids of
+ENTRY_BYTES = 200  # of a remembered word with its ids, about
 LONG = 200  # characters from which a word isn't remembered
 
 # The tokenizer's own splitting of words, for words of printable ASCII and Latin letters.
@@ -62,6 +63,7 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     model, as_bytes = tokenizer.model, byte_characters()
     known: dict[str, bytes] = {}
     parts: dict[str, bytes] = {}
+    most = CACHED_BYTES // ENTRY_BYTES
     end = np.array([end_id], "<u4").tobytes()
 
     def of_part(part: str) -> bytes:
@@ -84,10 +86,10 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         new = set(words).difference(known)
-        if len(known) + len(new) > CACHED:
+        if len(known) + len(new) > most:
             known.clear()
             new = set(words)
-        if len(parts) > CACHED:
+        if len(parts) > most:
             parts.clear()
         for word in new:
             known[word] = of_word(word)
@@ -118,22 +120,24 @@ def tokenized(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, l
     which nothing predicts. Repeated rows each give their own pieces.
     """
 
-    @F.pandas_udf(f"struct<doc_tokens:bigint,pieces:{PIECES}>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # Arrow arrays in and out: of a batch of texts no more than one is ever held as Python objects.
+    @F.arrow_udf(f"struct<doc_tokens:bigint,pieces:{PIECES}>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder(tokenizer, END_ID)
         for texts in batches:
-            tokens, pieces = [], []
+            tokens, ends, start, size, crc = array("q"), array("i", [0]), array("q"), array("q"), array("q")
             for value in texts:
-                ids = encode(value)
+                ids = encode(value.as_py())
                 n = len(ids) // 4
                 tokens.append(n)
-                pieces.append(
-                    [
-                        {"start": a, "length": min(length, n - a), "ids_crc32": zlib.crc32(ids[4 * a : 4 * (a + length)])}
-                        for a in range(0, n, length)
-                    ]
-                )
-            yield pd.DataFrame({"doc_tokens": tokens, "pieces": pieces})
+                for a in range(0, n, length):
+                    start.append(a)
+                    size.append(min(length, n - a))
+                    crc.append(zlib.crc32(ids[4 * a : 4 * (a + length)]))
+                ends.append(len(start))
+            pieces = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (start, size, crc)], names=["start", "length", "ids_crc32"])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
+            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), listed], names=["doc_tokens", "pieces"])
 
     # Without the text, which nothing needs from here on.
     others = [c for c in docs.columns if c != text]

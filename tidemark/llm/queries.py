@@ -144,37 +144,51 @@ with words as (
 ), covered as (
     select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from repeated) group by 1
 ), lines as (
-    select doc_id, count(*) - count(distinct line) as n
+    select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n
     from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
     where regexp_matches(line, '[^ \\t\\n\\x0b\\x0c\\r]') group by 1
 ), measured as (
     select doc_id, lang, source, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
-           len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+           len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(l.n_lines, 0) as n_lines, coalesce(c.n, 0) as n_repeat_words
     from words left join covered c using (doc_id) left join lines l using (doc_id)
 ), shared as (
     select *, word_chars / nullif(n_words, 0)::double as word_length, n_symbols / nullif(word_chars, 0)::double as symbol_share,
-           n_dup_lines / nullif(n_words, 0)::double as dup_line_share, n_repeat_words / nullif(n_words, 0)::double as repeat_share
+           n_dup_lines / nullif(n_lines, 0)::double as dup_line_share, n_repeat_words / nullif(n_words, 0)::double as repeat_share
     from measured
 ), long as (
     select doc_id, lang, source, measure, value from shared
     unpivot include nulls (value for measure in (word_length, symbol_share, dup_line_share, repeat_share))
+), buckets as (
+    select lang, source, measure, case when value >= {rules.LEAST_VALUE} then ceil(ln(value) / ln({rules.GROWTH}::double)) end as bucket, count(*) as n
+    from long where value is not null group by all
+), merged as (
+    select lang, source, measure, bucket, grouping(lang, source) as level, sum(n) as n
+    from buckets group by grouping sets ((measure, bucket, lang, source), (measure, bucket, lang), (measure, bucket))
+), placed as (
+    select *, sum(n) over (w order by bucket nulls first rows unbounded preceding) as upto, sum(n) over w as total,
+           case when bucket is null then 0 else power({rules.GROWTH}::double, bucket) * (2 / {1 + rules.GROWTH}::double) end as value
+    from merged window w as (partition by level, measure, lang, source)
 ), quartiles as (
-    select lang, source, measure, grouping(lang, source) as level, count(*) as n,
-           quantile_disc(value, 0.25) as q1, quantile_disc(value, 0.75) as q3
-    from long group by grouping sets ((measure, lang, source), (measure, lang), (measure))
+    select level, lang, source, measure, max(total) as total,
+           min(value) filter (where upto >= ceil(total * 0.25::double)) as q1, min(value) filter (where upto >= ceil(total * 0.75::double)) as q3
+    from placed group by all
 ), rules(measure, times, least) as (
     values {", ".join(f"('{n}', {t}, {m})" for n, (t, m) in rules.FENCES.items())}
+), langs as (
+    select l.lang, l.measure, (l.q1 * l.total + a.q1 * {rules.PRIOR}) / (l.total + {rules.PRIOR}) as q1,
+           (l.q3 * l.total + a.q3 * {rules.PRIOR}) / (l.total + {rules.PRIOR}) as q3
+    from quartiles l join quartiles a on l.level = 1 and a.level = 3 and l.measure = a.measure
+), own as (
+    select s.lang, s.source, s.measure, (s.q1 * s.total + l.q1 * {rules.PRIOR}) / (s.total + {rules.PRIOR}) as q1,
+           (s.q3 * s.total + l.q3 * {rules.PRIOR}) / (s.total + {rules.PRIOR}) as q3
+    from quartiles s join langs l on s.level = 0 and s.lang is not distinct from l.lang and s.measure = l.measure
 ), fences as (
     select *, q1 - greatest((q3 - q1) * times, least) as low, q3 + greatest((q3 - q1) * times, least) as high
-    from quartiles join rules using (measure)
+    from own join rules using (measure)
 ), failed as (
     select x.doc_id, list(x.measure) as names
-    from long x
-    join fences a on a.level = 3 and a.measure = x.measure
-    join fences l on l.level = 1 and l.measure = x.measure and l.lang = x.lang
-    join fences s on s.level = 0 and s.measure = x.measure and s.lang = x.lang and s.source = x.source
-    where x.value < case when s.n >= {rules.SMALL} then s.low when l.n >= {rules.SMALL} then l.low else a.low end
-       or x.value > case when s.n >= {rules.SMALL} then s.high when l.n >= {rules.SMALL} then l.high else a.high end
+    from long x join fences f on f.measure = x.measure and f.lang is not distinct from x.lang and f.source is not distinct from x.source
+    where x.value < f.low or x.value > f.high
     group by 1
 ), verdict as (
     select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEATED} * n_words as base_failed from measured

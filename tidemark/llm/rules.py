@@ -1,18 +1,23 @@
 """Quality rules with thresholds that follow the corpus.
 
-Method: each document's measures enter a mergeable quantile sketch (KLL) of its language and source.
-A group's thresholds are fences around its quartiles, so they adapt to what is usual there and cut
-nothing from a group whose documents are alike. The sketches of small groups are merged over their
-language, and those of small languages over all, and give thresholds there. Thresholds are joined to
-the documents' measures, which decide together with fixed base rules.
+Method: each document's measures enter a mergeable quantile sketch of its language and source. A sketch
+counts values in buckets whose bounds grow by a constant factor, so a quantile is known to half a percent
+of itself; it is kept as rows, merges by addition and is the same in any order. A group's thresholds
+are fences around its quartiles, so they adapt to what is usual there and cut nothing from a group whose
+documents are alike. The quartiles of a group are drawn towards those of its language, and a language's
+towards those of all, by the weight of a fixed number of documents: small groups follow what is usual
+around them, large ones themselves. Thresholds are joined to the documents' measures, which decide
+together with fixed base rules.
 
 All on DataFrame functions: texts are read once, in place; only the measures (a few numbers for each
-document) and the sketches are shuffled, and a sketch is a few kilobytes whatever its group holds.
+document) and bucket counts are shuffled, and a sketch has a bounded number of buckets whatever its group holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tidemark.llm.common import text_of, unpacked, whole
 from tidemark.session import stored
@@ -22,8 +27,9 @@ WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20  # percent of words in repeated windows
-ACCURACY = 12  # log2 of the sketches' k: rank errors of about 0.1 %; up to 4096 values are exact
-SMALL = 100  # documents; smaller groups take the thresholds of their language, smaller languages those of all
+GROWTH = 1.01  # factor between the bounds of a sketch's buckets
+LEAST_VALUE = 1e-9  # smaller values count as 0
+PRIOR = 100  # documents' weight of a language's quartiles in those of its sources, and of all in a language's
 #: Measures of the adaptive rules: how many interquartile ranges beyond the quartiles a document may
 #: lie, and how far beyond in any case.
 FENCES = {
@@ -35,13 +41,14 @@ FENCES = {
 
 
 def measures(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text that is not null."""
+    """The words, word_chars, n_symbols, n_lines (with a word) and n_dup_lines of a text that is not null."""
     words = F.filter(F.split(text, SPACE, -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return {
         "words": words,
         "word_chars": F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
 
@@ -94,48 +101,53 @@ def shares() -> dict[str, Column]:
     return {
         "word_length": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / F.when(F.col("word_chars") > 0, F.col("word_chars")),
-        "dup_line_share": F.col("n_dup_lines") / words,
+        "dup_line_share": F.col("n_dup_lines") / F.when(F.col("n_lines") > 0, F.col("n_lines")),
         "repeat_share": F.col("n_repeat_words") / words,
     }
 
 
+def sketches(found: DataFrame) -> DataFrame:
+    """Rows (lang, source, measure, bucket, n): how many documents have a value in the bucket."""
+    stacked = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in FENCES])
+    cells = found.select("lang", "source", F.inline(stacked)).where(F.col("value").isNotNull())
+    bucket = F.when(F.col("value") < LEAST_VALUE, None).otherwise(F.ceil(F.log(F.col("value")) / F.lit(math.log(GROWTH)))).cast("int")
+    return cells.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, measure, total, q1, q3) of the sketches merged over `keys`."""
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*keys, "measure")
+    upto = F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    placed = merged.withColumns({"upto": upto, "total": F.sum("n").over(own)})
+    # The middle of the bucket, relative to its bounds.
+    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")) * (2 / (1 + GROWTH)))
+    at = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * share), F.struct("upto", value.alias("value"))))
+    found = placed.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return found.select(*keys, "measure", "total", F.col("q1.value").alias("q1"), F.col("q3.value").alias("q3"))
+
+
 def thresholds(found: DataFrame) -> DataFrame:
     """For each (lang, source): the least and greatest value that each measure may have.
 
     `found` holds lang, source and the measures, those of failing documents too. Null languages and
-    sources are groups of their own.
+    sources are groups of their own. A measure without a value in a group has no threshold there.
     """
-    names = list(FENCES)
-    groups = found.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"kll_sketch_agg_double({n}, {ACCURACY})").alias(n) for n in names],
+    sketch = stored(sketches(found), "sketches")
+    every = quartiles(sketch, []).select("measure", *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
+    langs = quartiles(sketch, ["lang"]).join(F.broadcast(every), "measure")  # a row for each measure
+    drawn = lambda q, total, towards: (F.col(q) * F.col(total) + F.col(towards) * PRIOR) / (F.col(total) + PRIOR)
+    langs = langs.select(
+        F.col("lang").alias("of_lang"), F.col("measure").alias("of_measure"), *[drawn(q, "total", f"all_{q}").alias(f"lang_{q}") for q in ("q1", "q3")]
     )
-    groups = stored(groups, "sketches")
-    merged = [F.expr(f"kll_merge_agg_double({n}, {ACCURACY})").alias(n) for n in names]
-    langs = groups.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
-    every = langs.agg(F.sum("n").alias("n"), *merged)
-
-    def fences(sketches: DataFrame, prefix: str) -> DataFrame:
-        quartile = lambda n, q: F.expr(f"case when kll_sketch_get_n_double({n}) > 0 then kll_sketch_get_quantile_double({n}, {q}) end")
-        quartiles = sketches.select(
-            *[c for c in ("lang", "source") if c in sketches.columns],
-            F.col("n").alias(f"{prefix}_n"),
-            *[quartile(n, q).alias(f"{n}_{k}") for n in names for k, q in (("q1", "0.25D"), ("q3", "0.75D"))],
-        )
-        out = []
-        for name, (times, least) in FENCES.items():
-            low, high = F.col(f"{name}_q1"), F.col(f"{name}_q3")
-            beyond = F.greatest((high - low) * times, F.lit(least))
-            out.append(F.struct((low - beyond).alias("low"), (high + beyond).alias("high")).alias(f"{prefix}_{name}"))
-        return quartiles.select(*[c for c in ("lang", "source", f"{prefix}_n") if c in quartiles.columns], *out)
-
-    by_lang = fences(langs, "lang").withColumnRenamed("lang", "of_lang")
-    overall = fences(every, "all")
-    one = overall.select(F.struct(*overall.columns)).scalar()
-    joined = fences(groups, "own").join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")))
-    joined = joined.withColumns({c: one.getField(c) for c in overall.columns})
-    pick = lambda n: F.when(F.col("own_n") >= SMALL, F.col(f"own_{n}")).when(F.col("lang_n") >= SMALL, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
-    return joined.select("lang", "source", *[pick(n).alias(n) for n in names])
+    on = F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("of_measure"))
+    own = quartiles(sketch, ["lang", "source"]).join(langs, on)
+    own = own.select("lang", "source", "measure", *[drawn(q, "total", f"lang_{q}").alias(q) for q in ("q1", "q3")])
+    of_measure = lambda values: F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v))])[F.col("measure")]
+    times, least = (of_measure({n: f[k] for n, f in FENCES.items()}) for k in (0, 1))
+    beyond = F.greatest((F.col("q3") - F.col("q1")) * times, least)
+    limits = own.withColumn("limits", F.struct((F.col("q1") - beyond).alias("low"), (F.col("q3") + beyond).alias("high")))
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == n, F.col("limits"))).alias(n) for n in FENCES])
 
 
 def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -152,7 +164,8 @@ def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     found = stored(measured(docs, text, carry), "measures").withColumns(shares())
     limits = thresholds(found).withColumnsRenamed({"lang": "of_lang", "source": "of_source", **{n: f"of_{n}" for n in FENCES}})
     on = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    joined = found.join(limits, on)
+    # Groups without any value, as those of empty texts, have no limits. A document without the value passes.
+    joined = found.join(limits, on, "left")
     broken = [
         F.when((F.col(n) < F.col(f"of_{n}.low")) | (F.col(n) > F.col(f"of_{n}.high")), F.lit(n)) for n in FENCES
     ]
