@@ -59,17 +59,22 @@ def _type_name(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
+# A JSON number as it stands in the text. Its kind hangs on its characters: a parsed value has lost
+# the zeros of `2.0`, and may not hold `1E400` at all.
+JSON_INT = r"^[ \t\n\r]*-?(0|[1-9][0-9]*)[ \t\n\r]*\z"
+JSON_FLOAT = r"^[ \t\n\r]*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?[ \t\n\r]*\z"
+
+
 def _json_kind(text: Column) -> Column:
     """The kind of a JSON document's top value; text that is no JSON is a plain `str`."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    shape = F.regexp_extract(kind, "^[A-Z]+", 0)
+    shape = F.regexp_extract(F.schema_of_variant(F.try_parse_json(text)), "^[A-Z]+", 0)
     return (
-        F.when(text.isNull() | (shape == "VOID"), None)
+        F.when(text.isNull(), None)
+        .when(text.rlike(JSON_INT), "int")
+        .when(text.rlike(JSON_FLOAT), "float")
+        .when(shape == "VOID", None)
         .when(shape == "OBJECT", "dict")
         .when(shape == "ARRAY", "list")
-        # Whole numbers beyond 64 bits are decimals without decimals.
-        .when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\([0-9]+,0\)$"), "int")
-        .when(shape.isin("DOUBLE", "FLOAT", "DECIMAL"), "float")
         .when(shape == "BOOLEAN", "bool")
         .otherwise("str")
     )
