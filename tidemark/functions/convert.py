@@ -75,6 +75,16 @@ def _layout(fmt: str) -> str:
     return "^" + "".join(plain_and_quoted) + "$"
 
 
+def layout_signs(formats: Sequence[str]) -> str:
+    """A pattern that every text fits which one of the layouts fits, quotes and blanks apart. It fails at the first other sign."""
+    signs = set()
+    for fmt in formats:
+        parts = fmt.split("'")
+        signs.update(re.sub("[A-Za-z]", "", "".join(parts[::2])), "".join(parts[1::2]))
+    listed = "".join(re.escape(c) for c in sorted(signs - {" "}))
+    return f"""^[0-9 '"{listed}]*$"""
+
+
 def _parse(text: Column, fmt: str) -> Column:
     """A wall-clock time. Parsing at offset zero keeps it free of the session's time zone."""
     instant = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(fmt + " XXX"))

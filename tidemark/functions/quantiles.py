@@ -3,15 +3,17 @@
 The built-in exact `percentile` keeps every distinct value of a group in one task. Here each wanted
 rank has a bracket of values, at first the whole group:
 
-1. the values inside the bracket are counted in `BUCKETS` equal parts, by partial aggregation where
-   they are read; the running counts tell the part that holds the rank, and the part's least and
+1. the values inside a bracket are counted in `BUCKETS` equal parts, by partial aggregation where
+   they are read; the running counts tell the part that holds a rank, and the part's least and
    greatest value are the next bracket;
 2. this goes on until a bracket holds at most `KEPT` values or only one distinct one; parts are equal
    by value and, every other time, by magnitude, so clustered values and far outliers need few rounds;
 3. the values of the last brackets are counted by value and ranked.
 
-Brackets are a few rows for each group and are written between rounds. Every round reads the table
-once and shuffles nothing but counts. The ranks are exact whatever the data.
+Brackets of one group are equal or have no value in common, as they are parts of one division. So one
+count serves all ranks, and a value is counted once in a round, whatever the number of ranks. Brackets
+are a few rows for each group and are written between rounds. Every round reads the table once and
+shuffles nothing but counts. The ranks are exact whatever the data.
 """
 
 from __future__ import annotations
@@ -74,15 +76,13 @@ def exact_quantiles(
         open_ones = brackets.where(wide)
         if open_ones.isEmpty():
             break
-        narrowed = _narrowed(base, open_ones, keys, few_groups, by_magnitude=turn % 2 == 1)
+        narrowed = _narrowed(base, open_ones, keys, len(ranks), few_groups, by_magnitude=turn % 2 == 1)
         brackets = stored(brackets.where(~wide).unionByName(narrowed), "brackets")
 
-    state = [*keys, "__t", "__rank", "__before"]
     single = brackets.where("__lo = __hi").select(*keys, "__t", F.col("__lo").alias("__v"))
-    counts = (
-        _inside(base, brackets.where("__lo < __hi"), keys, few_groups).groupBy(*state, "__v").agg(F.count("*").alias("__c"))
-    )
-    ranked = _holding(counts, keys, "__v").select(*keys, "__t", "__v")
+    last = brackets.where("__lo < __hi")
+    counts = _inside(base, last, keys, len(ranks), few_groups).groupBy(*keys, "__lo", "__hi", "__v").agg(F.count("*").alias("__c"))
+    ranked = _holding(counts, last, keys, "__v", few_groups).select(*keys, "__t", "__v")
     found = single.unionByName(ranked).groupBy(*keys).agg(
         *[F.min(F.when(F.col("__t") == i, F.col("__v"))).alias(f"__q{i}") for i in range(len(ranks))]
     )
@@ -106,12 +106,11 @@ def exact_quantiles(
     )
 
 
-def _inside(base: DataFrame, brackets: DataFrame, keys: Sequence[str], few_groups: bool) -> DataFrame:
-    """Each value beside every bracket of its group that holds it."""
-    own = [c for c in brackets.columns if c not in keys]
+def _inside(base: DataFrame, brackets: DataFrame, keys: Sequence[str], most: int, few_groups: bool) -> DataFrame:
+    """Each value once, with the bounds of its group's bracket that holds it; at most `most` brackets differ."""
+    spans = brackets.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("__lo", "__hi"))).alias("__spans"))
     if keys:
-        listed = brackets.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("__brackets"))
-        listed = listed.select(*[F.col(k).alias(f"{k}_s") for k in keys], "__brackets")
+        listed = spans.select(*[F.col(k).alias(f"{k}_s") for k in keys], "__spans")
         pairs = [(F.col(k), F.col(f"{k}_s")) for k in keys]
         if few_groups:
             joined = base.join(F.broadcast(listed), matches(pairs))
@@ -120,8 +119,10 @@ def _inside(base: DataFrame, brackets: DataFrame, keys: Sequence[str], few_group
             right = right.withColumnRenamed("__salt", "__salt_s")
             joined = left.join(right, matches([*pairs, (F.col("__salt"), F.col("__salt_s"))]))
     else:
-        joined = base.withColumn("__brackets", brackets.agg(F.collect_list(F.struct(*own)).alias("b")).scalar())
-    return joined.select(*keys, "__v", F.inline("__brackets")).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        joined = base.withColumn("__spans", spans.scalar())
+    span = [F.get("__spans", F.lit(i)) for i in range(most)]
+    held = F.coalesce(*[F.when(F.col("__v").between(s["__lo"], s["__hi"]), s) for s in span])
+    return joined.select(*keys, "__v", held.alias("__span")).where(F.col("__span").isNotNull()).select(*keys, "__v", "__span.*")
 
 
 def _magnitude(v: Column) -> Column:
@@ -130,7 +131,9 @@ def _magnitude(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(0.0)
 
 
-def _narrowed(base: DataFrame, brackets: DataFrame, keys: Sequence[str], few_groups: bool, by_magnitude: bool) -> DataFrame:
+def _narrowed(
+    base: DataFrame, brackets: DataFrame, keys: Sequence[str], most: int, few_groups: bool, by_magnitude: bool
+) -> DataFrame:
     """The brackets' parts that hold their ranks."""
     place = _magnitude if by_magnitude else (lambda v: v / 2)  # halves, as a difference may exceed the range
     value, low, high = (place(F.col(c)) for c in ("__v", "__lo", "__hi"))
@@ -138,19 +141,23 @@ def _narrowed(base: DataFrame, brackets: DataFrame, keys: Sequence[str], few_gro
     part = F.when(share.isNull() | F.isnan(share), F.when(F.col("__v") == F.col("__hi"), BUCKETS - 1).otherwise(0)).otherwise(
         F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
     )
-    state = [*keys, "__t", "__rank", "__before"]
     counts = (
-        _inside(base, brackets, keys, few_groups)
-        .groupBy(*state, part.cast("int").alias("__part"))
-        .agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        _inside(base, brackets, keys, most, few_groups)
+        .groupBy(*keys, "__lo", "__hi", part.cast("int").alias("__part"))
+        .agg(F.count("*").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
     )
-    hit = _holding(counts, keys, "__part")
-    return hit.select(*keys, "__t", "__rank", "__lo", "__hi", F.col("__upto").alias("__before"), F.col("__c").alias("__inside"))
-
-
-def _holding(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Of the counted parts of each bracket the one that holds its rank; `__upto` values come before it."""
-    before = Window.partitionBy(*keys, "__t").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("__before") + F.coalesce(F.sum("__c").over(before), F.lit(0))
-    placed = counts.withColumn("__upto", upto)
-    return placed.where((F.col("__upto") <= F.col("__rank")) & (F.col("__rank") < F.col("__upto") + F.col("__c")))
+    hit = _holding(counts, brackets, keys, "__part", few_groups)
+    bounds = [F.col("__least").alias("__lo"), F.col("__most").alias("__hi")]
+    return hit.select(*keys, "__t", "__rank", *bounds, (F.col("__before") + F.col("__upto")).alias("__before"), F.col("__c").alias("__inside"))
+
+
+def _holding(counts: DataFrame, brackets: DataFrame, keys: Sequence[str], order: str, few_groups: bool) -> DataFrame:
+    """For each rank the counted part of its bracket that holds it; `__upto` of the bracket's values come before the part."""
+    before = Window.partitionBy(*keys, "__lo", "__hi").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = [*keys, "__lo", "__hi"]
+    placed = counts.withColumn("__upto", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumnsRenamed({c: f"{c}_c" for c in own})
+    ranks = brackets.select(*own, "__t", "__rank", "__before")
+    place = F.col("__rank") - F.col("__before")
+    holds = (F.col("__upto") <= place) & (place < F.col("__upto") + F.col("__c"))
+    joined = placed.join(F.broadcast(ranks) if few_groups else ranks, matches([(F.col(c), F.col(f"{c}_c")) for c in own]) & holds)
+    return joined.drop(*[f"{c}_c" for c in own], "__lo", "__hi")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import convert
-from tidemark.operators.profile import column_counts, column_dictionary
+from tidemark.operators.profile import TextTest, column_counts, column_dictionary
 from tidemark.session import stored
 
 # The vocabulary of findings.
@@ -54,20 +54,26 @@ def check_vocabulary(findings: DataFrame) -> DataFrame:
 AFFIXED_NUMBER = r"^([A-Za-z]{0,3}\p{Sc})?\s*[+-]?[0-9][0-9.,]*\s*[\p{L}%]{0,12}$"
 
 
+# What every such cell begins with, quotes anywhere: at most three letters before the sign or the first digit.
+MAY_BE_AFFIXED = r"""^[\s'"]*(?:[A-Za-z]['"]*){0,3}[\p{Sc}\s'"+-]*[0-9]"""
+
+
+def plain(value: Column) -> Column:
+    """A text without quotes and outer blanks."""
+    return F.trim(F.translate(value, "'\"", ""))
+
+
 def column_features(df: DataFrame, rules: ReportRules = ReportRules()) -> DataFrame:
     """What the rules look at: profile counts and how many cells read as dates, numbers, years.
 
-    Tests ride on the counts that the profile needs anyway; cells of any length are tested as they stand.
+    Tests ride on the counts that the profile needs anyway; cells of any length are tested whole, once for each distinct value.
     """
-
-    def plain(value: Column) -> Column:
-        return F.trim(F.translate(value, "'\"", ""))
-
+    dates = convert.layout_signs(rules.date_formats)
     counts = column_counts(
         df,
         text={
-            "n_dates": lambda v: convert.fits_date(plain(v), rules.date_formats),
-            "n_affixed": lambda v: plain(v).rlike(AFFIXED_NUMBER),
+            "n_dates": TextTest(lambda v: v.rlike(dates), plain, lambda v: convert.fits_date(v, rules.date_formats)),
+            "n_affixed": TextTest(lambda v: v.rlike(MAY_BE_AFFIXED), plain, lambda v: v.rlike(AFFIXED_NUMBER)),
         },
         whole={"n_years": lambda v: v.between(*rules.years)},
     )

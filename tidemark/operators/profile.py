@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -25,6 +26,18 @@ from tidemark.functions.guards import require_column
 
 Test = Callable[[Column], Column]  # of a value, to true or false
 
+
+@dataclass(frozen=True)
+class TextTest:
+    """A test of texts. `may` is cheap and true wherever `holds` is; `core` is what `holds` looks at."""
+
+    may: Test
+    core: Test
+    holds: Test
+
+
+CORE = 128  # characters up to which a long cell's core travels with its digest
+
 DICTIONARY = "position int, column string, dtype string"
 
 
@@ -58,14 +71,14 @@ def _family_key(df: DataFrame, name: str) -> Column:
 
 
 def value_counts(
-    df: DataFrame, columns: Sequence[str], tests: Mapping[str, Mapping[str, Test]] | None = None
+    df: DataFrame, columns: Sequence[str], tests: Mapping[str, Mapping[str, Test | TextTest]] | None = None
 ) -> dict[str, DataFrame]:
     """Per family of types the rows `column, value, n`, and a column for each of the family's tests.
 
     Each family reads its own columns only, so every column is read once. Cells are counted
     per (column, value) before the shuffle: a value that fills a third of the table travels as
-    one row per task, and a long text as its digest. Tests run once per distinct value; only
-    those of long texts run on the cells, as their digest says nothing of them.
+    one row per task, and a long text as its digest. Tests run once per distinct value. The digest of a
+    long text says nothing of it, so its core goes along where one of the tests may hold.
     """
     families: dict[str, list[str]] = {}
     for name in columns:
@@ -78,22 +91,34 @@ def value_counts(
             out[family] = counts.withColumns({t: test(F.col("value")) for t, test in given.items()})
             continue
         cells = long_form(df, {n: _tested_key(df, n, given) for n in names}).select("column", "value.*")
-        counts = cells.groupBy("column", "value", *given).agg(F.count("*").alias("n"))
-        out[family] = counts.withColumns({t: F.coalesce(t, test(F.col("value"))) for t, test in given.items()})
+        own = [f"core_{t}" for t in given] + [f"cell_{t}" for t in given]
+        counts = cells.groupBy("column", "value", "long", *own).agg(F.count("*").alias("n"))
+        verdicts = {
+            t: F.when(F.col("long"), F.coalesce(F.col(f"cell_{t}"), test.holds(F.col(f"core_{t}")), F.lit(False))).otherwise(
+                test.holds(test.core(F.col("value")))
+            )
+            for t, test in given.items()
+        }
+        out[family] = counts.withColumns(verdicts).drop("long", *own)
     return out
 
 
-def _tested_key(df: DataFrame, name: str, tests: Mapping[str, Test]) -> Column:
-    """The key of a text cell beside the tests of the cell itself, where the key is only a digest."""
+def _tested_key(df: DataFrame, name: str, tests: Mapping[str, TextTest]) -> Column:
+    """The key of a text cell. Beside a digest, for each test the cell's core if it may hold, or the verdict if that is long."""
     text = plain_key(df, name)
-    long = F.length(text) >= DIGEST_FROM
-    return F.struct(key_text(df, name).alias("value"), *[F.when(long, test(text)).alias(t) for t, test in tests.items()])
+    long = F.coalesce(F.length(text) >= DIGEST_FROM, F.lit(False))
+    cores, verdicts = [], []
+    for t, test in tests.items():
+        core = F.when(long & test.may(text), test.core(text))
+        cores.append(F.when(F.length(core) <= CORE, core).alias(f"core_{t}"))
+        verdicts.append(F.when(F.length(core) > CORE, test.holds(core)).alias(f"cell_{t}"))
+    return F.struct(key_text(df, name).alias("value"), long.alias("long"), *cores, *verdicts)
 
 
 def column_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    text: Mapping[str, Test] | None = None,
+    text: Mapping[str, TextTest] | None = None,
     whole: Mapping[str, Test] | None = None,
 ) -> DataFrame:
     """`column, n_rows, n_nulls, n_unique` for the named columns.
