@@ -7,7 +7,7 @@ operator's column stands in its place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tidemark.session import stored
 
@@ -32,6 +32,18 @@ def unpacked(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in added.items()])
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python are bounded by bytes, unless the session has a bound of its own.
+
+    By rows alone, a batch of long texts takes many times the memory, in the JVM and in each worker.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; 2 is held out. A missing id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
