@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all documents that its predeces
 table with the columns of `documents`; the last returns the pieces of packed sequences. `run` writes
 each stage's result to the shared folder that `spark.checkpoint.dir` names and reads it again, so a
 lost executor costs at most a part of one stage.
+
+All stages take null and empty texts, repeated rows, empty tables and further columns: a null text is
+scored and packed as an empty one and has no lines, shingles or leaks; repeated rows are alike to the
+classifier, the lines and the decontamination, and copies to near-dedup.
 """
 
 from __future__ import annotations
@@ -11,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import decontam, lines, minhash, packing, quality
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.queries import table
 from tidemark.session import stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on these documents and `labels`, does not reject."""
+    bounded_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.scores(model, F.col("text")) >= quality.THRESHOLD)
 
@@ -26,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document loses all lines only if each stands in an earlier document. `n_chars` follows the text.
     """
+    bounded_batches(spark)
     cleaned = lines.dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
     return cleaned.where(~emptied).select(
@@ -35,16 +42,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bounded_batches(spark)
     return minhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of `benchmark`."""
+    bounded_batches(spark)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 4096, a row for each piece."""
+    bounded_batches(spark)
     return packing.pack_documents(docs.select("doc_id", "text")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
