@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.cells import cell
+from tidemark.functions.joins import fits_broadcast, matches
 from tidemark.functions.quantiles import exact_quantiles
+from tidemark.session import stored
 
 RUN_KEYS = ["run_id", "dataset"]
 Z95 = 1.96
@@ -79,16 +81,20 @@ def central_interval(
     return spans.select(*[cell(b) for b in by], "n", "mean", low.alias("low"), high.alias("high"))
 
 
-def pair_stages(evaluation: DataFrame, transformation: DataFrame) -> DataFrame:
+def pair_stages(evaluation: DataFrame, transformation: DataFrame, latest: str | None = None) -> DataFrame:
     """The two stages of each run side by side, with `config_name = eval/transform`.
 
-    A run that a stage holds twice would multiply rows, so it fails the query; `repeated_runs` lists
-    such runs. The check rides on the shuffle that the join needs.
+    A run that a stage holds twice would multiply rows. It fails the query, and `repeated_runs` lists such
+    runs; or `latest` names a column in whose order the last of them is kept. Either rides on the
+    shuffle that the join needs.
     """
     columns = ["accuracy", "total_cost", "model"]
 
     def stage(runs: DataFrame, suffix: str) -> DataFrame:
         known = runs.where(F.col("run_id").isNotNull() & F.col("dataset").isNotNull())
+        if latest is not None:
+            last = known.groupBy(*RUN_KEYS).agg(F.max_by(F.struct(*columns), cell(latest)).alias("run"))
+            return last.select(*RUN_KEYS, *[F.col(f"run.{c}").alias(f"{c}_{suffix}") for c in columns])
         one = known.groupBy(*RUN_KEYS).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*columns)).alias("run"))
         message = F.concat(F.lit("A run occurs more than once: "), F.col("run_id").cast("string"))
         run = F.when(F.col("n") > 1, F.raise_error(message).cast(one.schema["run"].dataType)).otherwise(F.col("run"))
@@ -151,6 +157,52 @@ def box_summary(
     return summary.select(*by, "n", "minimum", *inner, "maximum")
 
 
+WHISKER = 1.5
+
+
+def _with_fences(usage: DataFrame, measure: str, by: Sequence[str], few_groups: bool | None) -> tuple[DataFrame, DataFrame]:
+    """The boxes, and each known value beside its group's quartiles and fences."""
+    boxes = box_summary(usage, measure, by, few_groups).withColumn("iqr", F.col("q3") - F.col("q1"))
+    boxes = boxes.withColumns({"low_fence": F.col("q1") - WHISKER * F.col("iqr"), "high_fence": F.col("q3") + WHISKER * F.col("iqr")})
+    boxes = stored(boxes, "boxes")
+    renamed = boxes.select(*[cell(b).alias(f"__{b}") for b in by], "low_fence", "high_fence")
+    values = usage.where(cell(measure).isNotNull()).select(*[cell(b) for b in by], cell(measure).cast("double").alias("value"))
+    small = fits_broadcast(renamed) if few_groups is None else few_groups
+    on = matches([(cell(b), cell(f"__{b}")) for b in by])
+    return boxes, values.join(F.broadcast(renamed) if small else renamed, on).drop(*[f"__{b}" for b in by])
+
+
+def box_whiskers(
+    usage: DataFrame,
+    measure: str = "success_rate",
+    by: Sequence[str] = ("model_transform", "dataset"),
+    few_groups: bool | None = None,
+) -> DataFrame:
+    """`by…, n, q1, median, q3, low_whisker, high_whisker, n_fliers`: whiskers end at the last values within the fences."""
+    boxes, values = _with_fences(usage, measure, by, few_groups)
+    inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
+    ends = values.groupBy(*by).agg(
+        F.min(F.when(inside, F.col("value"))).alias("low_whisker"),
+        F.max(F.when(inside, F.col("value"))).alias("high_whisker"),
+        F.count_if(~inside).alias("n_fliers"),
+    )
+    ends = ends.withColumnsRenamed({b: f"__{b}" for b in by})
+    joined = boxes.join(ends, matches([(cell(b), cell(f"__{b}")) for b in by]))
+    return joined.select(*[cell(b) for b in by], "n", "q1", "median", "q3", "low_whisker", "high_whisker", "n_fliers")
+
+
+def box_fliers(
+    usage: DataFrame,
+    measure: str = "success_rate",
+    by: Sequence[str] = ("model_transform", "dataset"),
+    few_groups: bool | None = None,
+) -> DataFrame:
+    """`by…, value, side`: the values beyond the fences, a row each."""
+    _, values = _with_fences(usage, measure, by, few_groups)
+    side = F.when(F.col("value") < F.col("low_fence"), "low").when(F.col("value") > F.col("high_fence"), "high")
+    return values.select(*[cell(b) for b in by], "value", side.alias("side")).where(F.col("side").isNotNull())
+
+
 def linear_fit(
     usage: DataFrame, x: str, y: str, by: Sequence[str] = ("dataset", "model_transform")
 ) -> DataFrame:

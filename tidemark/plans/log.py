@@ -6,16 +6,31 @@ histories are ordered rows, not lists gathered per operation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.joins import lookup_join
-from tidemark.plans.runner import OPERATIONS, QUERY
+from tidemark.plans.runner import LOG_SCHEMA, OPERATIONS, QUERY
 
 
 def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 
 
+def record_log(log: DataFrame, path: str) -> None:
+    """Put the logs of whole runs into a stored table, each run in place of what the table had of it.
+
+    Runs are partitions, and only those that the log holds are replaced. So a run that is repeated, or a
+    job that is retried, counts once. `append_log` keeps both.
+    """
+    rows = log.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("run_id").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log stored by `record_log`. Run ids are text, also where they look like numbers."""
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
 def calls_per_op(log: DataFrame) -> DataFrame:
     return log.groupBy("op").agg(F.count("*").alias("n_calls"))
 

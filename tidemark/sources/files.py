@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.guards import require_new
+from tidemark.session import stored
 
 Schema = T.StructType | str
 
@@ -27,6 +29,40 @@ def read_csv(
     return reader.csv(path)
 
 
+def read_csv_checked(
+    spark: SparkSession, path: str, schema: Schema, sep: str = ",", on_bad: str = "refuse"
+) -> tuple[DataFrame, DataFrame]:
+    """A CSV table and its rejected lines, `(rows, rejected)`; `rejected` is one column, `line`.
+
+    A line is rejected if it has more or fewer cells than the schema or a cell that its column's type
+    can't hold. `on_bad="quarantine"` takes such lines out of the rows; `"refuse"` fails the query that
+    meets one, naming it. A header of other names fails either way. Files are split over tasks; the parsed
+    lines are written once to the shared folder, as both tables rest on them.
+    """
+    if on_bad not in ("refuse", "quarantine"):
+        raise ValueError(f"on_bad must be refuse or quarantine, not {on_bad!r}")
+    own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    line = "__line"
+    marked = T.StructType([*own.fields, T.StructField(line, T.StringType())])
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    parsed = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", line).option("enforceSchema", False).schema(marked).csv(path)
+    kept = stored(parsed, "parsed-lines")
+    rejected = kept.where(F.col(line).isNotNull()).select(F.col(line).alias("line"))
+    if on_bad == "quarantine":
+        return kept.where(F.col(line).isNull()).drop(line), rejected
+    refusal = F.raise_error(F.concat(F.lit(f"Malformed line in {path}: "), F.substring(line, 1, 200)))
+    return kept.where(F.when(F.col(line).isNotNull(), refusal.cast("boolean")).otherwise(True)).drop(line), rejected
+
+
+def rejection_counts(rejected: DataFrame, schema: Schema, sep: str = ",") -> DataFrame:
+    """`reason, n`: lines with surplus cells, with missing cells, and with a cell of another type; quoted separators don't count."""
+    n_cells = len(T.StructType.fromDDL(schema).fields) if isinstance(schema, str) else len(schema.fields)
+    bare = F.regexp_replace("line", '"[^"]*"', "")
+    n = F.size(F.split(bare, F.lit(re.escape(sep)), -1))
+    reason = F.when(n > n_cells, "surplus cells").when(n < n_cells, "missing cells").otherwise("other type")
+    return rejected.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

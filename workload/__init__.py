@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload import checking, diagnosing, filing, planning, profiling, runs, screening, transforming
+from workload import checking, diagnosing, evidence, filing, planning, profiling, runs, screening, transforming
 
-FAMILIES = (profiling, diagnosing, transforming, planning, checking, screening, runs, filing)
+FAMILIES = (profiling, diagnosing, transforming, planning, checking, screening, runs, filing, evidence)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
