@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -199,7 +200,7 @@ def test_recall_of_the_cosine(spark):
 def test_candidates_come_from_the_directions():
     items = [(1, " ".join(f"w{k}" for k in range(40)))]
     words = decontam.words_of(f"{'x ' * 30}{items[0][1]}{' y' * 30}")
-    held = [(words, decontam.Codes().of(words))]
+    held = decontam.coded([" ".join(words)])
     random_basis = np.random.default_rng(1).standard_normal((decontam.WORDS + 1, 64)).astype(np.float32)
     random_basis[decontam.WORDS] = 0
     for embedding, n in ((random_basis, 1), (np.zeros_like(random_basis), 0)):
@@ -220,9 +221,43 @@ def test_block_sums_are_those_of_each_text():
     assert np.allclose(decontam.embedded(codes, lengths, embedding), expected, atol=1e-4)
 
 
+def test_windows_reach_every_block():
+    counts = [0, 1, 5, 0, 40, 8, 9]
+    for size in (2, 3, 8, 12):
+        low, owner = decontam.windows_of(counts, size)
+        expected, at = [], 0
+        for k, n in enumerate(counts):
+            last = max(n - size, 0)
+            expected += [(at + x, k) for x in sorted({*range(0, last, decontam.apart(size)), last})] if n else []
+            at += n
+        assert list(zip(low, owner)) == expected
+
+
+def test_codes_and_thinned_windows():
+    texts = ["", "Don't — stop,  the\u00a0ÉTÉ's end. ", "…", "stop the end " * 5, "Straße\x1fΑΣ"]
+    whole = decontam.coded([decontam.cleaned(t) for t in texts])
+    assert [t for t, _ in whole][:3] == ["", "dont stop the étés end", ""]
+    for text, codes in whole:
+        own = [decontam.codes_of([w])[0] for w in text.split()]
+        assert list(codes) == own and all(0 <= c < decontam.WORDS for c in own)
+    signs = [chr(k) for k in (*range(0x500), *range(0x2000, 0x2070), 0x3000)]
+    for text in (*texts, "".join(f"Ab{c}c {c} " for c in signs if c < "\x80"), *[f"Ab{c}Ç {c} d_1" for c in signs]):
+        assert decontam.words_of(text) == [w for w in (re.sub(r"\W+", "", x.lower()) for x in text.split()) if w]
+    many = [f"w{k}" for k in range(100_000)]  # hashed some at a time
+    codes = decontam.codes_of(many)
+    assert list(codes[::9999]) == [decontam.codes_of([w])[0] for w in many[::9999]]
+    assert np.bincount(codes, minlength=decontam.WORDS).max() < 60
+    rng = np.random.default_rng(4)
+    hit, owner = rng.random((200, 7)) < 0.6, np.sort(rng.integers(0, 9, 200))
+    kept = decontam.thinned(hit, owner)
+    assert not (kept & ~hit).any() and kept.sum() < 0.7 * hit.sum()
+    for r, c in zip(*np.nonzero(hit)):
+        assert any(0 <= q < 200 and kept[q, c] and owner[q] == owner[r] for q in (r - 1, r, r + 1))
+
+
 def test_counts_bound_the_common_subsequence():
     items = [decontam.Item(k, [f"w{(k * 7 + i) % (20 + k)}" for i in range(10 + 30 * k)]) for k in range(12)]
-    codes = decontam.Codes().of([f"w{k % 50}" for k in range(400)])
+    codes = decontam.codes_of([f"w{k % 50}" for k in range(400)])
     rng = np.random.default_rng(2)
     begin = np.sort(rng.integers(0, 390, 40))
     end = np.minimum(begin + rng.integers(1, 120, 40), 400)
