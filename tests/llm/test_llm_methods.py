@@ -123,6 +123,21 @@ def test_notices_in_running_text(spark):
     assert {(r.doc_id, r.family) for r in found} == planted
 
 
+def test_the_classifier_finds_and_the_templates_only_confirm(spark, monkeypatch):
+    docs = [(i, f"a quiet morning number {i} by the sea\nnothing else happened that day in town {i}") for i in range(200)]
+    planted = {(1000 + k, family) for k, family in enumerate(licenses.TEMPLATES)}
+    rows = docs + [(1000 + k, f"before\n{sentences[0]}\nbehind") for k, sentences in enumerate(licenses.TEMPLATES.values())]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda: {(r.doc_id, r.family, r.confirmed) for r in licenses.scanned(table).where("part >= 0").collect()}
+    assert found() == {(d, f, True) for d, f in planted}
+    with monkeypatch.context() as m:
+        m.setattr(licenses, "similarity", lambda words, family: F.lit(0.0))
+        assert found() == {(d, f, False) for d, f in planted}
+    with monkeypatch.context() as m:
+        m.setattr(licenses.Model, "believed", lambda self, f: f.getField("probability") > 2)
+        assert found() == set()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not there")
 def test_all_rights_reserved_is_a_notice(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")

@@ -74,6 +74,7 @@ def test_op2(spark, docs):
         "Released under the MIT License.": "mit",
         "This work is licensed under the GNU General Public License, version 3.": "gpl",
         "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "All rights reserved.": "proprietary",
     }
     planted = {
         (r.doc_id, k, notices[line]) for r in docs.itertuples() for k, line in enumerate(r.text.split("\n")) if line in notices

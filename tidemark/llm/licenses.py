@@ -1,17 +1,15 @@
 """Licence scans by a trained paragraph classifier.
 
-Method: paragraphs (lines, long ones in overlapping windows) become sparse indicators of word
-one-grams and two-grams; a multinomial logistic regression gives each a licence family or `unknown`.
-It is trained on variants of templates, against paragraphs of the corpus and sentences that speak of
-licences without granting one. Probabilities are calibrated by a temperature on paragraphs kept aside.
-A prediction counts as confirmed when a template of its family is found in the paragraph, compared by
-three-word sequences.
+Method: paragraphs (lines, long ones in overlapping windows, and the words around every line end) become
+sparse indicators of word one-grams and two-grams out of a bounded vocabulary; a multinomial logistic
+regression gives each a licence family or `unknown`. It is trained on variants of templates, against
+paragraphs of the corpus and sentences that speak of licences without granting one. Probabilities are
+calibrated by a temperature on paragraphs kept aside, which also tell how sure of a family the model must
+be. Only what the model believes gives a row. Then a template comparison by three-word sequences
+confirms the family, or doesn't.
 
 All on DataFrame functions and Spark's own machine-learning library. The model is fitted on a bounded
-sample; then every paragraph of every text is judged where it is read. Those that look like a licence, and
-all that hold a three-word sequence of a template, are compared with templates, so a notice that stands
-among other words needs no word of the model. Notices that are broken over several lines are found by their
-templates in the consecutive lines' words. Nothing is shuffled.
+sample; then every paragraph of every text is judged where it is read. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,13 +29,14 @@ from tidemark.session import stored
 UNKNOWN = "unknown"
 SAMPLE = 4_000  # documents whose paragraphs the model is trained on, about
 VARIANTS = 24  # of each template
-FEATURES = 1 << 16
-WINDOW, STEP = 64, 48  # words of a long paragraph that are judged together, and words from one to the next
+FEATURES = 1 << 12  # one-grams and two-grams of the vocabulary: those of the templates, then the sample's commonest
+LONGEST = 64  # characters of a gram of the vocabulary
+WINDOW, STEP = 56, 28  # words of a long line that are judged together, and words from one window to the next
+REACH = 28  # words on each side of a line end that are judged together; no template has more
 PROBABILITY = 0.5  # calibrated probability of a family, at least
 FALSE_ALARMS = 0.001  # share of the corpus paragraphs kept aside that may look like a licence
 DRAWS = 4  # paragraphs that a document gives to the sample, at most
 CONFIRMED = 0.6  # share of a template's three-word sequences that the paragraph holds
-SLACK = 8  # further words among which a template's sequences may stand in wrapped lines
 WRAPPED = -1  # the `part` of a notice that only several lines hold together
 MARK = "spdx-license-identifier"  # begins notices of two words
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
@@ -97,12 +96,11 @@ TEMPLATES = {
         "This work is dedicated to the public domain.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this work may be reproduced without written permission.",
         "This document is confidential and proprietary; copying and distribution are prohibited.",
     ),
 }
-# Notices that say too little to confirm a family: trained on, and given unconfirmed where no template is found.
-BRIEF = {"proprietary": ("All rights reserved.",)}
 # Sentences that speak of licences, software or rights and grant nothing.
 OTHERS = (
     "The driver lost the license and had to renew it at the public office.",
@@ -136,22 +134,65 @@ def sequences(words: Column, n: int) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """array<struct<line,part,words>>: the lines with words, long ones in windows that overlap."""
+    """array<struct<line,part,words,ahead,sizes>>: what the model judges.
+
+    Lines with words, long ones in windows that overlap; and for each end of a line that is followed by one
+    with words, with the part WRAPPED, the line's last REACH words and the next REACH words of the lines up to a
+    line without words. `ahead` holds the two last words of the line before it, `sizes` the words of each of its lines.
+    """
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), words_of(x).alias("words")))
+    last = lambda words, n: F.slice(words, F.greatest(F.size(words) - n, F.lit(0)) + 1, n)
+    none = F.array().cast("array<string>")
+
+    def unit(line: Column, part: Column, words: Column, ahead: Column, sizes: Column) -> Column:
+        return F.struct(line.alias("line"), part.alias("part"), words.alias("words"), ahead.alias("ahead"), sizes.alias("sizes"))
 
     def windows(x: Column) -> Column:
         parts = F.sequence(F.lit(0), F.ceil(F.greatest(F.size(x.words) - WINDOW, F.lit(0)) / STEP).cast("int"))
-        return F.transform(parts, lambda k: F.struct(x.line.alias("line"), k.alias("part"), F.slice(x.words, k * STEP + 1, WINDOW).alias("words")))
+        held = lambda k: F.slice(x.words, k * STEP + 1, WINDOW)
+        return F.transform(parts, lambda k: unit(x.line, k, held(k), none, F.array().cast("array<int>")))
+
+    def ended(x: Column, own: Column) -> Column:
+        behind = F.slice(own, x.line + 2, REACH)
+        blank = F.array_position(F.transform(behind, lambda y: F.size(y.words) == 0), True).cast("int")
+        run = lambda b: F.when(b > 0, F.slice(behind, 1, b - 1)).otherwise(behind)
+        before = F.when(x.line > 0, last(F.get(own, x.line - 1).words, 2)).otherwise(none)
+        following = lambda r: F.slice(F.flatten(F.transform(r, lambda y: F.slice(y.words, 1, REACH))), 1, REACH)
+        sizes = lambda r: F.concat(F.array(F.least(F.size(x.words), F.lit(REACH))), F.transform(r, lambda y: F.size(y.words)))
+        return once(once(blank, run), lambda r: unit(x.line, F.lit(WRAPPED), F.concat(last(x.words, REACH), following(r)), before, sizes(r)))
+
+    def every(own: Column) -> Column:
+        ends = F.filter(own, lambda x: (F.size(x.words) > 0) & (F.coalesce(F.size(F.get(own, x.line + 1).words), F.lit(0)) > 0))
+        return F.concat(
+            F.flatten(F.transform(F.filter(own, lambda x: F.size(x.words) > 0), windows)),
+            F.transform(ends, lambda x: ended(x, own)),
+        )
+
+    return once(lines, every)
 
-    return F.flatten(F.transform(F.filter(lines, lambda x: F.size(x.words) > 0), windows))
 
+def grams(words: Column) -> Column:
+    """One-grams and two-grams."""
+    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(words[i], F.lit(" "), w))
+    return F.concat(words, pairs)
 
-def featured(rows: DataFrame) -> DataFrame:
-    """Rows with `words`, with the normalised indicators of their one-grams and two-grams."""
-    pairs = F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat(F.col("words")[i], F.lit(" "), w))
-    grams = rows.withColumn("grams", F.concat("words", pairs))
-    counted = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="indicators").transform(grams)
-    return Normalizer(inputCol="indicators", outputCol="features").transform(counted).drop("grams", "indicators")
+
+def vocabulary(rows: DataFrame) -> list[str]:
+    """At most FEATURES grams: those of the fixed sentences, then those that most of the sample's paragraphs hold."""
+    known: dict[str, None] = {}
+    for sentence in [s for sentences in TEMPLATES.values() for s in sentences] + list(OTHERS):
+        words = plain_words(sentence)
+        known.update(dict.fromkeys(words + [" ".join(pair) for pair in zip(words, words[1:], strict=False)]))
+    common = (
+        rows.select(F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
+        .where(F.length("gram") <= LONGEST)
+        .groupBy("gram")
+        .count()
+        .orderBy(F.desc("count"), "gram")
+        .limit(FEATURES)
+    )
+    known.update(dict.fromkeys(r.gram for r in common.collect()))
+    return list(known)[:FEATURES]
 
 
 def plain_words(sentence: str) -> list[str]:
@@ -166,7 +207,7 @@ def grams_of(words: list[str]) -> list[str]:
 
 def cues() -> list[str]:
     """The sequences of all templates."""
-    return sorted({g for known in (TEMPLATES, BRIEF) for sentences in known.values() for s in sentences for g in grams_of(plain_words(s))})
+    return sorted({g for sentences in TEMPLATES.values() for s in sentences for g in grams_of(plain_words(s))})
 
 
 def compared(words: Column) -> Column:
@@ -180,13 +221,6 @@ def cued(words: Column) -> Column:
     return F.exists(compared(words), lambda g: g.isin(known))
 
 
-def brief(words: Column) -> Column:
-    """The family of a notice of BRIEF that a paragraph holds whole; null if it holds none."""
-    notices = [(family, grams_of(plain_words(s))) for family, sentences in BRIEF.items() for s in sentences]
-    whole_in = lambda own, grams: F.size(F.array_intersect(F.array(*[F.lit(g) for g in grams]), own)) == len(grams)
-    return once(compared(words), lambda own: F.coalesce(*[F.when(whole_in(own, g), F.lit(f)) for f, g in notices]))
-
-
 def templates() -> Column:
     """array<struct<family,sequences>> of all templates, a literal."""
     out = []
@@ -208,88 +242,25 @@ def similarity(words: Column, family: Column) -> Column:
     return once(compared(words), lambda own: F.coalesce(F.array_max(shares(own)), F.lit(0.0)))
 
 
-def closest(words: Column) -> Column:
-    """The template that a paragraph holds most of: struct<similarity,family>."""
+def begun(p: Column, family: Column) -> Column:
+    """Whether a template of a family is confirmed by a WRAPPED paragraph `p`, begins in its first line and is
+    confirmed by none of its lines alone."""
     share = lambda t, own: F.size(F.array_intersect(t.sequences, own)) / F.size(t.sequences)
-    each = lambda own: F.transform(templates(), lambda t: F.struct(share(t, own).alias("similarity"), t.family.alias("family")))
-    return once(compared(words), lambda own: F.array_max(each(own)))
-
-
-def wrapped(text: Column) -> Column:
-    """array<struct<line,words,family,similarity>>: the notices that only consecutive lines hold together.
-
-    The words of all lines stand one behind the other; a line without words is an empty word, which is in no
-    template. From each place of a template's sequence those that follow in its order are counted,
-    as far as the template reaches and SLACK. A place counts unless one further ahead in the template stands
-    before it, unless one of the lines confirms the family alone, and unless another family's template
-    fits better there.
-    """
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), words_of(x).alias("words")))
-    word = lambda w, x: F.struct(w.alias("word"), x.line.alias("line"))
-    marked = F.flatten(F.transform(lines, lambda x: F.when(F.size(x.words) == 0, F.array(word(F.lit(""), x))).otherwise(F.transform(x.words, lambda w: word(w, x)))))
-    known, every = cues(), templates()
-
-    def hits(words: Column) -> Column:
-        def at(i: Column) -> Column:
-            three = [F.get(words, i + k) for k in range(3)]
-            return F.struct(i.alias("at"), F.concat_ws(" ", *[w.word for w in three]).alias("gram"), three[0].line.alias("line"), three[2].line.alias("until"))
-
-        every_at = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), at)
-        block = lambda h: F.size(F.filter(F.slice(words, 1, h.at), lambda w: w.word == ""))
-        return F.transform(F.filter(every_at, lambda h: h.gram.isin(known) & h.until.isNotNull()), lambda h: h.withField("block", block(h)))
-
-    def places(t: Column, found: Column) -> Column:
-        n = F.size(t.sequences)
-        kinds = lambda some: F.size(F.array_distinct(F.transform(some, lambda y: y.index))) / n
-
-        def counted(x: Column, own: Column) -> Column:
-            near = F.filter(own, lambda y: (y.at >= x.at) & (y.at < x.at + n + SLACK) & (y.index >= x.index) & (y.block == x.block))
-            return once(
-                near,
-                lambda some: F.struct(
-                    t.family.alias("family"), x.at.alias("at"), x.line.alias("line"), x.index.alias("index"),
-                    F.array_max(F.transform(some, lambda y: y.at)).alias("end"),
-                    F.array_max(F.transform(some, lambda y: y.until)).alias("until"),
-                    kinds(some).alias("similarity"),
-                    kinds(F.filter(some, lambda y: (y.line == x.line) & (y.until == x.line))).alias("alone"),
-                ),
-            )
-
-        def first(x: Column, fit: Column) -> Column:
-            return x.withField("first", ~F.exists(fit, lambda y: (y.index < x.index) & (y.at < x.at) & (y.at > x.at - n - SLACK)))
-
-        own = F.transform(
-            F.filter(found, lambda h: F.array_contains(t.sequences, h.gram)),
-            lambda h: F.struct(h.at.alias("at"), h.line.alias("line"), h.until.alias("until"), h.block.alias("block"), F.array_position(t.sequences, h.gram).alias("index")),
-        )
-        fit = once(own, lambda o: F.filter(F.transform(o, lambda x: counted(x, o)), lambda x: x.similarity >= CONFIRMED))
-        return once(fit, lambda f: F.transform(f, lambda x: first(x, f)))
-
-    def notices(words: Column, fit: Column) -> Column:
-        meets = lambda x, o: (o.at <= x.end) & (o.end >= x.at)
-        given = F.filter(
-            fit,
-            lambda x: x.first
-            & (x.until > x.line)
-            & ~F.exists(fit, lambda o: (o.family == x.family) & (o.alone >= CONFIRMED) & meets(x, o))
-            & ~F.exists(fit, lambda o: (o.family != x.family) & (o.similarity > x.similarity) & meets(x, o)),
-        )
-
-        def best(k: Column, some: Column) -> Column:
-            same = F.filter(some, lambda x: (x.line == k.line) & (x.family == k.family))
-            top = F.array_max(F.transform(same, lambda x: F.struct(x.similarity.alias("similarity"), x.at.alias("at"), x.end.alias("end"))))
-            held = lambda b: F.transform(F.slice(words, b.at + 1, b.end - b.at + 3), lambda w: w.word)
-            return once(top, lambda b: F.struct(k.line.alias("line"), held(b).alias("words"), k.family.alias("family"), b.similarity.alias("similarity")))
+    fit = F.filter(templates(), lambda t: t.family == family)
+    best = once(compared(p.words), lambda own: F.array_max(F.transform(fit, lambda t: F.struct(share(t, own).alias("share"), t.sequences.alias("sequences")))))
+    three = lambda words, i: F.array_join(F.slice(words, i, 3), " ")
+    head = p.sizes[0]
 
-        key = lambda x: F.struct(x.line.alias("line"), x.family.alias("family"))
-        return once(given, lambda some: F.transform(F.array_distinct(F.transform(some, key)), lambda k: best(k, some)))
+    def placed(t: Column) -> Column:
+        whole_words, before = F.concat(p.ahead, p.words), F.size(p.ahead)
+        holds = lambda i: F.array_contains(t.sequences, three(whole_words, i))
+        earlier = (before > 0) & F.exists(F.sequence(F.lit(1), F.greatest(before, F.lit(1))), holds)
+        here = F.exists(F.sequence(before + 1, before + head), holds)
+        start = lambda k: F.aggregate(F.slice(p.sizes, 1, k), F.lit(0), lambda n, x: n + x)
+        alone = F.exists(F.sequence(F.lit(0), F.size(p.sizes) - 1), lambda k: share(t, compared(F.slice(p.words, start(k) + 1, p.sizes[k]))) >= CONFIRMED)
+        return (t.share >= CONFIRMED) & here & ~earlier & ~alone
 
-    none = F.array().cast("array<struct<line:int,words:array<string>,family:string,similarity:double>>")
-    fit = lambda found: F.flatten(F.transform(every, lambda t: places(t, found)))
-    return once(
-        marked,
-        lambda words: once(hits(words), lambda found: F.when(F.size(found) == 0, none).otherwise(once(fit(found), lambda f: notices(words, f)))),
-    )
+    return once(best, placed)
 
 
 def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
@@ -314,7 +285,7 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
         .select("own", "p.words"),
         "license-paragraphs",
     )
-    sentences = [(k, s) for k, f in enumerate(families) for s in (*TEMPLATES[f], *BRIEF.get(f, ()))] + [(len(families), s) for s in OTHERS]
+    sentences = [(k, s) for k, f in enumerate(families) for s in TEMPLATES[f]] + [(len(families), s) for s in OTHERS]
     given = F.array(*[
         F.struct(F.lit(k).alias("label"), F.array(*[F.lit(w) for w in plain_words(s)]).alias("words"), F.lit(i).alias("i"))
         for i, (k, s) in enumerate(sentences)
@@ -347,27 +318,25 @@ def labelled(docs: DataFrame, text: str, sample: int) -> DataFrame:
 
 
 class Model:
-    """The fitted regression, its classes, its temperature and the probability from which a family is believed."""
+    """The vocabulary, the fitted regression, its classes, its temperature and the probability from which a family is believed."""
 
-    def __init__(self, regression: LogisticRegressionModel, temperature: float, least: float) -> None:
-        self.regression, self.temperature, self.least = regression, temperature, least
+    def __init__(self, indicators: CountVectorizerModel, regression: LogisticRegressionModel, temperature: float, least: float) -> None:
+        self.indicators, self.regression, self.temperature, self.least = indicators, regression, temperature, least
         self.classes = [*TEMPLATES, UNKNOWN]
 
     def judged(self, rows: DataFrame) -> DataFrame:
-        """Rows with `words`, with `found`: the likeliest class, its calibrated probability and those of all classes."""
-        scored = self.regression.transform(featured(rows))
+        """Rows with `words`, with `found`: the likeliest class and its calibrated probability."""
+        scored = self.regression.transform(self.indicators.transform(rows.withColumn("grams", grams(F.col("words")))))
         names = F.array(*[F.lit(c) for c in self.classes])
         pick = lambda raw: F.struct(
             names[F.array_position(raw, F.array_max(raw)).cast("int") - 1].alias("family"),
             F.array_max(likelihoods(raw, self.temperature)).alias("probability"),
-            likelihoods(raw, self.temperature).alias("each"),
         )
         return scored.select(*rows.columns, once(vector_to_array("rawPrediction"), pick).alias("found"))
 
-    def probability(self, found: Column, family: Column) -> Column:
-        """The calibrated probability of a family in `found`."""
-        names = F.array(*[F.lit(c) for c in self.classes])
-        return found.getField("each")[F.array_position(names, family).cast("int") - 1]
+    def believed(self, found: Column) -> Column:
+        """Whether the likeliest class is a family, and likely enough."""
+        return (found.getField("family") != UNKNOWN) & (found.getField("probability") >= self.least)
 
 
 def likelihoods(raw: Column, temperature: float) -> Column:
@@ -382,12 +351,14 @@ def likelihoods(raw: Column, temperature: float) -> Column:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """A regression on the sample's rows, with the temperature that suits those kept aside best."""
-    rows = stored(featured(labelled(docs, text, sample)).coalesce(4), "license-sample")
-    regression = LogisticRegression(family="multinomial", maxIter=50, regParam=1e-4).fit(
-        rows.where(~F.col("aside")).select("features", F.col("label").cast("double").alias("label"))
+    rows = stored(labelled(docs, text, sample).coalesce(4), "license-sample")
+    indicators = CountVectorizerModel.from_vocabulary(vocabulary(rows), "grams", "features").setBinary(True)
+    featured = indicators.transform(rows.withColumn("grams", grams(F.col("words")))).drop("grams")
+    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, standardization=False).fit(
+        featured.where(~F.col("aside")).select("features", F.col("label").cast("double").alias("label"))
     )
     kept = stored(
-        regression.transform(rows.where("aside")).select("label", vector_to_array("rawPrediction").alias("raw")), "license-kept"
+        regression.transform(featured.where("aside")).select("label", vector_to_array("rawPrediction").alias("raw")), "license-kept"
     )
     losses = [
         F.avg(-F.log(F.greatest(likelihoods(F.col("raw"), t)[F.col("label")], F.lit(1e-9)))).alias(f"t{k}")
@@ -400,50 +371,36 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     families = F.array_max(F.slice(likelihoods(F.col("raw"), temperature), 1, len(TEMPLATES)))
     others = kept.where(F.col("label") == len(TEMPLATES)).select(families.alias("p"))
     limit = others.agg(F.percentile("p", 1 - FALSE_ALARMS)).first()[0]
-    return Model(regression, temperature, max(PROBABILITY, limit or 0.0))
+    return Model(indicators, regression, temperature, max(PROBABILITY, limit or 0.0))
 
 
 def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """A row for each paragraph that looks like a licence: the document's columns without the text, line,
-    part, family, probability, similarity and confirmed.
+    """A row for each paragraph that the model takes for a licence: the document's columns without the text,
+    line, part, family, probability, similarity and confirmed.
 
-    `line` counts the text's lines from 0, `part` the windows of a long line; a notice that only several lines
-    hold together stands at its first line, with the part WRAPPED. A family whose calibrated
+    `line` counts the text's lines from 0, `part` the windows of a long line. A family whose calibrated
     probability is below PROBABILITY, or below what all but FALSE_ALARMS of the corpus paragraphs kept
-    aside reach, is unknown and gives no row, unless a template is found there: then the closest template
-    gives the family, however small its probability, or else a notice of BRIEF does. `confirmed` says whether a template of
-    the family is found there. Null and empty texts have no paragraphs; repeated rows give repeated
-    rows; an empty table gives an empty table.
+    aside reach, is unknown and gives no row. `similarity` is the greatest share of a template of the family that
+    stands there, `confirmed` says whether that is enough. A notice that only several lines hold together
+    stands at its first line, with the part WRAPPED, where the model believes it and a template confirms it; lines of
+    it that are believed alone stand beside it, unconfirmed. A window with notices of two families gives
+    the likelier one. Null and empty texts have no paragraphs; repeated rows give repeated rows; an empty table gives an
+    empty table.
     """
     carry = [c for c in docs.columns if c != text] if carry is None else carry
     model = train(docs, text)
     rows = docs.select(whole(docs.select(*[f"`{c}`" for c in carry])), F.explode(paragraphs(text_of(F.col(f"`{text}`")))).alias("p"))
-    judged = model.judged(rows.select("row", "p.line", "p.part", "p.words"))
-    likely = lambda f: (f.family != UNKNOWN) & (f.probability >= model.least)
-    found = judged.where(once(F.col("found"), likely) | cued(F.col("words")))
-    found = found.select(
-        "*", likely(F.col("found")).alias("believed"), similarity(F.col("words"), F.col("found.family")).alias("own"), closest(F.col("words")).alias("closest"), brief(F.col("words")).alias("brief")
-    )
-    # The model's family stands where it is believed and confirmed, and where no template is found.
-    by_template = (F.col("closest.similarity") >= CONFIRMED) & ~(F.col("believed") & (F.col("own") >= CONFIRMED))
-    by_brief = ~F.col("believed") & F.col("brief").isNotNull()
-    found = found.where(F.col("believed") | by_template | by_brief).select(
-        "*",
-        F.when(by_template, F.col("closest.family")).when(by_brief, F.col("brief")).otherwise(F.col("found.family")).alias("family"),
-        F.when(by_template, F.col("closest.similarity")).when(by_brief, similarity(F.col("words"), F.col("brief"))).otherwise(F.col("own")).alias("similarity"),
-    )
-    over = docs.select(whole(docs.select(*[f"`{c}`" for c in carry])), F.explode(wrapped(text_of(F.col(f"`{text}`")))).alias("p"))
-    over = model.judged(over.select("row", "p.line", F.lit(WRAPPED).alias("part"), "p.words", "p.family", "p.similarity"))
-    names = ("row", "line", "part", "family", "similarity", "found")
-    found = found.select(*names).unionByName(over.select(*names))
-    found = found.withColumn("probability", model.probability(F.col("found"), F.col("family")))
+    judged = model.judged(rows.select("row", "p", F.col("p.words").alias("words")))
+    found = judged.where(once(F.col("found"), model.believed))
+    found = found.where((F.col("p.part") != WRAPPED) | begun(F.col("p"), F.col("found.family")))
+    found = found.withColumn("similarity", similarity(F.col("words"), F.col("found.family")))
     return unpacked(
         found,
         carry,
-        line=F.col("line"),
-        part=F.col("part"),
-        family=F.col("family"),
-        probability=F.col("probability"),
+        line=F.col("p.line"),
+        part=F.col("p.part"),
+        family=F.col("found.family"),
+        probability=F.col("found.probability"),
         similarity=F.col("similarity"),
         confirmed=F.col("similarity") >= CONFIRMED,
     )
