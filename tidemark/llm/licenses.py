@@ -33,6 +33,7 @@ FEATURES = 1 << 12  # one-grams and two-grams of the vocabulary: those of the te
 LONGEST = 64  # characters of a gram of the vocabulary
 WINDOW, STEP = 56, 28  # words of a long line that are judged together, and words from one window to the next
 REACH = 28  # words on each side of a line end that are judged together; no template has more
+REGULARISATION = 1e-6  # of the regression; notices of few words in long paragraphs need great weights
 PROBABILITY = 0.5  # calibrated probability of a family, at least
 FALSE_ALARMS = 0.001  # share of the corpus paragraphs kept aside that may look like a licence
 DRAWS = 4  # paragraphs that a document gives to the sample, at most
@@ -354,7 +355,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     rows = stored(labelled(docs, text, sample).coalesce(4), "license-sample")
     indicators = CountVectorizerModel.from_vocabulary(vocabulary(rows), "grams", "features").setBinary(True)
     featured = indicators.transform(rows.withColumn("grams", grams(F.col("words")))).drop("grams")
-    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-3, standardization=False).fit(
+    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=REGULARISATION, standardization=False).fit(
         featured.where(~F.col("aside")).select("features", F.col("label").cast("double").alias("label"))
     )
     kept = stored(
