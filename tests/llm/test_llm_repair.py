@@ -105,6 +105,18 @@ def test_op11(spark):
 
 
 TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_op11_keeps_conversations_without_rows(spark, tmp_path):
+    """The damage drops the only row of one conversation and both of another; a third keeps its row."""
+    lost = [k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0][:2]
+    turn = next(t for t in range(1, 1000) if zlib.crc32(f"{lost[1]}:{t}".encode()) % 20 == 0)
+    whole = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 > 4)
+    rows = [(lost[0], 0, "user", "Hello."), (lost[1], 0, "user", "Hello."), (lost[1], turn, "assistant", "Hi."), (whole, 0, "user", "Hello.")]
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: r.asDict() for r in QUERIES["op11_conversation_repair"](spark, str(tmp_path)).collect()}
+    assert found == {k: {"conv_id": k, **v} for k, v in expected_repairs(rows).items()}
+    assert [(found[k]["cost"], found[k]["audit"], found[k]["repaired_sha256"]) for k in lost] == [(0, "", EMPTY)] * 2
 ODD_TURNS = [
     (1, 0, "system", "Be kind."),
     (1, 1, "user", "Hello"),
