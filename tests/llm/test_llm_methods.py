@@ -212,6 +212,35 @@ def test_recall_of_the_cosine(spark):
         assert len(own & found) >= (1.0 if kind[0] == 1.0 else 0.9) * len(own), kind
 
 
+def test_basis_covers_every_passage(spark):
+    """The directions are those of the passages of all 9,000 texts, and the benchmark weighs as much as they do."""
+    rng = random.Random(8)
+    # 40 words with codes of their own; each text holds some of its topic's.
+    words = list(dict(zip(decontam.codes_of([f"v{k}" for k in range(80)]).tolist(), [f"v{k}" for k in range(80)])).values())[:40]
+    texts = [" ".join(rng.choice(words[(k % 5) * 5 :]) for _ in range(rng.randrange(3, 30))) for k in range(9000)] + [None, ""]
+    texts += [" ".join(words[3:5] * 300)]  # two passages
+    items = [(k, " ".join(rng.choice(words[20:]) for _ in range(20))) for k in range(30)]
+    codes = {w: int(decontam.codes_of([w])[0]) for w in words}
+    assert len(set(codes.values())) == 40
+
+    def lengths(rows, idf):
+        parts = [t.split()[a : a + decontam.PASSAGE] for t in rows if t for a in range(0, len(t.split()), decontam.PASSAGE)]
+        return np.array([[p.count(w) for w in words] for p in parts]).reshape(-1, 40) * idf
+
+    holding = np.array([sum(w in (t or "").split() for t in texts) for w in words])
+    idf = np.maximum(np.log((1 + len(texts)) / (1 + holding)), 0.05)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    own = [codes[w] for w in words]
+    for benchmark in ([], items):
+        found = decontam.basis(table, spark.createDataFrame(benchmark, "item_id long, text string"))[own].astype(float)
+        test = np.random.default_rng(0).standard_normal((decontam.WORDS + 1, decontam.RANK))[own]
+        products = [x.T @ x for x in (lengths(rows, idf) for rows in (texts, [t for _, t in benchmark])) if len(x)]
+        matrix = sum(p / np.einsum("ij,ij->", test, p @ test) for p in products)
+        # Words over the spreads: the inverse of the passages' matrix.
+        expected = idf[:, None] * np.linalg.inv(matrix) * idf
+        assert np.linalg.norm(found @ found.T - expected) < 2e-3 * np.linalg.norm(expected)
+
+
 def test_candidates_come_from_the_directions():
     items = [(1, " ".join(f"w{k}" for k in range(40)))]
     words = decontam.words_of(f"{'x ' * 30}{items[0][1]}{' y' * 30}")

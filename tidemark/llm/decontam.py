@@ -1,24 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Method: words are weighted by the documents that hold them, counted over all documents. A distributed
-randomised SVD of the TF-IDF passages of a bounded sample, and of the benchmark, gives a basis of some
-directions, scaled to equal variance. Benchmark items and windows of every document are compared in that
-space by cosine, and only what the cosine finds goes on. How great it must be follows from what the rule
-accepts: a window that holds PARAPHRASED of an item has, but for chance, that share of the item's own
-length in the item's direction; chance is 1 in the root of the rank, of which DOUBT are allowed.
-Candidates are then checked word by word: the longest common subsequence must cover most of the item, or
-much of it with the item's answer in one run. `exact` puts a count of words in the place of the cosine:
-slower, and no leak is lost; the search by cosine is measured against it.
-
-Distribution: two scans of all documents. The first counts in how many documents each word occurs; the
-sample's passages are multiplied with a random test matrix (the randomised range finder in its one-pass
-form for symmetric matrices). The second embeds windows of every text and compares them with the items, a
+randomised SVD of the TF-IDF passages of all documents and of the whole benchmark, both with the same
+weight, gives a basis of some directions, scaled to equal variance. Benchmark items and windows of every
+document are compared in that space by cosine, and only what the cosine finds goes on. How great it must
+be follows from what the rule accepts: a window that holds PARAPHRASED of an item has, but for chance,
+that share of the item's own length in the item's direction; chance is 1 in the root of the rank, of
+which DOUBT are allowed. Candidates are then checked word by word: the longest common subsequence must
+cover most of the item, or much of it with the item's answer in one run. `exact` puts a count of words in
+the place of the cosine: slower, and no leak is lost; the search by cosine is measured against it.
+
+Distribution: three scans of all documents. The first counts in how many documents each word occurs; the
+second multiplies their passages with a random test matrix (the randomised range finder in its one-pass
+form for symmetric matrices). The third embeds windows of every text and compares them with the items, a
 bounded block of items at a time. Tasks hand over sums of a fixed size, which are added up in a tree;
-no text is shuffled but the sample's, and no window.
+no text and no window is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -33,9 +34,7 @@ from tidemark.session import stored
 
 WORDS = 4096  # hashed words
 RANK = 128  # directions that are kept
-SAMPLE = 4_000  # texts of the documents, about, and as many of the benchmark, whose passages give the basis
-SLICES = 16  # tasks that multiply the sample's passages
-PASSAGE = 32  # words of a passage of the SVD
+PASSAGE = 512  # words of a passage of the SVD
 BLOCK = 16  # words; windows begin and end at blocks
 DOUBT = 1.75  # standard deviations of chance by which a cosine may fall short
 COVERED = 0.8  # share of an item's words that alone decides
@@ -43,14 +42,20 @@ PARAPHRASED = 0.6  # share that needs the answer too
 ANSWER = 5  # words at the item's end that count as its answer
 SHORT = 8  # words; shorter items must occur as they are
 ITEMS = 5_000  # items that are searched in one scan
-BRANCHES = 32  # sums that are added up in a task
+BRANCHES = 8  # sums that are added up in a task, or by the driver
 
 _SIGNS = re.compile(r"[^\w\s]+")
 _OTHER_SIGNS = re.compile(r"[^\w\s\x00-\x7f]")
+_NO_WORDS = re.compile(r"[^\w\x00-\x7f]")
+_SPACES = re.compile(r"\s")
 _ASCII_SIGNS = bytes(k for k in range(128) if _SIGNS.match(chr(k)))
-_CHARS = 400_000  # characters that are hashed and embedded together
+_BLANKS = bytes(32 if k < 128 and chr(k).isspace() else k for k in range(256))
+_CHARS, _TEXTS = 400_000, 256  # characters, and texts, that are coded and embedded together
+_PASSAGES = 256  # passages that are multiplied together
+_BLOCKS = 512  # blocks that are embedded together
 _COUNTED = 200_000  # words of windows that are counted together, but for a longer window
-_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)  # of a word's bytes
+_HASHED = 1 << 16  # bytes that are hashed together, but for a longer word
+_FACTOR = 0x9E3779B97F4A7C15  # of a hash; its powers are the weights of bytes
 
 
 def words_of(text: str) -> list[str]:
@@ -66,59 +71,71 @@ def cleaned(text: str) -> str:
     return " ".join(words_of(text))
 
 
-def hashed(text: str) -> np.ndarray:
-    """The hashed numbers of words with one blank between them, some text at a time."""
-    at, out = 0, [np.array([], np.int64)]
-    while at < len(text):
-        end = text.find(" ", at + _CHARS)
-        end = len(text) if end < 0 else end
-        data = np.frombuffer(f"{text[at:end]} ".encode("utf-8", "surrogatepass"), np.uint8)
-        ends = np.flatnonzero(data == 32) + 1
-        begin = np.append(0, ends[:-1])
-        place = np.arange(len(data)) - np.repeat(begin, ends - begin)
-        sums = np.add.reduceat(_FACTORS[place & 255] * data, begin)  # modulo 2 ** 64
-        out.append((((sums ^ (sums >> np.uint64(29))) * _FACTORS[0]) >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64))
-        at = end + 1
-    return np.concatenate(out)
+def blanked(text: str) -> bytes:
+    """The words of a text as bytes, blanks between them."""
+    lower = text.lower()
+    if not lower.isascii() and _NO_WORDS.search(lower):
+        lower = _SPACES.sub(" ", _SIGNS.sub("", lower))
+    return lower.encode("utf-8", "surrogatepass").translate(_BLANKS, _ASCII_SIGNS)
+
+
+@functools.lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of _FACTOR, and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, f, np.uint64))) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+
+def hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed numbers of words with blanks between them, some bytes at a time, and where they begin."""
+    at, codes, places = 0, [np.array([], np.int64)], [np.array([], np.int64)]
+    while at < len(data):
+        end = at + _HASHED if at + _HASHED < len(data) else len(data)
+        if end < len(data) and (end := data.rfind(b" ", at, end) + 1) == 0:
+            end = data.find(b" ", at) + 1 or len(data)
+        own = np.frombuffer(data, np.uint8, end - at, at)
+        rising, falling = powers(_HASHED) if len(own) <= _HASHED else powers.__wrapped__(len(own))
+        edges = np.append(np.flatnonzero(own == 32), len(own))
+        begin = np.append(0, edges[:-1] + 1)
+        full = edges > begin
+        begin, edges = begin[full], edges[full]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(rising[: len(own)] * own, out=sums[1:])  # modulo 2 ** 64
+        words = (sums[edges] - sums[begin]) * falling[begin]
+        codes.append((((words ^ (words >> np.uint64(29))) * np.uint64(_FACTOR)) >> np.uint64(65 - WORDS.bit_length())).astype(np.int64))
+        places.append(begin + at)
+        at = end
+    return np.concatenate(codes), np.concatenate(places)
 
 
 def codes_of(words: list[str]) -> np.ndarray:
-    return hashed(" ".join(words))
+    return hashed(" ".join(words).encode("utf-8", "surrogatepass"))[0]
 
 
 Coded = tuple[str, np.ndarray]
 
 
 def coded(texts: list[str]) -> list[Coded]:
-    """Texts as their words with one blank between them, and the words' codes."""
-    lengths = [t.count(" ") + 1 if t else 0 for t in texts]
-    codes = hashed(" ".join(t for t in texts if t))
-    return list(zip(texts, np.split(codes, np.cumsum(lengths)[:-1])))
+    """Texts with their words' codes."""
+    datas = [blanked(t) for t in texts]
+    codes, begin = hashed(b" ".join(datas))
+    ends = np.cumsum([len(d) + 1 for d in datas])
+    return list(zip(texts, np.split(codes, np.searchsorted(begin, ends)[:-1])))
 
 
 def coded_batches(texts: Iterator[pd.Series]) -> Iterator[list[Coded]]:
-    """Texts with their codes, about _CHARS characters at a time, or a single longer text."""
+    """Texts with their codes, about _CHARS characters and at most _TEXTS at a time, or a single longer text."""
     held, n = [], 0
     for series in texts:
         for text in series:
-            held.append(cleaned(text))
-            n += len(held[-1])
-            if n >= _CHARS:
+            held.append(text)
+            n += len(text)
+            if n >= _CHARS or len(held) == _TEXTS:
                 yield coded(held)
                 held, n = [], 0
     if held:
         yield coded(held)
 
 
-def starts(lengths: list[int], size: int) -> np.ndarray:
-    """Where runs of `size` words begin in texts of these lengths that stand one behind the other."""
-    at, out = 0, []
-    for n in lengths:
-        out.append(np.arange(at, at + n, size))
-        at += n
-    return np.concatenate(out) if out else np.array([], np.int64)
-
-
 def summed(parts: DataFrame) -> np.ndarray:
     """The sum of equally long vectors (part, vector as bytes of 32-bit floats), added up in a tree."""
     parts = stored(parts, "sums")
@@ -166,18 +183,25 @@ def weights(counts: np.ndarray) -> np.ndarray:
     return np.append(np.maximum(np.log((1 + counts[WORDS]) / (1 + counts[:WORDS])), 0.05), 0.0)
 
 
-def sampled(texts: DataFrame, most: int) -> DataFrame:
-    """About `most` different texts (body), chosen by digest so that they depend on no layout."""
-    share = math.ceil(1e6 * min(1.0, most / max(1, texts.count())))
-    digest = F.xxhash64("body")
-    return texts.where(F.pmod(digest, F.lit(1_000_000)) < share).select("body", digest.alias("digest")).dropDuplicates(["digest"])
+def passages(held: list[Coded]) -> Iterator[np.ndarray]:
+    """How often each passage (row) of the texts holds each word, at most _PASSAGES rows at a time."""
+    lengths = np.array([len(c) for _, c in held])
+    place, owner = spread(np.zeros(len(lengths), np.int64), lengths)
+    numbers = -(-lengths // PASSAGE)
+    row = (np.cumsum(numbers) - numbers)[owner] + place // PASSAGE
+    codes = np.concatenate([c for _, c in held])
+    for first in range(0, int(numbers.sum()), _PASSAGES):
+        a, b = np.searchsorted(row, (first, first + _PASSAGES))
+        cells = (row[a:b] - first) * (WORDS + 1) + codes[a:b]
+        rows = int(row[b - 1]) - first + 1
+        yield np.bincount(cells, minlength=rows * (WORDS + 1)).astype(np.float32).reshape(rows, WORDS + 1)
 
 
-def basis(docs: DataFrame, benchmark: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
+def basis(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> np.ndarray:
     """Word embeddings (WORDS + 1 by at most RANK): IDF times the leading directions of the passages, each over its spread.
 
-    The IDF is counted over all documents, the directions are those of about `sample` texts of the documents and
-    as many of the benchmark, so that no item is without a place in the space.
+    The IDF is counted over all documents; the directions are those of the passages of all documents and all of the
+    benchmark. Both weigh the same, whatever their sizes, so that no item is without a place in the space.
     """
     texts, items = (d.select(text_of(F.col(f"`{text}`")).alias("body")) for d in (docs, benchmark))
     counts = summed(_own_sum(texts, WORDS + 1, count))
@@ -186,23 +210,15 @@ def basis(docs: DataFrame, benchmark: DataFrame, text: str = "text", sample: int
     small = test.astype(np.float32)
 
     def multiply(held: list[Coded], total: np.ndarray) -> None:
-        codes = np.concatenate([c for _, c in held])
-        if not len(codes):
-            return
-        begin = starts([len(c) for _, c in held], PASSAGE)
-        rows = np.add.reduceat(small[codes], begin)
-        # Word by word, the sum of the rows of the passages that it stands in.
-        order = np.argsort(codes.astype(np.int16), kind="stable")
-        ordered = codes[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(codes))))[order]
-        total.reshape(WORDS + 1, RANK)[ordered[first]] += np.add.reduceat(rows[passage], first)
-
-    some = sampled(texts, sample).unionByName(sampled(items, sample)).repartition(SLICES, "digest")
-    found = summed(_own_sum(some, (WORDS + 1) * RANK, multiply))
-    if not len(found):
-        return np.zeros((WORDS + 1, 1), np.float32)
-    product = found.reshape(WORDS + 1, RANK)
+        for held_words in passages(held):
+            total.reshape(WORDS + 1, RANK)[:] += held_words.T @ (held_words @ small)
+
+    product = np.zeros((WORDS + 1, RANK))
+    for some in (texts, items):
+        found = summed(_own_sum(some, (WORDS + 1) * RANK, multiply))
+        if found.any():
+            own = found.reshape(WORDS + 1, RANK)
+            product += own / np.einsum("ij,ij->", test, own)  # the passages' lengths squared, summed up, but for a factor
     # Nystroem form of the randomised decomposition of the words-by-words matrix of weighted passages.
     core = test.T @ product
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -210,9 +226,9 @@ def basis(docs: DataFrame, benchmark: DataFrame, text: str = "text", sample: int
     if not good.any():
         return np.zeros((WORDS + 1, 1), np.float32)
     half = (product * idf[:, None]) @ (vectors[:, good] / np.sqrt(values[good]))
-    left, spread, _ = np.linalg.svd(half, full_matrices=False)
-    known = spread > max(spread.max() * 1e-3, 1e-12)
-    return (idf[:, None] * left[:, known] / spread[known]).astype(np.float32)
+    left, spreads, _ = np.linalg.svd(half, full_matrices=False)
+    known = spreads > max(spreads.max() * 1e-3, 1e-12)
+    return np.ascontiguousarray(idf[:, None] * left[:, known] / spreads[known], np.float32)
 
 
 def common(item: dict, n: int, words: list) -> int:
@@ -340,14 +356,21 @@ class Queries:
         hit = windows @ self.directions >= self.least - (allowed * norms)[:, None]
         hit &= (norms > 0)[:, None]
         # Windows further apart than the block by which a check reaches beyond its window are all checked.
-        return np.nonzero(thinned(hit, owner) if apart(self.size) == 1 else hit)
+        return places_in(thinned(hit, owner) if apart(self.size) == 1 else hit)
+
+
+def places_in(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true, by row; there are few."""
+    return np.divmod(np.flatnonzero(hit), hit.shape[1])
 
 
 def thinned(hit: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Of each run of windows of one text that an item hits every third, so that each window is one or next to one."""
-    item, row = np.nonzero(hit.T)
+    row, item = places_in(hit)
     if not len(row):
         return hit
+    order = np.argsort(item, kind="stable")
+    row, item = row[order], item[order]
     goes_on = (item[1:] == item[:-1]) & (row[1:] == row[:-1] + 1) & (owner[row[1:]] == owner[row[:-1]])
     begin = np.flatnonzero(np.append(True, ~goes_on))
     sizes = np.diff(np.append(begin, len(row)))
@@ -364,11 +387,39 @@ def embedded(codes: np.ndarray, lengths: list[int], embedding: np.ndarray) -> np
     padded = np.full(int(counts.sum()) * BLOCK, WORDS)  # what is no word has no vector
     ahead = np.cumsum(counts) * BLOCK - counts * BLOCK - (np.cumsum(lengths) - lengths)
     padded[np.arange(len(codes)) + np.repeat(ahead, lengths)] = codes
-    places = np.ascontiguousarray(padded.reshape(-1, BLOCK).T)
-    out = embedding[places[0]]
-    more = np.empty_like(out)
-    for place in places[1:]:
-        out += np.take(embedding, place, axis=0, out=more, mode="clip")
+    places = padded.reshape(-1, BLOCK)
+    embedding = np.ascontiguousarray(embedding)  # else each look-up copies it
+    out = np.empty((len(places), embedding.shape[1]), embedding.dtype)
+    for first in range(0, len(places), _BLOCKS):
+        some = out[first : first + _BLOCKS]
+        own = np.ascontiguousarray(places[first : first + _BLOCKS].T)
+        np.take(embedding, own[0], axis=0, out=some, mode="clip")
+        more = np.empty_like(some)
+        for place in own[1:]:
+            some += np.take(embedding, place, axis=0, out=more, mode="clip")
+    return out
+
+
+def run_sums(blocks: np.ndarray, size: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """The sums of as many blocks one behind the other (a power of 2, or 3 times that), for each place where such a run begins."""
+    if size == 1:
+        return blocks
+    if size not in known:
+        part = size - size // 2 if size == 3 else size // 2
+        own, rest = run_sums(blocks, part, known), run_sums(blocks, size - part, known)
+        n = max(len(blocks) - size + 1, 0)
+        known[size] = own[:n] + rest[part : part + n]
+    return known[size]
+
+
+def window_sums(blocks: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """The sums of the blocks from `low` to before `high`, `size` of them or, in shorter texts, fewer."""
+    out = np.empty((len(low), blocks.shape[1]), np.float32)
+    short = high - low < size
+    out[~short] = run_sums(blocks, size, known)[low[~short]]
+    if short.any():
+        at, _ = spread(low[short], sizes := (high - low)[short])
+        out[short] = np.add.reduceat(blocks[at], np.cumsum(sizes) - sizes)
     return out
 
 
@@ -391,7 +442,7 @@ def searched(held: list[Coded], queries: list[Queries], embedding: np.ndarray, e
     ends = np.cumsum(lengths)
     first = ends - np.array(lengths)
     blocks = embedded(codes, lengths, embedding)
-    until = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=np.float64)])
+    sums: dict[int, np.ndarray] = {}
     counts = [-(-n // BLOCK) for n in lengths]
     edges = np.concatenate([[0], np.cumsum(counts)])
     words: dict[int, list[str]] = {}
@@ -404,7 +455,7 @@ def searched(held: list[Coded], queries: list[Queries], embedding: np.ndarray, e
         if exact:
             row, column = (x.ravel() for x in np.indices((len(low), len(q.items))))
         else:
-            row, column = q.near((until[high] - until[low]).astype(np.float32), owner)
+            row, column = q.near(window_sums(blocks, low, high, q.size, sums), owner)
         kept = q.counts.enough(codes, before, a, b, row, column)
         for r, c in zip(row[kept].tolist(), column[kept].tolist()):
             k, number, item = owner[r], q.numbers[c], q.items[c]
@@ -413,7 +464,7 @@ def searched(held: list[Coded], queries: list[Queries], embedding: np.ndarray, e
                 continue
             from_word, to_word = int(a[r] - first[k]), int(b[r] - first[k])
             if k not in words:
-                words[k] = held[k][0].split(" ")
+                words[k] = words_of(held[k][0])
             hit = item.found(words[k][from_word:to_word])
             if hit and hit[0] > best:
                 out[k][number] = {
