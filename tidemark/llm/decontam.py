@@ -515,13 +515,14 @@ def item_blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, exact: bool = False) -> DataFrame:
-    """(row, body, found) of every document."""
+    """(row, found) of every document."""
     embedding = basis(docs, benchmark, text)
-    out = docs.select(whole(docs), text_of(F.col(f"`{text}`")).alias("body"), F.array().cast(LEAKS).alias("found"))
+    out = docs.select(whole(docs), F.array().cast(LEAKS).alias("found"))
+    body = text_of(F.col("row").getField(text))
     for k, block in enumerate(item_blocks(benchmark, text, item_id)):
         if k:  # what the blocks before have found is written, so that no plan holds more than one block
             out = stored(out, "leaks")
-        out = out.withColumn("found", F.concat("found", leaks(block, embedding, F.col("body"), exact)))
+        out = out.withColumn("found", F.concat("found", leaks(block, embedding, body, exact)))
     return out
 
 
