@@ -333,3 +333,14 @@ def test_quality_model_separates_classes():
 def test_dictionaries_hold_letters_only():
     content = language.dictionary(["One 2 three!", "Ünï çôdé"])
     assert content.decode() == "one three ünï çôdé"
+
+
+def test_remembered_ids_are_bounded_and_stay_right(monkeypatch):
+    found = packing.Remembered(lambda w: w.encode(), 20)
+    for k in range(200):
+        assert found[f"w{k * k % 37}"] == f"w{k * k % 37}".encode() and len(found) + len(found.older) <= 20
+    assert found["x" * packing.LONG] == b"x" * packing.LONG and "x" * packing.LONG not in found
+    text = " ".join(f"Wort{k % 60}x été{k % 7}, it's" for k in range(300))
+    expected = packing.encoder(packing.TOKENIZER, 2)(text)
+    monkeypatch.setattr(packing, "CACHED_BYTES", 10 * packing.ENTRY_BYTES)
+    assert packing.encoder(packing.TOKENIZER, 2)(text) == expected

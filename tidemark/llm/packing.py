@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,7 @@ LONG = 200  # characters from which a word isn't remembered
 
 # The tokenizer's own splitting of words, for words of printable ASCII and Latin letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _SPECIAL = "<|"
 
@@ -61,47 +63,50 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
 
     tokenizer = Tokenizer.from_file(path)
     model, as_bytes = tokenizer.model, byte_characters()
-    known: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
-    most = CACHED_BYTES // ENTRY_BYTES
     end = np.array([end_id], "<u4").tobytes()
 
     def of_part(part: str) -> bytes:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(as_bytes)
-        return np.array([t.id for t in model.tokenize(part)], "<u4").tobytes()
+        tokens = model.tokenize(part)
+        return pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    parts = Remembered(of_part, CACHED_BYTES // ENTRY_BYTES)
 
     def of_word(word: str) -> bytes:
+        if _LETTERS.fullmatch(word):
+            return parts[word.lower()]
         if not _PLAIN.fullmatch(word) or _SPECIAL in word:
             return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in _PARTS.findall(word.lower()):
-            if (ids := parts.get(part)) is None:
-                ids = of_part(part)
-                if len(part) < LONG:
-                    parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(parts.__getitem__, _PARTS.findall(word.lower())))
+
+    known = Remembered(of_word, CACHED_BYTES // ENTRY_BYTES)
 
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = set(words).difference(known)
-        if len(known) + len(new) > most:
-            known.clear()
-            new = set(words)
-        if len(parts) > most:
-            parts.clear()
-        for word in new:
-            known[word] = of_word(word)
-        ids = b"".join(map(known.__getitem__, words)) + end
-        for word in new:
-            if len(word) >= LONG:
-                del known[word]
-        return ids
+        return b"".join(map(known.__getitem__, words)) + end
 
     return encode
 
 
+class Remembered(dict):
+    """The ids of words, found when first asked for; when half of `most` have come, what is older than these is forgotten."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int) -> None:
+        self.find, self.half, self.older = find, most // 2, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(word) < LONG:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 def byte_characters() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies, where they differ.
 
