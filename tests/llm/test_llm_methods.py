@@ -344,3 +344,35 @@ def test_remembered_ids_are_bounded_and_stay_right(monkeypatch):
     expected = packing.encoder(packing.TOKENIZER, 2)(text)
     monkeypatch.setattr(packing, "CACHED_BYTES", 10 * packing.ENTRY_BYTES)
     assert packing.encoder(packing.TOKENIZER, 2)(text) == expected
+
+
+def test_words_of_plain_texts_are_encoded_once_whatever_their_case(monkeypatch):
+    made = []
+
+    class Recorded(packing.Remembered):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(packing, "Remembered", Recorded)
+    encode = packing.encoder(packing.TOKENIZER, 2)
+    assert encode("Éa éA\tÉA\néa") == encode("éa éa éa éa")
+    assert sum(len(m) for m in made) == 1
+    encode("éA “éa” ÉA.")
+    assert {w for m in made for w in m} == {"éa", "éA", "“éa”", "ÉA.", "éa.", "."}
+
+
+def test_packing_takes_one_worker_of_a_task(spark, monkeypatch):
+    """A second one holds memory of its own and stays with the executor, as workers are reused in turn."""
+    plans = []
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    stored = packing.stored
+    monkeypatch.setattr(packing, "stored", seen)
+    docs = spark.createDataFrame([(1, "a b c", 7), (2, None, 8)], "doc_id long, text string, offset long")
+    found = sorted(tuple(r) for r in packing.pack_documents(docs).select("doc_id", "start", "length", "doc_tokens").collect())
+    assert found == [(1, 0, 4, 4), (2, 0, 1, 1)]
+    assert len(re.findall(r"\b(?:MapInArrow|ArrowEvalPython|MapInPandas|BatchEvalPython)\b", plans[0])) == 1

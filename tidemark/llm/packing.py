@@ -4,7 +4,7 @@ Method: the dot-product heuristic. One sequence is open at a time; of the pieces
 every dimension it takes the one with the greatest weighted dot product of its sizes with what the
 sequence has left, each dimension weighted by the pieces' mean demand.
 
-Distribution: each task packs its own rows, a window at a time; pieces of sequences that are not
+Distribution: each task cuts and packs its own rows in one worker, a window at a time; pieces of sequences that are not
 nearly full move on to the next window. What a task has left at its end meets the leftovers of a
 fixed number of neighbouring tasks and is packed once more. Neither step needs counts of the whole
 input, and no task holds more than a window of pieces or that many tasks' leftovers.
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import fresh, text_of, unpacked, whole
+from tidemark.llm.common import fresh, text_of
 from tidemark.session import stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,58 +37,67 @@ WINDOW = 1024  # pieces that are packed together in a task
 NEIGHBOURS_LOG = 6  # log2 of how many tasks' leftovers are packed together
 FULL = 0.995  # share of the first limit from which a sequence is closed early
 
-CACHED_BYTES = 40 << 20  # of the words, and again of the parts of words, that a task remembers the ids of
+CACHED_BYTES = 48 << 20  # of the plain words in lower case, and again of the words of other texts, that a task remembers the ids of
 ENTRY_BYTES = 200  # of a remembered word with its ids, about
 LONG = 200  # characters from which a word isn't remembered
 
-# The tokenizer's own splitting of words, for words of printable ASCII and Latin letters.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# The tokenizer's own splitting of words, for texts of printable ASCII and Latin letters.
+_PLAIN = re.compile("[ \t\r\n!-~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9]+")
 _SPECIAL = "<|"
 
-PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
+PLACE = ("sequence_id", "offset")  # of a piece
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "segments")  # columns of a piece
 
 
 def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     """Text to its ids as little-endian unsigned 32-bit integers, with the end id.
 
-    The tokenizer drops white space, never joins across it and cuts words into runs of letters, single
-    digits and runs of signs that its model encodes each for itself. So each word, and each such part
-    of a new word, is encoded once and remembered. Words with other characters are encoded as they
+    The tokenizer drops white space and case, never joins across white space and cuts words into runs of
+    letters, single digits and runs of signs that its model encodes each for itself. So a plain text is put in
+    lower case as a whole, and each word, and each such part of a new word, is encoded once and remembered.
+    Texts with other characters are split as they stand, and words that hold these are encoded as they
     stand. A test holds all this against encoding whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model, as_bytes = tokenizer.model, byte_characters()
+    tokens_of, as_bytes = tokenizer.model.tokenize, byte_characters()
     end = np.array([end_id], "<u4").tobytes()
 
     def of_part(part: str) -> bytes:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(as_bytes)
-        tokens = model.tokenize(part)
+        tokens = tokens_of(part)
         return pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    parts = Remembered(of_part, CACHED_BYTES // ENTRY_BYTES)
+    def of_plain(word: str) -> bytes:
+        if word.isalpha() or len(parts := _PARTS.findall(word)) == 1:
+            return of_part(word)
+        return b"".join(map(plain.__getitem__, parts))
 
-    def of_word(word: str) -> bytes:
-        if _LETTERS.fullmatch(word):
-            return parts[word.lower()]
-        if not _PLAIN.fullmatch(word) or _SPECIAL in word:
-            return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(parts.__getitem__, _PARTS.findall(word.lower())))
+    def of_other(word: str) -> bytes:
+        if is_plain(word):
+            return b"".join(map(plain.__getitem__, word.lower().split()))
+        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    known = Remembered(of_word, CACHED_BYTES // ENTRY_BYTES)
+    plain, other = (Remembered(find, CACHED_BYTES // ENTRY_BYTES) for find in (of_plain, of_other))
 
     def encode(text: str) -> bytes:
+        if is_plain(text):
+            return b"".join(map(plain.__getitem__, text.lower().split())) + end
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(known.__getitem__, words)) + end
+        return b"".join(map(other.__getitem__, words)) + end
 
     return encode
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text holds blanks, printable ASCII and Latin letters only, and nothing like a special token."""
+    return _PLAIN.fullmatch(text) is not None and _SPECIAL not in text
+
+
 class Remembered(dict):
     """The ids of words, found when first asked for; when half of `most` have come, what is older than these is forgotten."""
 
@@ -117,47 +126,50 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-def tokenized(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, length: int = 4096) -> DataFrame:
-    """A row for each piece: the document's columns, start, length, ids_crc32, doc_tokens, loss_tokens, segments.
+Batches = Iterator[pa.RecordBatch]
 
-    A document is cut where it exceeds `length` tokens and nowhere else. Null text is the empty text
-    and gives one piece that holds the end id. Loss falls on each token but the first of a piece,
-    which nothing predicts. Repeated rows each give their own pieces.
-    """
 
-    # Arrow arrays in and out: of a batch of texts no more than one is ever held as Python objects.
-    @F.arrow_udf(f"struct<doc_tokens:bigint,pieces:{PIECES}>")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def cutting(docs: DataFrame, text: str, tokenizer: str, length: int) -> tuple[DataFrame, T.StructType, Callable[[Batches], Batches]]:
+    """The documents as `cut` takes them, the columns of pieces, and `cut`, which makes batches of pieces of batches of documents."""
+    others = [c for c in docs.columns if c != text and c.lower() not in PIECE]
+    # The text goes last, and no further than here.
+    source = docs.select(*[f"`{c}`" for c in others], text_of(F.col(f"`{text}`")).alias(fresh(others, "body")))
+    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in PIECE]])
+
+    # Of a batch of texts no more than one is ever held as Python objects.
+    def cut(batches: Batches) -> Batches:
         encode = encoder(tokenizer, END_ID)
-        for texts in batches:
-            tokens, ends, start, size, crc = array("q"), array("i", [0]), array("q"), array("q"), array("q")
-            for value in texts:
+        for batch in batches:
+            owner, start, size, crc, total = (array("q") for _ in range(5))
+            for k, value in enumerate(batch.column(len(others))):
                 ids = encode(value.as_py())
                 n = len(ids) // 4
-                tokens.append(n)
                 for a in range(0, n, length):
+                    owner.append(k)
                     start.append(a)
                     size.append(min(length, n - a))
                     crc.append(zlib.crc32(ids[4 * a : 4 * (a + length)]))
-                ends.append(len(start))
-            pieces = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (start, size, crc)], names=["start", "length", "ids_crc32"])
-            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
-            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), listed], names=["doc_tokens", "pieces"])
-
-    # Without the text, which nothing needs from here on.
-    others = [c for c in docs.columns if c != text]
-    cutted = docs.select(whole(docs.select(*[f"`{c}`" for c in others])), cut(text_of(F.col(f"`{text}`"))).alias("cut"))
-    rows = cutted.select("row", F.col("cut.doc_tokens").alias("doc_tokens"), F.explode("cut.pieces").alias("piece"))
-    return unpacked(
-        rows,
-        others,
-        start=F.col("piece.start"),
-        length=F.col("piece.length"),
-        ids_crc32=F.col("piece.ids_crc32"),
-        doc_tokens=F.col("doc_tokens"),
-        loss_tokens=F.col("piece.length") - 1,
-        segments=F.lit(1).cast("long"),
-    )
+                    total.append(n)
+            rows = batch.select(list(range(len(others))))
+            for a in range(0, len(owner), WINDOW):
+                sizes = np.array(size[a : a + WINDOW])
+                found = [start[a : a + WINDOW], sizes, crc[a : a + WINDOW], total[a : a + WINDOW], sizes - 1, np.ones_like(sizes)]
+                # Column by column, as there may be none.
+                kept = [c.take(pa.array(owner[a : a + WINDOW], pa.int64())) for c in rows.columns]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x, pa.int64()) for x in found]], names=schema.names)
+
+    return source, schema, cut
+
+
+def tokenized(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, length: int = 4096) -> DataFrame:
+    """A row for each piece: the document's columns, start, length, ids_crc32, doc_tokens, loss_tokens, segments.
+
+    A document is cut where it exceeds `length` tokens and nowhere else. Null text is the empty text
+    and gives one piece that holds the end id. Loss falls on each token but the first of a piece,
+    which nothing predicts. Repeated rows each give their own pieces.
+    """
+    source, schema, cut = cutting(docs, text, tokenizer, length)
+    return source.mapInArrow(cut, schema)
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
@@ -196,10 +208,15 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     are whole numbers; a missing or negative size counts as 0, and a piece that alone exceeds a limit
     stands alone in its sequence. An empty table gives an empty table. All other columns are kept.
     """
+    pieces = pieces.select(*[f"`{c}`" for c in pieces.columns if c.lower() not in PLACE])
+    return packed(pieces, pieces.schema, lambda batches: batches, limits)
+
+
+def packed(source: DataFrame, pieces: T.StructType, cut: Callable[[Batches], Batches], limits: dict[str, int]) -> DataFrame:
+    """What `pack` gives of the pieces that `cut` makes of a table's batches, in the same task and worker."""
     names, most = list(limits), np.array(list(limits.values()), float)
-    columns = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    pieces = pieces.select(*[f"`{c}`" for c in columns])
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    columns = pieces.names
+    schema = T.StructType([*pieces.fields, *[T.StructField(c, T.LongType()) for c in PLACE]])
     task_left, hood = fresh(columns, "task_left"), fresh(columns, "hood")
     early = T.StructType([*schema.fields, T.StructField(task_left, T.LongType())])
 
@@ -218,10 +235,10 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     def marked(rows: pa.Table, left: list[int | None]) -> list[pa.RecordBatch]:
         return rows.append_column(task_left, pa.array(left, pa.int64())).combine_chunks().to_batches()
 
-    def pack_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_own(batches: Batches) -> Batches:
         task = TaskContext.get().partitionId()
         made, left = task << 32, None
-        for batch in batches:
+        for batch in cut(batches):
             for a in range(0, batch.num_rows, WINDOW):
                 part = pa.Table.from_batches([batch.slice(a, WINDOW)])
                 left = part if left is None else pa.concat_tables([left, part])
@@ -256,7 +273,7 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
         rows = rows.sort_by(task_left).select(columns)
         return placed(rows, fill(sizes_of(rows), most), (1 << 62) + (key[0].as_py() << 32))
 
-    first = stored(pieces.mapInArrow(pack_own, early), "packed")
+    first = stored(source.mapInArrow(pack_own, early), "packed")
     last = first.where(F.col(task_left).isNotNull()).withColumn(hood, F.shiftright(task_left, 32 + NEIGHBOURS_LOG))
     packed_left = last.groupBy(hood).applyInArrow(pack_left, schema)
     return first.where(F.col(task_left).isNull()).drop(task_left).unionByName(packed_left)
@@ -264,4 +281,5 @@ def pack(pieces: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
 
 def pack_documents(docs: DataFrame, limits: dict[str, int] = LIMITS, tokenizer: str = TOKENIZER, text: str = "text") -> DataFrame:
     """Documents cut, tokenized and packed: a row for each piece, with the columns of `tokenized` and `pack`."""
-    return pack(tokenized(docs, text, tokenizer, limits["length"]), limits)
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c == text or c.lower() not in PLACE])
+    return packed(*cutting(docs, text, tokenizer, limits["length"]), limits)
