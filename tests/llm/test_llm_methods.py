@@ -376,3 +376,21 @@ def test_packing_takes_one_worker_of_a_task(spark, monkeypatch):
     found = sorted(tuple(r) for r in packing.pack_documents(docs).select("doc_id", "start", "length", "doc_tokens").collect())
     assert found == [(1, 0, 4, 4), (2, 0, 1, 1)]
     assert len(re.findall(r"\b(?:MapInArrow|ArrowEvalPython|MapInPandas|BatchEvalPython)\b", plans[0])) == 1
+
+
+def test_line_ends_are_judged_only_where_a_template_can_be_confirmed(spark, monkeypatch):
+    known = set(licenses.telling())
+    for sentence in [s for sentences in licenses.TEMPLATES.values() for s in sentences]:
+        every = licenses.grams_of(licenses.plain_words(sentence))
+        assert sum(not known & set(g.split(" ")) for g in every) < licenses.CONFIRMED * len(every), sentence
+    judged, ends = licenses.Model.judged, []
+
+    def seen(self, rows):
+        ends.extend(rows.where(F.col("p.part") == licenses.WRAPPED).select("row.doc_id").collect())
+        return judged(self, rows)
+
+    monkeypatch.setattr(licenses.Model, "judged", seen)
+    rows = [(k, "One tall tree stood\nby the river\nand another behind it") for k in range(40)]
+    rows += [(100, "One tall tree\nLicensed under the Apache\nLicense, Version 2.0.\nstood by the river")]
+    licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert {r.doc_id for r in ends} == {100}
